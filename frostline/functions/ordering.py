@@ -1,0 +1,42 @@
+"""Dense positions over a total order without moving rows to one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def with_row_index(df: DataFrame, order_cols: list[str], name: str = "pos",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Add a 0-based consecutive index following ``order_cols`` (a unique key).
+
+    Range-partition and sort by the key, number the rows inside each partition,
+    and add the row counts of all earlier partitions. Only the per-partition
+    counts (one row per partition) meet in one place; the rows themselves stay
+    distributed.
+    """
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    tagged = (ranged.sortWithinPartitions(*order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_local", F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(
+        "_pid",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_pid")
+                                    .rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"))
+    # one row per partition: bounded by the partition count, safe to broadcast
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+            .drop("_pid", "_local", "_off"))
+
+
+def maybe_broadcast(small: DataFrame, n_rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast only when the row count is known and under ``limit``."""
+    if n_rows is not None and n_rows <= limit:
+        return F.broadcast(small)
+    return small
