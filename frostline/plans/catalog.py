@@ -19,7 +19,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, blocks: tuple[str, ...] = ()):
+def query(name: str, oracle: str | None = None, blocks: tuple[str, ...] = (), recursive: bool = False):
     """Register ``fn`` under ``name``; ``oracle`` is prefixed by the CTEs of ``blocks``."""
 
     def deco(fn: QueryFn) -> QueryFn:
@@ -27,7 +27,10 @@ def query(name: str, oracle: str | None = None, blocks: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLE[name] = (standins.with_clause(blocks) if blocks else "") + oracle.strip()
+            head = standins.with_clause(blocks) if blocks else ""
+            if recursive:
+                head = head.replace("WITH ", "WITH RECURSIVE ", 1)
+            ORACLE[name] = head + oracle.strip()
         return fn
 
     return deco

@@ -134,6 +134,7 @@ where l_orderkey % 10 <= 7 and market_no = 1 and l_orderkey % 50 = 0
 # markets are fx_feed_markets of the same event). Some fetches failed.
 BLOCKS["fx_details"] = """
 select concat('O', cast(o_orderkey as string)) as event_ticker,
+       concat('Order ', cast(o_orderkey as string)) as title,
        case when o_orderkey % 13 = 0 then cast(null as string) else o_orderpriority end as category,
        o_orderkey % 2 = 0 as markets_key_absent
 from orders
@@ -169,8 +170,8 @@ from orders where o_orderkey % 5 = 0
 BLOCKS["fx_search_results"] = """
 select concat('O', cast(cast(floor(d.doc_id / 30) as bigint) as string)) as event_ticker,
        cast(d.doc_id % 2 + 1 as bigint) as query_no,
-       row_number() over (partition by cast(floor(d.doc_id / 30) as bigint), d.doc_id % 2
-                          order by d.doc_id) as rnk,
+       cast(row_number() over (partition by cast(floor(d.doc_id / 30) as bigint), d.doc_id % 2
+                               order by d.doc_id) as bigint) as rnk,
        case when d.doc_id % 25 = 0 then '' else p.url end as href,
        concat('Result ', cast(d.doc_id as string)) as title,
        substr(d.text, 1, 160) as body

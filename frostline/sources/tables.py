@@ -76,7 +76,7 @@ def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = _nest_markets(standin(spark, sf_dir, "fx_feed_markets"))
     empty = F.array().cast(f"array<{schemas.API_MARKET}>")
     return (head.join(nested, "event_ticker", "left")
-            .select("event_ticker", "category",
+            .select("event_ticker", "title", "category",
                     F.when(F.col("markets").isNotNull(), F.col("markets"))
                     .when(F.col("markets_key_absent"), F.lit(None).cast(f"array<{schemas.API_MARKET}>"))
                     .otherwise(empty).alias("markets")))
