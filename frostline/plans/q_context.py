@@ -1 +1,103 @@
-"""Queries (filled in below)."""
+"""Queries over the context-report text: descriptions, prompts, sections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from frostline import params
+from frostline.operators import context as cx
+from frostline.operators import similarity as si
+from frostline.plans import sqlfrag as q
+from frostline.plans.catalog import query
+from frostline.plans.q_search import _DESC, _SIM, SEARCH_BLOCKS, search_chain
+from frostline.sources import tables
+
+CTX_BLOCKS = SEARCH_BLOCKS + ("fx_model_outputs",)
+
+
+def _outputs(spark, sf):
+    return tables.standin(spark, sf, "fx_model_outputs")
+
+
+def _ctx(spark, sf):
+    """Described events the query model answered for, their query lines."""
+    desc = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
+    outputs = _outputs(spark, sf)
+    asked = outputs.where(F.col("purpose") == "queries").select("event_ticker")
+    events = desc.join(asked, "event_ticker", "left_semi")
+    return desc, events, cx.query_lines(events, outputs), outputs
+
+
+_QP = q.fill(cx.QUERY_PROMPT, event_title="event_title", descriptions="description",
+             num_queries=str(params.NUM_QUERIES), max_words=str(params.MAX_QUERY_WORDS))
+_ANS = f"""
+, ans AS (select event_ticker, purpose, query_no, {q.strip("coalesce(completion, '')")} as answer
+          from fx_model_outputs)
+, ctx AS (select * from descs where event_ticker in
+          (select event_ticker from fx_model_outputs where purpose = 'queries'))
+, qlines AS (
+  select event_ticker, unnest(l) as query, unnest(range(1, len(l) + 1)) as query_no
+  from (select c.event_ticker, {q.lines('a.answer')} as l
+        from ctx c join ans a on a.event_ticker = c.event_ticker and a.purpose = 'queries') z)
+"""
+_ARTICLE = q.fill(cx.ARTICLE_ITEM, i="article_no", title="title", body="body", href="href", article="article")
+_SP = q.fill(cx.SUMMARY_PROMPT, event_title="event_title", descriptions="description",
+             articles="coalesce(b.articles, '')")
+_SECTION = q.fill(cx.SECTION, i="l.query_no", summary="s.answer")
+
+
+@query("market_descriptions", blocks=("fx_feed_markets", "fx_details", "fx_markets"), oracle=_DESC + """
+select event_ticker, description from descs
+""")
+def market_descriptions(spark, sf):
+    """Readable description of each event's markets (one- and many-market forms)."""
+    d = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
+    return d.select("event_ticker", "description")
+
+
+@query("query_prompts", blocks=("fx_feed_markets", "fx_details", "fx_markets"), oracle=_DESC + f"""
+select event_ticker, {_QP} as prompt from descs
+""")
+def query_prompts(spark, sf):
+    """Search-query prompt of each described event."""
+    d = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
+    return cx.query_prompts(d)
+
+
+@query("query_lines", blocks=CTX_BLOCKS, oracle=_DESC + _ANS + """
+select event_ticker, query_no, query from qlines
+""")
+def query_lines(spark, sf):
+    """The model's search queries per event: non-blank trimmed lines, numbered."""
+    _, _, lines, _ = _ctx(spark, sf)
+    return lines
+
+
+@query("summary_prompts", blocks=CTX_BLOCKS, oracle=_SIM + _ANS + f"""
+, blocks AS (select event_ticker, query_no, string_agg({_ARTICLE}, '' order by article_no) as articles
+             from top group by event_ticker, query_no)
+select l.event_ticker, l.query_no, {_SP} as prompt
+from qlines l join descs d on d.event_ticker = l.event_ticker
+left join blocks b on b.event_ticker = l.event_ticker and b.query_no = l.query_no
+""")
+def summary_prompts(spark, sf):
+    """Summary prompt per query line with its top articles (none -> no blocks)."""
+    desc, _, lines, _ = _ctx(spark, sf)
+    _, _, scraped = search_chain(spark, sf)
+    top = si.top_articles(si.score_articles(desc, scraped), params.NUM_URLS)
+    return cx.summary_prompts(lines, desc, top)
+
+
+@query("context_report", blocks=CTX_BLOCKS, oracle=_DESC + _ANS + f"""
+, secs AS (
+  select l.event_ticker, string_agg({_SECTION}, chr(10) || chr(10) order by l.query_no) as r
+  from qlines l left join ans s
+    on s.event_ticker = l.event_ticker and s.purpose = 'summary' and s.query_no = l.query_no
+  group by l.event_ticker)
+select c.event_ticker, {q.strip("coalesce(s.r, '')")} as report
+from ctx c left join secs s on s.event_ticker = c.event_ticker
+""")
+def context_report(spark, sf):
+    """Final context report per event: numbered sections of summaries, trimmed."""
+    _, events, lines, outputs = _ctx(spark, sf)
+    return cx.reports(lines, outputs, events)
