@@ -40,3 +40,19 @@ def maybe_broadcast(small: DataFrame, n_rows: int | None, limit: int = BROADCAST
     if n_rows is not None and n_rows <= limit:
         return F.broadcast(small)
     return small
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a narrow input over the cluster before CPU-heavy row work.
+
+    A scan of few large files (one row group each) yields fewer partitions
+    than there are cores; regex and tokenisation on it would run on a few
+    cores only. Inputs that already have enough partitions -- every large
+    table on a cluster -- are returned untouched, so no shuffle is added there.
+    Meant for plain scans: on a derived frame the partition count would make
+    Spark run the upstream stages.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

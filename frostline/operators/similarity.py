@@ -48,9 +48,10 @@ def link_similarity(descriptions: DataFrame, articles: DataFrame, links: DataFra
     Pairs sharing no token score 0; texts without tokens score 0.
     """
     c2 = ONE_SIDED_IDF * ONE_SIDED_IDF
-    dterms = term_counts(descriptions, "event_ticker", "description")
-    aterms = term_counts(articles, "href", "article")
     pairs = links.select("event_ticker", "href").distinct()
+    needed = descriptions.join(pairs.select("event_ticker"), "event_ticker", "left_semi")
+    dterms = term_counts(needed, "event_ticker", "description")
+    aterms = term_counts(articles, "href", "article")
     cand = pairs.join(dterms.withColumnRenamed("tf", "tf_b"), "event_ticker")
     shared = cand.join(aterms.withColumnRenamed("tf", "tf_a"), ["href", "token"])
     dots = (shared.groupBy("event_ticker", "href")
