@@ -27,16 +27,30 @@ def page_articles(pages: DataFrame, min_chars: int = params.ARTICLE_MIN_CHARS,
                   max_chars: int = params.ARTICLE_MAX_CHARS) -> DataFrame:
     """``url, article, n_chars`` for pages fetched with status 200 whose paragraph
     text has between ``min_chars`` and ``max_chars`` characters (inclusive)."""
+    # The text is produced by a generator so that the length filter below
+    # stays above it: the optimizer would otherwise inline the extraction into
+    # the scan filter and evaluate it once per predicate.
     art = (pages.where(F.col("http_status") == 200)
-           .select("url", text.paragraph_text("html").alias("article")))
+           .select("url", F.explode(F.array(text.paragraph_text("html"))).alias("article")))
     return (art.withColumn("n_chars", F.length("article").cast("bigint"))
             .where(F.col("n_chars").between(min_chars, max_chars)))
 
 
-def scrape(deduped: DataFrame, pages: DataFrame, **bounds) -> DataFrame:
-    """Attach the article text to each deduplicated result. Each distinct page
-    is parsed once, however many queries link to it; results whose page failed
-    or is out of bounds are dropped."""
+def link_articles(deduped: DataFrame, pages: DataFrame, cut: bool = True, **bounds) -> DataFrame:
+    """``href, article`` for every linked page that yields an article.
+
+    Each distinct page is parsed once, however many queries link to it. The
+    result feeds both the link filter and the term counts, so with ``cut`` it
+    is checkpointed (reliably, into the session's checkpoint folder) instead
+    of being re-derived from the HTML by each consumer.
+    """
     needed = pages.join(deduped.select(F.col("href").alias("url")).distinct(), "url", "left_semi")
     arts = page_articles(needed, **bounds).select(F.col("url").alias("href"), "article")
+    return arts.checkpoint(eager=True) if cut else arts
+
+
+def scrape(deduped: DataFrame, pages: DataFrame, articles: DataFrame | None = None, **bounds) -> DataFrame:
+    """Attach the article text to each deduplicated result; results whose page
+    failed or is out of bounds are dropped."""
+    arts = articles if articles is not None else link_articles(deduped, pages, **bounds)
     return deduped.join(arts, "href")

@@ -36,42 +36,52 @@ def term_counts(texts: DataFrame, key: str, text_col: str) -> DataFrame:
             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def _norms(tc: DataFrame, key: str, name: str) -> DataFrame:
-    return tc.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
+def with_norm(tc: DataFrame, key: str, name: str) -> DataFrame:
+    """Term counts with the text's squared norm ``sum(tf^2)`` on every row."""
+    norms = tc.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
+    return tc.join(norms, key)
 
 
-def link_similarity(descriptions: DataFrame, articles: DataFrame, links: DataFrame) -> DataFrame:
+def link_similarity(descriptions: DataFrame, articles: DataFrame, links: DataFrame,
+                    cut: bool = True) -> DataFrame:
     """Cosine per (event, link).
 
     ``descriptions``: ``event_ticker, description``; ``articles``: ``href,
     article`` (one row per link); ``links``: the (event, link) pairs to score.
-    Pairs sharing no token score 0; texts without tokens score 0.
+    Pairs sharing no token score 0 (whatever the norms, as the dot product is
+    0), so each text's norm only needs to travel with its shared tokens.
+    The article term table is read twice (norms, shared tokens); with ``cut``
+    it is checkpointed once instead of tokenising every article twice.
     """
     c2 = ONE_SIDED_IDF * ONE_SIDED_IDF
     pairs = links.select("event_ticker", "href").distinct()
     needed = descriptions.join(pairs.select("event_ticker"), "event_ticker", "left_semi")
-    dterms = term_counts(needed, "event_ticker", "description")
+    dterms = with_norm(term_counts(needed, "event_ticker", "description"), "event_ticker", "Nb")
     aterms = term_counts(articles, "href", "article")
+    if cut:
+        aterms = aterms.checkpoint(eager=True)
+    aterms = with_norm(aterms, "href", "Na")
     cand = pairs.join(dterms.withColumnRenamed("tf", "tf_b"), "event_ticker")
     shared = cand.join(aterms.withColumnRenamed("tf", "tf_a"), ["href", "token"])
     dots = (shared.groupBy("event_ticker", "href")
             .agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("D"),
                  F.sum(F.col("tf_a") * F.col("tf_a")).alias("Sa"),
-                 F.sum(F.col("tf_b") * F.col("tf_b")).alias("Sb")))
-    scored = (pairs.join(dots, ["event_ticker", "href"], "left")
-              .join(_norms(aterms, "href", "Na"), "href", "left")
-              .join(_norms(dterms, "event_ticker", "Nb"), "event_ticker", "left"))
-    d, sa, sb = (F.coalesce(F.col(x), F.lit(0)) for x in ("D", "Sa", "Sb"))
-    na, nb = F.coalesce(F.col("Na"), F.lit(0)), F.coalesce(F.col("Nb"), F.lit(0))
+                 F.sum(F.col("tf_b") * F.col("tf_b")).alias("Sb"),
+                 F.first("Na").alias("Na"), F.first("Nb").alias("Nb")))
+    d, sa, sb, na, nb = (F.col(x) for x in ("D", "Sa", "Sb", "Na", "Nb"))
     den = F.sqrt(sa + (na - sa) * c2) * F.sqrt(sb + (nb - sb) * c2)
-    return scored.select("event_ticker", "href",
-                         F.when(den > 0, d / den).otherwise(F.lit(0.0)).alias("similarity"))
+    sims = dots.select("event_ticker", "href", (d / den).alias("similarity"))
+    return (pairs.join(sims, ["event_ticker", "href"], "left")
+            .select("event_ticker", "href", F.coalesce("similarity", F.lit(0.0)).alias("similarity")))
 
 
-def score_articles(descriptions: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Add ``similarity`` to every scraped result row of a described event."""
+def score_articles(descriptions: DataFrame, scraped: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """Add ``similarity`` to every scraped result row of a described event.
+
+    ``articles`` (``href, article``, one row per link) avoids re-deriving the
+    per-link texts from ``scraped``."""
     scraped = scraped.join(descriptions.select("event_ticker"), "event_ticker", "left_semi")
-    arts = scraped.select("href", "article").dropDuplicates(["href"])
+    arts = articles if articles is not None else scraped.select("href", "article").dropDuplicates(["href"])
     sims = link_similarity(descriptions, arts, scraped)
     return scraped.join(sims, ["event_ticker", "href"])
 

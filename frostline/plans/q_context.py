@@ -21,11 +21,11 @@ def _outputs(spark, sf):
 
 def _ctx(spark, sf):
     """Described events the query model answered for, their query lines."""
-    desc = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
     outputs = _outputs(spark, sf)
-    asked = outputs.where(F.col("purpose") == "queries").select("event_ticker")
-    events = desc.join(asked, "event_ticker", "left_semi")
-    return desc, events, cx.query_lines(events, outputs), outputs
+    asked = outputs.where(F.col("purpose") == "queries").select("event_ticker").distinct()
+    details = tables.event_details(spark, sf).join(asked, "event_ticker", "left_semi")
+    desc = cx.descriptions(cx.with_markets(details))
+    return desc, desc, cx.query_lines(desc, outputs), outputs
 
 
 _QP = q.fill(cx.QUERY_PROMPT, event_title="event_title", descriptions="description",
@@ -83,8 +83,8 @@ left join blocks b on b.event_ticker = l.event_ticker and b.query_no = l.query_n
 def summary_prompts(spark, sf):
     """Summary prompt per query line with its top articles (none -> no blocks)."""
     desc, _, lines, _ = _ctx(spark, sf)
-    _, _, scraped = search_chain(spark, sf)
-    top = si.top_articles(si.score_articles(desc, scraped), params.NUM_URLS)
+    linked_desc, _, arts, scraped = search_chain(spark, sf)
+    top = si.top_articles(si.score_articles(linked_desc, scraped, arts), params.NUM_URLS)
     return cx.summary_prompts(lines, desc, top)
 
 

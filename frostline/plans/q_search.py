@@ -18,16 +18,19 @@ C2 = repr((math.log(1.5) + 1.0) ** 2)
 
 
 def search_chain(spark, sf):
-    """descriptions, deduplicated results, scraped results (article attached)."""
-    desc = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
+    """descriptions (of events with links), deduplicated results, per-link
+    articles, scraped results (article attached)."""
     dedup = se.dedup_results(tables.standin(spark, sf, "fx_search_results"))
-    scraped = se.scrape(dedup, tables.standin(spark, sf, "fx_web_pages"))
-    return desc, dedup, scraped
+    linked = tables.event_details(spark, sf).join(dedup.select("event_ticker").distinct(),
+                                                  "event_ticker", "left_semi")
+    desc = cx.descriptions(cx.with_markets(linked))
+    arts = se.link_articles(dedup, tables.standin(spark, sf, "fx_web_pages"))
+    return desc, dedup, arts, se.scrape(dedup, None, arts)
 
 
 def scored(spark, sf):
-    desc, _, scraped = search_chain(spark, sf)
-    return si.score_articles(desc, scraped)
+    desc, _, arts, scraped = search_chain(spark, sf)
+    return si.score_articles(desc, scraped, arts)
 
 
 # Oracle CTEs: dedup, articles, descriptions, similarity by the closed form.

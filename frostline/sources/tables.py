@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline import schemas
 from frostline.functions.ordering import spread
+from frostline.session import checkpoint_dir
 from frostline.sources import standins
 
 DRIVER_TABLES = (
@@ -38,8 +41,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in block as a DataFrame, bound to the tables of ``sf_dir``."""
+def _standin_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), sf_dir, "fx:" + name)
     if key not in _FRAMES:
         register_tables(spark, sf_dir)
@@ -51,6 +53,26 @@ def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _FRAMES[key]
 
 
+def frozen(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """An input table written once per session under the shared checkpoint folder.
+
+    Frozen inputs stand for tables that ingestion has already written; every
+    query of the session reads the same files instead of re-deriving them.
+    """
+    key = (id(spark), sf_dir, "frozen:" + name)
+    if key not in _FRAMES:
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        path = f"{checkpoint_dir(spark)}/frozen-{spark.sparkContext.applicationId}/{tag}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _FRAMES[key] = spread(spark.read.parquet(path))
+    return _FRAMES[key]
+
+
+def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stand-in block as a frozen input table of ``sf_dir``."""
+    return frozen(spark, sf_dir, name, lambda: _standin_plan(spark, sf_dir, name))
+
+
 def _market_struct(prefix: str = "") -> F.Column:
     names = [f.split()[0] for f in schemas.API_MARKET_FIELDS.split(", ")]
     return F.struct(*[F.col(prefix + n).alias(n) for n in names])
@@ -67,6 +89,10 @@ def _nest_markets(markets: DataFrame) -> DataFrame:
 
 def current_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Today's open-events feed with nested markets (``schemas.API_EVENT``)."""
+    return frozen(spark, sf_dir, "api_feed", lambda: _current_feed(spark, sf_dir))
+
+
+def _current_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = standin(spark, sf_dir, "fx_feed_events")
     nested = _nest_markets(standin(spark, sf_dir, "fx_feed_markets"))
     return (events.join(nested, "event_ticker", "left")
@@ -78,6 +104,10 @@ def current_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event detail per event (``schemas.EVENT_DETAIL``); markets key may be absent (NULL)."""
+    return frozen(spark, sf_dir, "api_details", lambda: _event_details(spark, sf_dir))
+
+
+def _event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = standin(spark, sf_dir, "fx_details")
     nested = _nest_markets(standin(spark, sf_dir, "fx_feed_markets"))
     empty = F.array().cast(f"array<{schemas.API_MARKET}>")
@@ -90,6 +120,10 @@ def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def previous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yesterday's active-event state (``schemas.ACTIVE_EVENTS``)."""
+    return frozen(spark, sf_dir, "state_active_events", lambda: _previous_events(spark, sf_dir))
+
+
+def _previous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = standin(spark, sf_dir, "fx_prev_events")
     rep = (standin(spark, sf_dir, "fx_prev_event_reports")
            .groupBy("event_ticker")
@@ -104,6 +138,10 @@ def previous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def previous_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yesterday's active-market state (``schemas.ACTIVE_MARKETS``)."""
+    return frozen(spark, sf_dir, "state_active_markets", lambda: _previous_markets(spark, sf_dir))
+
+
+def _previous_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pm = standin(spark, sf_dir, "fx_prev_markets")
     return pm.select(*schemas.MARKET_STATE_FIELDS,
                      F.create_map(F.lit(standins.STAMP_PREV), F.col("prev_price")).alias("market_price"),
