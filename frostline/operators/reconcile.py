@@ -18,7 +18,10 @@ from frostline.functions import dates, prices
 
 EVENT_FIELDS = ("event_ticker", "series_ticker", "title", "sub_title", "mutually_exclusive",
                 "category")
-EMPTY_STR_MAP = F.create_map().cast("map<string,string>")
+
+
+def _empty_map() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 # --- events -----------------------------------------------------------------
@@ -61,7 +64,7 @@ def new_events(prev_events: DataFrame, cur_events: DataFrame, stamp: str) -> Dat
     """Feed events not stored yet, as new state records (empty report maps)."""
     return (cur_events.join(prev_events.select("event_ticker"), "event_ticker", "left_anti")
             .select(*EVENT_FIELDS,
-                    EMPTY_STR_MAP.alias("bing_reports"), EMPTY_STR_MAP.alias("ddgs_reports"),
+                    _empty_map().alias("bing_reports"), _empty_map().alias("ddgs_reports"),
                     F.lit(stamp).alias("added_on"), F.col("feed_pos").cast("bigint").alias("feed_pos")))
 
 
@@ -133,10 +136,10 @@ def add_report_ids(events: DataFrame, entries: DataFrame) -> DataFrame:
     """Insert index entries into ``ddgs_reports`` where the day is absent."""
     adds = (entries.groupBy("event_ticker")
             .agg(F.map_from_entries(F.collect_list(F.struct("stamp", "hash_id"))).alias("_adds")))
-    cur = F.coalesce(F.col("ddgs_reports"), EMPTY_STR_MAP)
+    cur = F.coalesce(F.col("ddgs_reports"), _empty_map())
     merged = F.when(F.col("_adds").isNull(), cur).otherwise(
         F.map_concat(cur, F.map_filter("_adds", lambda k, v: ~F.map_contains_key(cur, k))))
-    cols = [F.coalesce(F.col("bing_reports"), EMPTY_STR_MAP).alias("bing_reports")
+    cols = [F.coalesce(F.col("bing_reports"), _empty_map()).alias("bing_reports")
             if c == "bing_reports" else merged.alias("ddgs_reports") if c == "ddgs_reports" else F.col(c)
             for c in events.columns]
     return events.join(adds, "event_ticker", "left").select(*cols)

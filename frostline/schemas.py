@@ -16,7 +16,7 @@ API_EVENT = (
 )
 
 # Event detail of a single event (fetched for dropped events).
-EVENT_DETAIL = f"event_ticker string, category string, markets array<{API_MARKET}>"
+EVENT_DETAIL = f"event_ticker string, title string, category string, markets array<{API_MARKET}>"
 
 # Active-event state. (added_on, feed_pos) is the list order: retained events
 # keep theirs, new events get (today, position in today's feed).

@@ -1,0 +1,135 @@
+"""Text expressions against Python's own string handling; similarity vs direct TF-IDF."""
+
+import math
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from frostline.functions import text
+from frostline.operators import context as cx
+from frostline.operators import search as se
+from frostline.operators import similarity as si
+
+from conftest import SMALL
+
+SPECIAL = "  a\tb \x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　 end \r\n line2\rline3\n\n    last  "
+
+
+def test_strip_and_lines_match_python(spark):
+    df = spark.createDataFrame([(SPECIAL,), ("",), ("\n\n",), ("x\r\n\r\ny",)], "s string")
+    got = df.select(text.py_strip("s").alias("a"), text.nonblank_lines("s").alias("b")).collect()
+    for (s,), r in zip(df.collect(), got):
+        assert r.a == s.strip()
+        assert r.b == [ln.strip() for ln in s.splitlines() if ln.strip()]
+
+
+def test_tokens_match_python_on_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(60).collect()
+    df = spark.createDataFrame([(d.text,) for d in docs], "s string")
+    got = [r[0] for r in df.select(text.word_tokens("s")).collect()]
+    for (d,), toks in zip(df.collect(), got):
+        assert toks == re.findall(r"(?u)\b\w\w+\b", d.lower())
+
+
+def test_paragraph_contract(spark):
+    html = ("<html><head><style>p{x}</style><script>var t=\"</p>\";</script></head><body>"
+            "<p>One <b>bold</b>&amp;fine &nbsp;</p><!-- c --><p class='x'>Two<p>Three "
+            "&lt;tag&gt;</article><p></p><P>Four &quot;q&quot; &copy;</body></html>")
+    got = spark.createDataFrame([(html,)], "h string").select(text.paragraph_text("h")).first()[0]
+    assert got == "One bold &fine\nTwo\nThree <tag>\n\nFour \"q\" ©"
+
+
+def test_article_length_bounds(spark):
+    para = "<p>" + "x" * 150 + "</p>"
+    rows = [("u1", 200, para), ("u2", 200, para + para), ("u3", 404, para + para),
+            ("u4", 200, "<p>" + "y" * 100001 + "</p>")]
+    pages = spark.createDataFrame(rows, "url string, http_status int, html string")
+    got = sorted((r.url, r.n_chars) for r in se.page_articles(pages).collect())
+    assert got == [("u2", 301)]
+
+
+def test_dedup_scope_and_limit(spark):
+    rows = [("E", 1, r, h, "t", "b") for r, h in enumerate(["a", "b", "a", "", "c", "b", "d", "e", "f", "g", "h"], 1)]
+    rows += [("E", 2, 1, "a", "t", "b")]
+    res = spark.createDataFrame(rows, "event_ticker string, query_no long, rnk long, href string, title string, body string")
+    got = sorted((r.query_no, r.rnk, r.href) for r in se.dedup_results(res, num_urls=5).collect())
+    # rank limit 10 first, then empty links out, then first per link inside each query
+    assert got == [(1, 1, "a"), (1, 2, "b"), (1, 5, "c"), (1, 7, "d"), (1, 8, "e"), (1, 9, "f"),
+                   (1, 10, "g"), (2, 1, "a")]
+
+
+def _tfidf_cosine(a, b):
+    """Two-document TF-IDF with smooth IDF and L2 norm, computed directly."""
+    ta = re.findall(r"(?u)\b\w\w+\b", a.lower())
+    tb = re.findall(r"(?u)\b\w\w+\b", b.lower())
+    vocab = sorted(set(ta) | set(tb))
+    if not vocab:
+        return 0.0
+    tf = np.array([[ta.count(w) for w in vocab], [tb.count(w) for w in vocab]], dtype=float)
+    df = (tf > 0).sum(axis=0)
+    idf = np.log((1 + 2) / (1 + df)) + 1
+    v = tf * idf
+    n = np.linalg.norm(v, axis=1)
+    if n[0] == 0 or n[1] == 0:
+        return 0.0
+    return float(v[0] @ v[1] / (n[0] * n[1]))
+
+
+def test_similarity_closed_form_equals_direct(spark):
+    rng = random.Random(11)
+    words = ["market", "vote", "rate", "the", "and", "price", "élection", "zinsen", "2025", "a", "de"]
+    descs, arts, links = [], [], []
+    for e in range(12):
+        descs.append((f"E{e}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))))
+        for k in range(3):
+            h = f"h{e}_{k}"
+            arts.append((h, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))))
+            links.append((f"E{e}", h))
+    arts.append(("nothing", "zzz qqq"))
+    links.append(("E0", "nothing"))
+    d = spark.createDataFrame(descs, "event_ticker string, description string")
+    a = spark.createDataFrame(arts, "href string, article string")
+    lk = spark.createDataFrame(links, "event_ticker string, href string")
+    got = {(r.event_ticker, r.href): r.similarity for r in si.link_similarity(d, a, lk, cut=False).collect()}
+    dd, aa = dict(descs), dict(arts)
+    assert len(got) == len(links)
+    for (e, h), s in got.items():
+        assert math.isclose(s, _tfidf_cosine(dd[e], aa[h]), abs_tol=1e-12), (e, h)
+        assert 0.0 <= s <= 1.0 + 1e-12
+
+
+def test_description_forms(spark):
+    m = lambda t, sec: {"ticker": t, "title": "T" + t, "yes_sub_title": "Y", "rules_primary": "R",
+                        "rules_secondary": sec, "expiration_time": "X"}
+    rows = [("E1", "Ev", [m("a", "S")]), ("E2", "Ev", [m("a", ""), m("b", None)]), ("E3", "Ev", [])]
+    df = spark.createDataFrame(rows, "event_ticker string, title string, markets array<struct<ticker:string,"
+                                     "title:string,yes_sub_title:string,rules_primary:string,"
+                                     "rules_secondary:string,expiration_time:string>>")
+    got = {r.event_ticker: r.description for r in cx.descriptions(df).collect()}
+    assert got["E1"] == ("Event title: Ev\nTitle: Ta\nSubtitle: Y\nPossible Outcomes: Yes (0) or No (1)\n"
+                         "Rules: R\nSecondary rules: S\nScheduled close date: X\n")
+    assert got["E2"] == ("# Market 1\nTicker: a\nTitle: Ta\nSubtitle: Y\nPossible Outcomes: Yes (0) or No (1)\n"
+                         "Rules: R\nScheduled close date: X\n\n"
+                         "# Market 2\nTicker: b\nTitle: Tb\nSubtitle: Y\nPossible Outcomes: Yes (0) or No (1)\n"
+                         "Rules: R\nScheduled close date: X\n\n")
+    assert got["E3"] == ""
+
+
+def test_report_sections(spark):
+    ev = spark.createDataFrame([("E1",), ("E2",)], "event_ticker string")
+    lines = spark.createDataFrame([("E1", 1, "q1"), ("E1", 2, "q2")], "event_ticker string, query_no long, query string")
+    outs = spark.createDataFrame([("E1", "summary", 1, "  first \n"), ("E1", "summary", 9, "x")],
+                                 "event_ticker string, purpose string, query_no long, completion string")
+    got = {r.event_ticker: r.report for r in cx.reports(lines, outs, ev).collect()}
+    assert got == {"E1": "# Research Report 1\nfirst\n\n# Research Report 2", "E2": ""}
+
+
+def test_query_lines_from_answer(spark):
+    ev = spark.createDataFrame([("E1",)], "event_ticker string")
+    outs = spark.createDataFrame([("E1", "queries", 0, "\n  rates outlook \n\nvote count\r\n")],
+                                 "event_ticker string, purpose string, query_no long, completion string")
+    got = [(r.query_no, r.query) for r in cx.query_lines(ev, outs).orderBy("query_no").collect()]
+    assert got == [(1, "rates outlook"), (2, "vote count")]
+    assert F is not None
