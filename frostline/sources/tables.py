@@ -154,3 +154,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
+
+
+def prepare_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Write every frozen input of ``sf_dir`` now (ingestion), instead of on first use."""
+    for block in standins.BLOCKS:
+        standin(spark, sf_dir, block)
+    current_feed(spark, sf_dir)
+    event_details(spark, sf_dir)
+    previous_events(spark, sf_dir)
+    previous_markets(spark, sf_dir)
+    return sorted(k[2] for k in _FRAMES if k[0] == id(spark) and k[1] == sf_dir and k[2].startswith("frozen:"))
