@@ -18,6 +18,7 @@ PY_SPACE = (r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}
 PY_LINE_BREAK = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 # Word tokens of the TF-IDF vectoriser: two or more word characters.
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
+NON_WORD = r"[^\p{L}\p{N}_]+"
 # Elements dropped before paragraphs are read, the paragraph opening tag, and
 # the closing tags that end an open paragraph.
 SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -53,6 +54,13 @@ def word_tokens(x) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(WORD_TOKEN), 0)
 
 
+def token_pieces(x) -> Column:
+    """Lower-cased runs of word characters (array; may hold empty and
+    one-character pieces). Exploded and filtered on length >= 2 it yields the
+    same tokens as ``word_tokens``, a little cheaper than matching each token."""
+    return F.split(F.lower(F.coalesce(_c(x), F.lit(""))), NON_WORD)
+
+
 def decode_entities(x) -> Column:
     out = _c(x)
     for ent, ch in ENTITIES:

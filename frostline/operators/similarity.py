@@ -32,7 +32,8 @@ ONE_SIDED_IDF = math.log(1.5) + 1.0
 
 def term_counts(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """``key, token, tf`` for every token of every text (map-side combined)."""
-    return (texts.select(key, F.explode(text.word_tokens(text_col)).alias("token"))
+    return (texts.select(key, F.explode(text.token_pieces(text_col)).alias("token"))
+            .where(F.length("token") >= 2)
             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
