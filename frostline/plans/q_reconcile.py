@@ -19,8 +19,15 @@ def _inputs(spark: SparkSession, sf: str):
                 prev_markets=tables.previous_markets(spark, sf), reports=tables.reports(spark, sf))
 
 
+_DAY_PLANS: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def day_state(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return rc.reconcile(stamp=DAY, **_inputs(spark, sf))
+    """The day's reconcile frames (plans only; built once per session and folder)."""
+    key = (id(spark), sf)
+    if key not in _DAY_PLANS:
+        _DAY_PLANS[key] = rc.reconcile(stamp=DAY, **_inputs(spark, sf))
+    return _DAY_PLANS[key]
 
 
 def _valid_and_prev(spark, sf):
