@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files of frames no longer referenced by the driver
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
