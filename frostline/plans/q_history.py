@@ -112,10 +112,11 @@ def strategy_score(spark, sf):
     """Brier score by strategy and category over markets resolved today with a
     decided result: last stored price against a coin flip."""
     s = day_state(spark, sf)
-    res = rc.first_stored(s["resolved_markets_new"].drop("resolution_date"))
+    res = rc.first_stored(s["resolved_markets_new"].select("ticker", "event_ticker", "market_price", "state_pos"))
     last = F.element_at(F.array_sort(F.map_entries("market_price")), -1)["value"]
-    results = (tables.event_details(spark, sf).select(F.inline("markets"))
-               .where(F.col("result").isin("yes", "no")).select("ticker", "result"))
+    results = (tables.event_details(spark, sf).select(F.explode("markets").alias("m"))
+               .select(F.col("m.ticker").alias("ticker"), F.col("m.result").alias("result"))
+               .where(F.col("result").isin("yes", "no")))
     cats = tables.previous_events(spark, sf).select("event_ticker", "category")
     out = (res.select("ticker", "event_ticker", last.alias("p_last"))
            .join(results, "ticker").join(cats, "event_ticker")

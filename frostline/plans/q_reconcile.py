@@ -24,7 +24,7 @@ _DAY_PLANS: dict[tuple, dict[str, DataFrame]] = {}
 
 def day_state(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The day's reconcile frames (plans only; built once per session and folder)."""
-    key = (id(spark), sf)
+    key = (tables.session_key(spark), sf)
     if key not in _DAY_PLANS:
         _DAY_PLANS[key] = rc.reconcile(stamp=DAY, **_inputs(spark, sf))
     return _DAY_PLANS[key]

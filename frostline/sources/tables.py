@@ -23,12 +23,18 @@ DRIVER_TABLES = (
 _FRAMES: dict[tuple, DataFrame] = {}
 
 
+def session_key(spark: SparkSession) -> tuple:
+    """Cache key of a session: a stopped session's id may be reused, its
+    application id is not."""
+    return (spark.sparkContext.applicationId, id(spark))
+
+
 # Tables whose rows carry long text or many rows: spread when the scan is narrow.
 WIDE_TABLES = ("lineitem", "orders", "documents", "pages", "conversations", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (id(spark), sf_dir, name)
+    key = (session_key(spark), sf_dir, name)
     if key not in _FRAMES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         _FRAMES[key] = spread(df) if name in WIDE_TABLES else df
@@ -42,11 +48,11 @@ def register_tables(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> No
 
 
 def _standin_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (id(spark), sf_dir, "fx:" + name)
+    key = (session_key(spark), sf_dir, "fx:" + name)
     if key not in _FRAMES:
         register_tables(spark, sf_dir)
         for block in standins.closure([name]):
-            bkey = (id(spark), sf_dir, "fx:" + block)
+            bkey = (session_key(spark), sf_dir, "fx:" + block)
             if bkey not in _FRAMES:
                 _FRAMES[bkey] = spark.sql(standins.BLOCKS[block])
             _FRAMES[bkey].createOrReplaceTempView(block)
@@ -59,7 +65,7 @@ def frozen(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     Frozen inputs stand for tables that ingestion has already written; every
     query of the session reads the same files instead of re-deriving them.
     """
-    key = (id(spark), sf_dir, "frozen:" + name)
+    key = (session_key(spark), sf_dir, "frozen:" + name)
     if key not in _FRAMES:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = f"{checkpoint_dir(spark)}/frozen-{spark.sparkContext.applicationId}/{tag}/{name}"
@@ -164,4 +170,5 @@ def prepare_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
     event_details(spark, sf_dir)
     previous_events(spark, sf_dir)
     previous_markets(spark, sf_dir)
-    return sorted(k[2] for k in _FRAMES if k[0] == id(spark) and k[1] == sf_dir and k[2].startswith("frozen:"))
+    me = session_key(spark)
+    return sorted(k[2] for k in _FRAMES if k[0] == me and k[1] == sf_dir and k[2].startswith("frozen:"))
