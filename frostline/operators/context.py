@@ -100,13 +100,26 @@ def _truthy(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+DESCRIPTION_FIELDS = ("ticker", "title", "yes_sub_title", "rules_primary", "rules_secondary", "expiration_time")
+
+
+def market_fields(fields, col: str = "markets") -> Column:
+    """The markets array reduced to ``fields`` (array of structs, same order).
+
+    Built from per-field array extractions (``markets.title`` ...), which the
+    parquet reader can prune to the named leaves; lambda access to the whole
+    struct would read every field of every market.
+    """
+    return F.arrays_zip(*[F.col(f"{col}.{f}").alias(f) for f in fields])
+
+
 def descriptions(details: DataFrame) -> DataFrame:
     """``event_ticker, event_title, description`` from the event detail.
 
     One market: the single-market form led by the event title. Several: one
     numbered block per market, each followed by a blank line. None: empty.
     """
-    ms = F.coalesce(F.col("markets"), F.array())
+    ms = F.coalesce(market_fields(DESCRIPTION_FIELDS), F.array())
 
     def tail(m):
         return F.concat(F.when(_truthy(m["rules_secondary"]),
@@ -186,7 +199,7 @@ def reports(queries: DataFrame, outputs: DataFrame, events: DataFrame) -> DataFr
 
 def with_markets(details: DataFrame) -> DataFrame:
     """Event details that have at least one market (the rest cannot be described)."""
-    return details.where(F.col("markets").isNotNull() & (F.size("markets") > 0))
+    return details.where(F.col("markets.ticker").isNotNull() & (F.size("markets.ticker") > 0))
 
 
 def pending_events(sample: DataFrame, stored: DataFrame, details: DataFrame, stamp: str) -> DataFrame:

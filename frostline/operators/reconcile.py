@@ -82,8 +82,10 @@ def resolve_dropped(dropped: DataFrame, details: DataFrame,
     """
     open_st = [F.lit(s) for s in params.OPEN_MARKET_STATUSES]
     decided = [F.lit(s) for s in params.DECIDED_RESULTS]
+    # only the four market fields used here are read from the nested detail
+    fields = F.arrays_zip(*[F.col(f"markets.{f}").alias(f) for f in ("open_time", "close_time", "status", "result")])
     d = details.select("event_ticker", F.col("category").alias("_detail_category"),
-                       F.col("markets").alias("_markets"), F.lit(True).alias("_has_detail"))
+                       fields.alias("_markets"), F.lit(True).alias("_has_detail"))
     j = dropped.join(d, "event_ticker", "left")
     ms = F.col("_markets")
     earliest = F.array_min(F.transform(ms, lambda m: dates.parse_api_time(m["open_time"])))
