@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
 def with_row_index(df: DataFrame, order_cols: list[str], name: str = "pos",
                    num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based consecutive index following ``order_cols`` (a unique key).
@@ -35,13 +32,6 @@ def with_row_index(df: DataFrame, order_cols: list[str], name: str = "pos",
             .drop("_pid", "_local", "_off"))
 
 
-def maybe_broadcast(small: DataFrame, n_rows: int | None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast only when the row count is known and under ``limit``."""
-    if n_rows is not None and n_rows <= limit:
-        return F.broadcast(small)
-    return small
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a narrow input over the cluster before CPU-heavy row work.
 
