@@ -42,7 +42,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Meant for plain scans: on a derived frame the partition count would make
     Spark run the upstream stages.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (remote sessions): leave it to Spark
+        return df
+    return df.repartition(want) if have < want else df

@@ -26,7 +26,10 @@ _FRAMES: dict[tuple, DataFrame] = {}
 def session_key(spark: SparkSession) -> tuple:
     """Cache key of a session: a stopped session's id may be reused, its
     application id is not."""
-    return (spark.sparkContext.applicationId, id(spark))
+    try:
+        return (spark.sparkContext.applicationId, id(spark))
+    except Exception:  # sessions without a driver-side SparkContext handle
+        return (spark.conf.get("spark.app.id", ""), id(spark))
 
 
 # Tables whose rows carry long text or many rows: spread when the scan is narrow.
