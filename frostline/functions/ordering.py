@@ -16,10 +16,14 @@ def with_row_index(df: DataFrame, order_cols: list[str], name: str = "pos",
     """
     ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
               else df.repartitionByRange(*order_cols))
+    # The counts and the rows must see the same partitioning: cut the tagged
+    # frame with a reliable checkpoint so both read the same files (and a lost
+    # executor cannot re-tag rows differently).
     tagged = (ranged.sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+              .checkpoint(eager=True))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

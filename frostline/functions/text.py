@@ -68,6 +68,11 @@ def decode_entities(x) -> Column:
     return out
 
 
+# A run of tags with the white space around them: the boundary between two
+# text pieces of one paragraph.
+TAG_RUN = f"{PY_SPACE}*(?:<[^>]*>{PY_SPACE}*)+"
+
+
 def paragraph_text(html) -> Column:
     """Text of the ``<p>`` elements of a page, one paragraph per line.
 
@@ -75,14 +80,20 @@ def paragraph_text(html) -> Column:
     tag to the next opening ``<p>`` or to the first closing ``p``/``article``/
     ``body``/``html`` tag. Inside it, every text piece between tags is decoded,
     trimmed and dropped when empty; pieces are joined by one space.
+
+    Trimming every piece and joining the non-empty ones by a space is the same
+    as turning each run of tags (with the white space around it) into one
+    space and trimming the ends, so a paragraph costs one regex pass instead
+    of a split and a loop over pieces. ``&nbsp;`` is decoded first so that it
+    counts as white space at piece ends; the other references are decoded
+    after the tags are gone, so that a decoded ``<`` is text, not a tag.
     """
     body = F.regexp_replace(F.coalesce(_c(html), F.lit("")), SCRIPT_STYLE, "")
     opened = F.split(body, P_OPEN)
     paras = F.slice(opened, 2, F.greatest(F.size(opened), F.lit(1)))
 
     def one(p):
-        inner = F.regexp_replace(p, P_END, "")
-        pieces = F.transform(F.split(inner, ANY_TAG), lambda s: py_strip(decode_entities(s)))
-        return F.array_join(F.filter(pieces, lambda s: s != ""), " ")
+        inner = F.replace(F.regexp_replace(p, P_END, ""), F.lit("&nbsp;"), F.lit("\u00a0"))
+        return py_strip(decode_entities(F.regexp_replace(inner, TAG_RUN, " ")))
 
     return F.array_join(F.transform(paras, one), "\n")
