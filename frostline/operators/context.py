@@ -80,20 +80,30 @@ SECTION_SEP = "\n\n"
 # -----------------------------------------------------------------------------
 
 
-def fill(template: str, **values) -> Column:
-    """``template`` with ``{name}`` replaced by the given columns / literals.
-    NULL values read as the empty string."""
+def sql_literal(text_value: str) -> str:
+    """A Spark SQL string literal for ``text_value``."""
+    return "'" + text_value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def fill_sql(template: str, **exprs) -> str:
+    """SQL ``concat`` of ``template`` with ``{name}`` replaced by SQL expressions
+    (strings) or literal values (numbers); NULL reads as the empty string."""
     parts = []
     for piece in re.split(r"(\{\w+\})", template):
         if not piece:
             continue
         if piece.startswith("{") and piece.endswith("}"):
-            v = values[piece[1:-1]]
-            v = v if isinstance(v, Column) else F.lit(str(v))
-            parts.append(F.coalesce(v.cast("string"), F.lit("")))
+            v = exprs[piece[1:-1]]
+            sql = v if isinstance(v, str) else sql_literal(str(v))
+            parts.append(f"coalesce(cast(({sql}) as string), '')")
         else:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+            parts.append(sql_literal(piece))
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def fill(template: str, **exprs) -> Column:
+    """``template`` filled from SQL expressions, as one column expression."""
+    return F.expr(fill_sql(template, **exprs))
 
 
 def _truthy(c: Column) -> Column:
@@ -113,36 +123,33 @@ def market_fields(fields, col: str = "markets") -> Column:
     return F.arrays_zip(*[F.col(f"{col}.{f}").alias(f) for f in fields])
 
 
+def _tail_sql(m: str) -> str:
+    secondary = fill_sql(SECONDARY_RULES, rules_secondary=f"{m}.rules_secondary")
+    close = fill_sql(CLOSE_DATE, expiration_time=f"{m}.expiration_time")
+    return (f"concat(case when coalesce({m}.rules_secondary, '') <> '' then {secondary} else '' end, "
+            f"{close})")
+
+
 def descriptions(details: DataFrame) -> DataFrame:
     """``event_ticker, event_title, description`` from the event detail.
 
     One market: the single-market form led by the event title. Several: one
     numbered block per market, each followed by a blank line. None: empty.
     """
-    ms = F.coalesce(market_fields(DESCRIPTION_FIELDS), F.array())
-
-    def tail(m):
-        return F.concat(F.when(_truthy(m["rules_secondary"]),
-                               fill(SECONDARY_RULES, rules_secondary=m["rules_secondary"]))
-                        .otherwise(F.lit("")),
-                        fill(CLOSE_DATE, expiration_time=m["expiration_time"]))
-
-    m0 = ms[0]
-    single = F.concat(fill(SINGLE_MARKET, event_title=F.col("title"), title=m0["title"],
-                           yes_sub_title=m0["yes_sub_title"], rules_primary=m0["rules_primary"]),
-                      tail(m0))
-    many = F.array_join(F.transform(ms, lambda m, i: F.concat(
-        fill(MARKET_ITEM, i=i + 1, ticker=m["ticker"], title=m["title"],
-             yes_sub_title=m["yes_sub_title"], rules_primary=m["rules_primary"]),
-        tail(m), F.lit("\n"))), "")
-    return details.select("event_ticker", F.col("title").alias("event_title"),
-                          F.when(F.size(ms) == 1, single).otherwise(many).alias("description"))
+    single = fill_sql(SINGLE_MARKET, event_title="title", title="_ms[0].title",
+                      yes_sub_title="_ms[0].yes_sub_title", rules_primary="_ms[0].rules_primary")
+    item = fill_sql(MARKET_ITEM, i="i + 1", ticker="m.ticker", title="m.title",
+                    yes_sub_title="m.yes_sub_title", rules_primary="m.rules_primary")
+    text_sql = (f"case when size(_ms) = 1 then concat({single}, {_tail_sql('_ms[0]')}) "
+                f"else array_join(transform(_ms, (m, i) -> concat({item}, {_tail_sql('m')}, '\\n')), '') end")
+    return (details.select("event_ticker", "title",
+                           F.coalesce(market_fields(DESCRIPTION_FIELDS), F.array()).alias("_ms"))
+            .select("event_ticker", F.col("title").alias("event_title"), F.expr(text_sql).alias("description")))
 
 
 def query_prompts(desc: DataFrame, num_queries: int = params.NUM_QUERIES,
                   max_words: int = params.MAX_QUERY_WORDS) -> DataFrame:
-    return desc.select("event_ticker", fill(QUERY_PROMPT, event_title=F.col("event_title"),
-                                            descriptions=F.col("description"),
+    return desc.select("event_ticker", fill(QUERY_PROMPT, event_title="event_title", descriptions="description",
                                             num_queries=num_queries, max_words=max_words).alias("prompt"))
 
 
@@ -164,8 +171,7 @@ def query_lines(events: DataFrame, outputs: DataFrame) -> DataFrame:
 def article_blocks(top: DataFrame) -> DataFrame:
     """``event_ticker, query_no, articles``: the numbered article blocks of a
     query's top articles, in rank order (at most ``num_urls`` per query)."""
-    block = fill(ARTICLE_ITEM, i=F.col("article_no"), title=F.col("title"), body=F.col("body"),
-                 href=F.col("href"), article=F.col("article"))
+    block = fill(ARTICLE_ITEM, i="article_no", title="title", body="body", href="href", article="article")
     return (top.select("event_ticker", "query_no", F.struct("article_no", block.alias("b")).alias("x"))
             .groupBy("event_ticker", "query_no")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "")
@@ -179,8 +185,8 @@ def summary_prompts(queries: DataFrame, desc: DataFrame, top: DataFrame) -> Data
          .join(desc, "event_ticker")
          .join(blocks, ["event_ticker", "query_no"], "left"))
     return j.select("event_ticker", "query_no",
-                    fill(SUMMARY_PROMPT, event_title=F.col("event_title"), descriptions=F.col("description"),
-                         articles=F.coalesce("articles", F.lit(""))).alias("prompt"))
+                    fill(SUMMARY_PROMPT, event_title="event_title", descriptions="description",
+                         articles="articles").alias("prompt"))
 
 
 def reports(queries: DataFrame, outputs: DataFrame, events: DataFrame) -> DataFrame:
@@ -188,8 +194,8 @@ def reports(queries: DataFrame, outputs: DataFrame, events: DataFrame) -> DataFr
     joined by a blank line and trimmed. An event without queries gets ''."""
     summ = answer(outputs, "summary")
     sec = (queries.join(summ, ["event_ticker", "query_no"], "left")
-           .select("event_ticker", F.struct("query_no", fill(SECTION, i=F.col("query_no"),
-                                                             summary=F.col("answer")).alias("s")).alias("x")))
+           .select("event_ticker", F.struct("query_no", fill(SECTION, i="query_no",
+                                                             summary="answer").alias("s")).alias("x")))
     per_event = (sec.groupBy("event_ticker")
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]),
                                    SECTION_SEP).alias("_r")))
