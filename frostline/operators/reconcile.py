@@ -34,8 +34,10 @@ def split_feed(feed: DataFrame, market_limit: int = params.MARKET_LIMIT,
     silently vanishing.
     """
     opened = feed.where(F.col("status") == status)
-    valid = opened.where(F.col("markets").isNotNull() & (F.size("markets") < market_limit))
-    bad = (opened.where(F.col("markets").isNull())
+    # counted on one leaf field so the scan need not read whole market structs
+    tickers = F.col("markets.ticker")
+    valid = opened.where(tickers.isNotNull() & (F.size(tickers) < market_limit))
+    bad = (opened.where(tickers.isNull())
            .select("event_ticker", F.lit("feed_markets_missing").alias("reason")))
     return valid, bad
 
