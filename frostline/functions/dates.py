@@ -36,3 +36,11 @@ def lookback_stamps(day: str, lookback_days: int = 1) -> list[str]:
     """Day stamps of the look-back window, newest first (a job parameter)."""
     d = dt.date.fromisoformat(day)
     return [(d - dt.timedelta(days=i)).strftime("%Y%m%d") for i in range(lookback_days)]
+
+
+def lookback_stamps_col(day, lookback_days: int = 1) -> Column:
+    """Column form of the look-back window: ``yyyyMMdd`` stamps of the
+    ``lookback_days`` days ending at ``day`` (a date column), newest first."""
+    d = day if isinstance(day, Column) else F.col(day)
+    days = F.reverse(F.sequence(F.date_sub(d, lookback_days - 1), d))
+    return F.transform(days, lambda x: F.date_format(x, "yyyyMMdd"))

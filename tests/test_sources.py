@@ -57,3 +57,11 @@ def test_lookback_window(spark):
     assert got == {"A": {"20250830": "x", "20250831": "ddgs_a_20250831", "20250901": "ddgs_a_20250901"},
                    "C": {"20250901": "ddgs_c_20250901"}}
     assert [tuple(r) for r in out["quarantine"].collect()] == [("B", "no_markets")]
+
+
+def test_lookback_column_matches_parameter(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.date(2025, 3, 1),), (dt.date(2024, 1, 1),)], "d date")
+    got = [r[0] for r in df.select(dates.lookback_stamps_col("d", 3)).collect()]
+    assert got == [dates.lookback_stamps("2025-03-01", 3), dates.lookback_stamps("2024-01-01", 3)]
+    assert df.select(dates.lookback_stamps_col("d")).first()[0] == ["20250301"]
