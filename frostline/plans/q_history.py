@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frostline.operators import backtest as bt
@@ -11,7 +10,7 @@ from frostline.operators import reconcile as rc
 from frostline.plans import sqlfrag as q
 from frostline.plans.catalog import query
 from frostline.plans.q_context import _ANS, CTX_BLOCKS, _ctx
-from frostline.plans.q_reconcile import _MK, _MK_BLOCKS, DAY, day_state
+from frostline.plans.q_reconcile import _MK, _MK_BLOCKS, day_state
 from frostline.plans.q_search import _DESC
 from frostline.sources import tables
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from frostline import params
-from frostline.operators import reconcile as rc
 from frostline.operators import sampling as sm
 from frostline.plans.catalog import query
 from frostline.plans.q_reconcile import _CUR, _EV_BLOCKS, day_state
