@@ -191,7 +191,10 @@ def summary_prompts(queries: DataFrame, desc: DataFrame, top: DataFrame) -> Data
 
 def reports(queries: DataFrame, outputs: DataFrame, events: DataFrame) -> DataFrame:
     """``event_ticker, report``: one section per query line (summary or empty),
-    joined by a blank line and trimmed. An event without queries gets ''."""
+    joined by a blank line and trimmed. An event without queries gets ''.
+
+    The sections gathered per event are the report itself: one per query line
+    of that event's answer (a few lines), never rows of other events."""
     summ = answer(outputs, "summary")
     sec = (queries.join(summ, ["event_ticker", "query_no"], "left")
            .select("event_ticker", F.struct("query_no", fill(SECTION, i="query_no",

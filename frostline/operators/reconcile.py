@@ -137,7 +137,9 @@ def report_entries(first: DataFrame) -> DataFrame:
 
 
 def add_report_ids(events: DataFrame, entries: DataFrame) -> DataFrame:
-    """Insert index entries into ``ddgs_reports`` where the day is absent."""
+    """Insert index entries into ``ddgs_reports`` where the day is absent.
+
+    An event gathers at most one entry per look-back day (a handful)."""
     adds = (entries.groupBy("event_ticker")
             .agg(F.map_from_entries(F.collect_list(F.struct("stamp", "hash_id"))).alias("_adds")))
     cur = F.coalesce(F.col("ddgs_reports"), _empty_map())
