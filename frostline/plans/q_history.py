@@ -113,7 +113,9 @@ def strategy_score(spark, sf):
     s = day_state(spark, sf)
     res = rc.first_stored(s["resolved_markets_new"].select("ticker", "event_ticker", "market_price", "state_pos"))
     last = F.element_at(F.array_sort(F.map_entries("market_price")), -1)["value"]
-    results = (tables.event_details(spark, sf).select(F.explode("markets").alias("m"))
+    resolved_events = res.select("event_ticker").distinct()
+    results = (tables.event_details(spark, sf).join(resolved_events, "event_ticker", "left_semi")
+               .select(F.explode("markets").alias("m"))
                .select(F.col("m.ticker").alias("ticker"), F.col("m.result").alias("result"))
                .where(F.col("result").isin("yes", "no")))
     cats = tables.previous_events(spark, sf).select("event_ticker", "category")
