@@ -148,3 +148,19 @@ def test_reconcile_invariants_on_fixture(spark):
     act = out["active_markets"].select("ticker")
     assert act.join(out["resolved_markets_new"], "ticker").count() == 0
     assert out["active_markets"].select("ticker").distinct().count() == out["active_markets"].count()
+
+
+def test_event_growing_to_market_limit_is_dropped_and_resolved(spark):
+    prev = state_events(spark, [("G", "grows")])
+    six = [market(ticker=f"G{i}", event_ticker="G", status="active") for i in range(6)]
+    cur = feed(spark, [dict(event_ticker="G", markets=six)])
+    valid, _ = rc.split_feed(cur)
+    assert valid.count() == 0
+    det = details(spark, [("G", "grows", "Econ", six)])
+    pm = _prev_markets(spark, [("G0", 1, 1, "active")])
+    out = rc.reconcile(cur, det, prev, pm, spark.createDataFrame([], schemas.REPORTS), "20250901")
+    res = out["resolved_events_new"].collect()
+    assert [(r.event_ticker, r.is_resolved, r.has_resolved, r.category) for r in res] == [("G", False, False, "Econ")]
+    gone = out["resolved_markets_new"].collect()
+    assert [(g.ticker, g.resolution_date) for g in gone] == [("G0", "20250901")]
+    assert out["active_events"].count() == 0 and out["active_markets"].count() == 0
