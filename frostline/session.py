@@ -46,15 +46,18 @@ def get_session(master: str | None = None, app: str = "frostline",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting comes with the session and is used as is. Only
-    when it is unset (local tests) a fresh scratch folder is taken.
+    On a cluster the setting must come with the session: a folder of one
+    machine cannot be read by the others, so an unset value is an error there.
+    Only a local master, where driver and executors are one process, takes a
+    scratch folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="frostline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # remote sessions read spark.checkpoint.dir themselves
-        pass
     return current
