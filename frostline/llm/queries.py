@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from frostline.llm import content_sort, quality, shards
+from frostline.llm import content_sort, line_dedup, packing, quality, shards
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op6_interleave": shards.op6_interleave,
+    "op8_pack": packing.op8_pack,
     "op10_content_sort": content_sort.op10_content_sort,
 }
 
 ORACLE = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
     "op6_interleave": shards.OP6_SQL,
     "op10_content_sort": content_sort.OP10_SQL,
