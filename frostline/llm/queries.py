@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from frostline.llm import content_sort, langid, line_dedup, packing, quality, shards
+from frostline.llm import bpe, content_sort, langid, line_dedup, packing, quality, shards
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op5_nearest_centroid": langid.op5_nearest_centroid,
     "op6_interleave": shards.op6_interleave,
+    "op7_tree_concatenation": bpe.op7_tree_concatenation,
     "op8_pack": packing.op8_pack,
     "op10_content_sort": content_sort.op10_content_sort,
 }
