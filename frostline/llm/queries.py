@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from frostline.llm import bpe, content_sort, langid, line_dedup, packing, quality, shards
+from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, quality, shards
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_minhash": minhash.op3_minhash,
+    "op4_subword_lattice": lattice_lm.op4_subword_lattice,
     "op5_nearest_centroid": langid.op5_nearest_centroid,
     "op6_interleave": shards.op6_interleave,
     "op7_tree_concatenation": bpe.op7_tree_concatenation,
