@@ -20,6 +20,7 @@ an empty table gives no rows. Columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,32 +28,79 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import binary_values, byte_slices, documents, settle
+from frostline.llm.common import byte_slices, documents, settle
 from frostline.llm.shards import BUCKET_ROWS, ranked
 
 WINDOW, END_ID = 2048, 1
-#: Runs of characters whose ids a worker remembers, and the longest of these in bytes.
-MEMO_RUNS, MEMO_BYTES = 300_000, 40
+#: Runs of characters, and words within them, whose ids a worker remembers, and the longest of these.
+MEMO_RUNS, MEMO_CHARS = 300_000, 40
+#: A word of Latin letters and the signs after it: the tokenizer splits between the two and nowhere else.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
 
 
-class RunCoder(dict):
-    """Ids of a run of characters, as little-endian 32-bit integers."""
+class RunCoder:
+    """Ids of texts by their runs of characters."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, run: bytes) -> bytes:
-        ids = array("I", self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        if len(run) <= MEMO_BYTES and len(self) < MEMO_RUNS:
-            self[run] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.ends = np.array([n.endswith("</w>") for n in names])
+
+    def plain(self, run: str) -> bytes:
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single words, encoded together: each ends with a token that ends a word."""
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return {w: self.plain(w) for w in words}
+        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return {w: data[a:b] for w, a, b in zip(words, at, at[1:])}
+
+    def learn(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs, as little-endian 32-bit integers; what comes first is remembered."""
+        found = list(map(self.runs.get, runs))
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        split = [(i, m[1].lower(), m[2]) for i in rest if (m := _WORD.fullmatch(runs[i]))]
+        new = self.encode_words(list({w for _, w, _ in split if w not in self.words}))
+        signs = {s: self.plain(s) for s in {s for _, _, s in split}}
+        for i, word, after in split:
+            found[i] = (new.get(word) or self.words[word]) + signs[after]
+        for i in rest:
+            if found[i] is None:
+                found[i] = self.plain(runs[i])
+        for memo, items in ((self.words, new.items()), (self.runs, ((runs[i], found[i]) for i in rest))):
+            for k, v in items:
+                if len(memo) >= MEMO_RUNS:
+                    break
+                if len(k) <= MEMO_CHARS:
+                    memo[k] = v
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's begin (and the last one's end)."""
+        runs = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = runs.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        parts = self.learn(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), dtype="<u4")
+        n = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        ids = pool[np.arange(ends[-1]) + np.repeat(shift, n)]
+        at = runs.offsets.to_numpy()
+        return ids, ends[at - at[0]]
 
 
 _CODERS: dict[str, RunCoder] = {}
@@ -71,8 +119,9 @@ def _cut(path: str, end_id: int, window: int, with_ids: bool):
         code, end = coder(path), array("I", [end_id]).tobytes()
         for b in byte_slices(batches, "text"):
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), binary_values(b.column("text"))):
-                ids = code.encode(text or b"") + end
+            all_ids, at = code.encode(b.column("text"))
+            for doc, lo, hi in zip(b.column("doc_id").to_pylist(), at, at[1:]):
+                ids = all_ids[lo:hi].tobytes() + end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start:4 * (start + window)]
