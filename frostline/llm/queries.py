@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, quality, shards
+from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, quality, shards, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_interleave": shards.op6_interleave,
     "op7_tree_concatenation": bpe.op7_tree_concatenation,
     "op8_pack": packing.op8_pack,
+    "op9_association_rules": url_rules.op9_association_rules,
     "op10_content_sort": content_sort.op10_content_sort,
 }
 
