@@ -1,8 +1,71 @@
-"""Training-data pipeline over ``documents`` (stages follow with their operators)."""
+"""Training-data pipeline over ``documents``.
 
-STAGES: list = []
+Quality rules, language identification, exact dedup, near-dedup and packing:
+each stage works on all that its predecessor kept. A stage takes (spark, docs,
+sf_dir); its result is written as Parquet and read again as the next one's docs.
+All but the last keep the columns of ``documents``.
+
+A row is known by its id and its text: of rows equal in both one stays at exact
+dedup, and rows without an id pass the near-dedup. An empty table gives no
+sequences. Further columns are carried along until packing.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from frostline.llm import content_sort, langid, minhash, packing, quality
+from frostline.llm.common import documents, settle
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = (content_sort.exact_dedup(docs).filter("kept")
+            .select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash"))
+    row = Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash")
+    return (_hashed(docs).join(kept, same, "left_semi").withColumn("_row", F.row_number().over(row)).filter("_row = 1")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    dropped = (minhash.near_duplicates(docs).filter("NOT kept")
+               .select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")))
+    same = (F.col("doc_id") == F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash"))
+    return _hashed(docs).join(dropped, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing_stage),
+]
+
+#: MinHash and tokenizers have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,8 +18,9 @@ Sets are compared as 64-bit hashes of their shingles, equal sets by 128 bits.
 
 Defined cases: a text without words, null or empty, is linked with nothing; a
 text with fewer words than a shingle is one shingle. A row without id is linked
-with nothing and stays. Rows that share an id are one document, linked with
-whatever one of them is. Columns other than id and text are ignored.
+with nothing and stays. Rows that share an id are judged by their own texts;
+where both texts' nodes bear that id, they count as linked. Columns other than
+id and text are ignored.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ def _sketch(k: int):
                 halves[full] = half_hashes([sets[i] for i in full])
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], dtype=U64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(digest[:, 0]), _signed(digest[:, 1]),
-                 _lists(halves.reshape(-1), [HALVES] * len(sets))], names=["doc_id", "n_shingles", "high", "low", "halves"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), _signed(digest[:, 0]), _signed(digest[:, 1]),
+                 _lists(halves.reshape(-1), [HALVES] * len(sets))], names=["doc_id", "text_hash", "n_shingles", "high", "low", "halves"])
     return run
 
 
@@ -151,10 +152,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id and kept. Linked are documents
-    whose sets share at least ``percent`` hundredths of their union."""
+    """One row per document: id, n_shingles, component_id, text_hash and kept. Linked are
+    documents whose sets share at least ``percent`` hundredths of their union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = settle(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, high long, low long, halves array<bigint>"), "sketches")
+    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = settle(hashed.mapInArrow(_sketch(k), "doc_id long, text_hash long, n_shingles long, high long, low long, halves array<bigint>"), "sketches")
     # one node for each distinct set, named after its smallest id
     nodes = settle(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low")
                    .agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.max("n_shingles").alias("n")), "nodes")
@@ -203,10 +205,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         F.col("high").alias("n_high"), F.col("low").alias("n_low"), F.coalesce("component", "node").alias("component"))
     same = (F.col("high") == F.col("n_high")) & (F.col("low") == F.col("n_low")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return (rows.drop("halves").join(named, same, "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def op3_minhash(spark, sf_dir):
     """Near-duplicate components of all documents: three words, 85 hundredths."""
-    return near_duplicates(documents(spark, sf_dir), 3, 85)
+    return near_duplicates(documents(spark, sf_dir), 3, 85).drop("text_hash")
