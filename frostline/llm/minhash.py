@@ -8,11 +8,14 @@ two collections agree: below 7e-7 at 0.85, 2e-5 at 0.8.
 
 Equal sets are one node. In each table bucket all nodes meet the bucket's
 smallest one; these candidate pairs are confirmed on the full sets and the
-links give components. Nodes that are not in their bucket's component then
-meet all other nodes of the bucket outside their own component, which closes
-every pair that a table proposed, while a group of copies that hangs together
-already costs one pair per copy and pivot, not all pairs. Components come from
-alternating star contractions; nothing is gathered on the driver.
+links give components. Buckets whose other nodes still are in several
+components are searched in full, in blocks inside the tasks: a pair is taken up
+only in the first table that proposes it, only if its ends are in different
+components, and only if sizes and minhashes allow the similarity (the latter
+loses less than one link in a million); what is left meets on the full sets.
+So a group of copies that hangs together costs a pair per copy and pivot, and
+no pair is ever written as a row. Components come from alternating star
+contractions; nothing is gathered on the driver.
 
 Sets are compared as 64-bit hashes of their shingles, equal sets by 128 bits.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import binary_values, byte_slices, documents, settle
+from frostline.llm.common import binary_values, byte_slices, documents, settle, shuffle_partitions
 
 HALVES, ROWS = 14, 2
 #: Words whose hash a worker remembers, and the longest of these in bytes.
@@ -42,6 +46,11 @@ MEMO_WORDS, MEMO_BYTES = 300_000, 40
 
 U64 = np.uint64
 _K = U64(0x9E3779B97F4A7C15)
+#: Members of a bucket that one task compares; larger buckets are compared block by block.
+BLOCK = 2048
+#: Share of true links that the comparison of minhashes may lose.
+LOSS = 1e-6
+TABLES = list(combinations(range(HALVES), 2))
 _SEEDS = np.random.default_rng(2024).integers(1, 2 ** 63, size=(2, HALVES * ROWS), dtype=np.uint64) | U64(1)
 
 
@@ -78,11 +87,13 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(s)
 
 
-def half_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """For each (non-empty) set, a row with the hash of each small collection of minhashes."""
+def half_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each (non-empty) set, a row with the hash of each small collection of minhashes,
+    and one with a byte of each minhash."""
     x = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     out = np.empty((len(sets), HALVES), dtype=U64)
+    low = np.empty((len(sets), HALVES * ROWS), dtype=np.uint8)
     for h in range(HALVES):
         both = np.full(len(sets), h, dtype=U64)
         for r in range(ROWS):
@@ -90,9 +101,21 @@ def half_hashes(sets: list[np.ndarray]) -> np.ndarray:
             y = (x ^ _SEEDS[0, i]) * _SEEDS[1, i]
             y ^= y >> U64(32)
             y *= _SEEDS[0, i]
-            both = mixed(both * _K + np.minimum.reduceat(y, at))
+            least = np.minimum.reduceat(y, at)
+            low[:, i] = least >> U64(8) & U64(255)
+            both = mixed(both * _K + least)
         out[:, h] = both
-    return out
+    return out, low
+
+
+def least_alike(percent: int) -> int:
+    """Equal minhashes that all but a share LOSS of the pairs of that similarity reach."""
+    n, t = HALVES * ROWS, percent / 100
+    below, c = 0.0, 0
+    while c <= n and below + comb(n, c) * t ** c * (1 - t) ** (n - c) <= LOSS:
+        below += comb(n, c) * t ** c * (1 - t) ** (n - c)
+        c += 1
+    return c
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -109,12 +132,14 @@ def _sketch(k: int):
             sets = [shingles(t or b"", k) for t in binary_values(b.column("text"))]
             full = [i for i, s in enumerate(sets) if len(s)]
             halves = np.zeros((len(sets), HALVES), dtype=U64)
+            low = np.zeros((len(sets), HALVES * ROWS), dtype=np.uint8)
             if full:
-                halves[full] = half_hashes([sets[i] for i in full])
+                halves[full], low[full] = half_hashes([sets[i] for i in full])
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], dtype=U64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), _signed(digest[:, 0]), _signed(digest[:, 1]),
-                 _lists(halves.reshape(-1), [HALVES] * len(sets))], names=["doc_id", "text_hash", "n_shingles", "high", "low", "halves"])
+                 _lists(halves.reshape(-1), [HALVES] * len(sets)), pa.array([r.tobytes() for r in low], pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "high", "low", "halves", "bytes"])
     return run
 
 
@@ -126,6 +151,87 @@ def _sets(k: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal keys, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        values = list(zip(*(b.column(k).to_pylist() for k in keys)))
+        start = 0
+        for i in range(len(values) + 1):
+            if i == len(values) or (i > start and values[i] != values[start]):
+                if held and i > start and values[start] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                    last = values[start]
+                start = i
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _bucket_pairs(percent: int):
+    """Per block pair of a bucket, the pairs to confirm: (key, lo, hi, node, partners)."""
+    alike = least_alike(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["key", "lo", "hi"]):
+            key, lo, hi, table = (t.column(c)[0].as_py() for c in ("key", "lo", "hi", "table"))
+            node, label, n, block = (t.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+            halves = t.column("halves").combine_chunks().flatten().to_numpy().reshape(len(node), HALVES)
+            low = np.frombuffer(b"".join(t.column("bytes").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+            i, j = TABLES[table]
+            out = []
+            for x in range(len(node)):
+                # later rows of the other block, or of the same one in its own pair
+                y = np.arange(x + 1, len(node))
+                y = y[(label[y] != label[x]) & ((lo == hi) | (block[y] != block[x]))]
+                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+                if len(y):
+                    y = y[(low[y] == low[x]).sum(axis=1) >= alike]
+                if len(y):  # only in the first table that proposes the pair
+                    same = halves[y, :j] == halves[x, :j]
+                    y = y[same.sum(axis=1) == 1]
+                if len(y):
+                    out.append((key, lo, hi, int(node[x]), node[y].tolist()))
+                    out += [(key, lo, hi, int(v), []) for v in node[y]]
+            if out:
+                best: dict = {}
+                for r in out:
+                    if r[3] not in best or r[4]:
+                        best[r[3]] = r
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*best.values()), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
+                                                 names=["key", "lo", "hi", "node", "partners"])
+    return run
+
+
+def _bucket_links(percent: int):
+    """Links among the pairs of a block pair, by the full sets; pairs already joined by others are passed over."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["key", "lo", "hi"]):
+            sets = {v: s.values.to_numpy() for v, s in zip(t.column("node").to_pylist(), t.column("shingles"))}
+            root = {v: v for v in sets}
+
+            def find(v):
+                while root[v] != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            links = []
+            for x, partners in zip(t.column("node").to_pylist(), t.column("partners").to_pylist()):
+                for y in partners:
+                    if y in sets and find(x) != find(y):
+                        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                            root[find(x)] = find(y)
+                            links.append((x, y))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the ends of links (a, b): the smallest node reachable.
     Alternates large and small stars until nothing changes."""
@@ -156,55 +262,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     documents whose sets share at least ``percent`` hundredths of their union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = settle(hashed.mapInArrow(_sketch(k), "doc_id long, text_hash long, n_shingles long, high long, low long, halves array<bigint>"), "sketches")
+    rows = settle(hashed.mapInArrow(_sketch(k), "doc_id long, text_hash long, n_shingles long, high long, low long, halves array<bigint>, bytes binary"), "sketches")
     # one node for each distinct set, named after its smallest id
     nodes = settle(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low")
-                   .agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.max("n_shingles").alias("n")), "nodes")
-    keys = [F.xxhash64(F.lit(i), F.lit(j), F.col("halves")[i], F.col("halves")[j]) for i, j in combinations(range(HALVES), 2)]
-    table = nodes.select("node", "n", F.explode(F.array(*keys)).alias("key"))
+                   .agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.first("bytes").alias("bytes"),
+                         F.max("n_shingles").alias("n")), "nodes")
+    keys = [F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), F.col("halves")[i], F.col("halves")[j]).alias("key"))
+            for t, (i, j) in enumerate(TABLES)]
+    table = nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.table", "k.key")
     pivots = (table.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
               .filter("pivot <> last").select(F.col("key").alias("p_key"), "pivot"))
-    members = settle(table.join(pivots, F.col("key") == F.col("p_key")).select("key", "pivot", "node", "n"), "buckets")
-
-    ids = members.select("node").distinct()
-    sets = settle(docs.join(ids, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(k), "node long, shingles array<bigint>")
-                  .filter(F.size("shingles") > 0), "sets")
+    members = settle(table.join(pivots, F.col("key") == F.col("p_key")).filter("node <> pivot").select("key", "table", "pivot", "node"), "buckets")
+
+    # all that meet their bucket's pivot, if sizes and minhashes allow a link
+    facts = lambda end: nodes.select(F.col("node").alias(f"{end}_node"), F.col("n").alias(f"{end}_n"), F.col("bytes").alias(f"{end}_bytes"))
+    equal = sum((F.substring("a_bytes", i + 1, 1) == F.substring("b_bytes", i + 1, 1)).cast("int") for i in range(HALVES * ROWS))
+    pairs = settle(members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+                   .join(facts("a"), F.col("a") == F.col("a_node")).join(facts("b"), F.col("b") == F.col("b_node"))
+                   .filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (equal >= least_alike(percent)))
+                   .select("a", "b"), "pivot-pairs")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """Shingles of the nodes ``ids``, from their documents."""
+        ids = ids.select(F.col("node").alias("id")).distinct()
+        return settle(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(k), "node long, shingles array<bigint>")
+                      .filter(F.size("shingles") > 0), name)
+
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), "pivot-sets")
     of = lambda end: sets.select(F.col("node").alias(f"{end}_node"), F.col("shingles").alias(f"{end}_set"))
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """The linked ones of pairs (a, b, n_b); sizes alone rule out many before sets meet."""
-        n_a, n_b, common = F.size("a_set"), F.col("n_b"), F.size(F.array_intersect("a_set", "b_set"))
-        first = (pairs.join(of("a"), F.col("a") == F.col("a_node"))
-                 .filter((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))))
-        return settle(first.join(of("b"), F.col("b") == F.col("b_node"))
-                      .filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common))
-                      .select("a", "b"), name)
-
-    links = confirmed(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-                      .distinct(), "star-links")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    links = settle(pairs.join(of("a"), F.col("a") == F.col("a_node")).join(of("b"), F.col("b") == F.col("b_node"))
+                   .filter(100 * common >= percent * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"), "pivot-links")
     label = components(links)
-    known = lambda end: label.select(F.col("node").alias(f"{end}_"), F.col("component").alias(f"{end}_label"))
-    marked = (members.join(known("node"), F.col("node") == F.col("node_"), "left").join(known("pivot"), F.col("pivot") == F.col("pivot_"), "left")
-              .select("key", "pivot", "node", "n", F.coalesce("node_label", "node").alias("label"),
-                      F.coalesce("pivot_label", "pivot").alias("pivot_label")))
-    marked = settle(marked, "marked")
-    apart = marked.filter("label <> pivot_label")
-    if not apart.isEmpty():
-        s = apart.select("key", F.col("node").alias("s"), F.col("label").alias("s_label"), F.col("n").alias("s_n"))
-        t = (marked.filter("node <> pivot")
-             .select(F.col("key").alias("t_key"), F.col("node").alias("t"), F.col("label").alias("t_label"), F.col("n").alias("t_n"),
-                     (F.col("label") != F.col("pivot_label")).alias("t_apart")))
-        pairs = (s.join(t, (F.col("key") == F.col("t_key")) & (F.col("s_label") != F.col("t_label"))
-                        & (~F.col("t_apart") | (F.col("s") < F.col("t")))
-                        & (100 * F.least("s_n", "t_n") >= percent * F.greatest("s_n", "t_n")))
-                 .select(F.col("s").alias("a"), F.col("t").alias("b"), F.col("t_n").alias("n_b")).distinct())
-        more = confirmed(pairs, "more-links")
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+
+    # buckets with nodes, beside the pivot, of several components
+    marked = settle(members.join(label.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
+                    .select("key", "table", "node", F.coalesce("component", "node").alias("label")), "marked")
+    mixed_up = (marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
+                .filter("least <> most").select(F.col("key").alias("m_key"), F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")))
+    blocks = (marked.join(mixed_up, F.col("key") == F.col("m_key"))
+              .join(nodes.select(F.col("node").alias("f_node"), "n", "halves", "bytes"), F.col("node") == F.col("f_node"))
+              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+              .select("key", "table", "node", "label", "n", "halves", "bytes", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")))
+    partitions = shuffle_partitions(docs.sparkSession)
+    todo = settle(blocks.repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+                  .mapInArrow(_bucket_pairs(percent), "key long, lo long, hi long, node long, partners array<bigint>"), "bucket-pairs")
+    if not todo.isEmpty():
+        sets = sets_of(todo, "bucket-sets")
+        more = settle(todo.join(sets.withColumnRenamed("node", "s_node"), F.col("node") == F.col("s_node")).drop("s_node")
+                      .repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+                      .mapInArrow(_bucket_links(percent), "a long, b long"), "bucket-links")
+        label = components(links.unionByName(more))
     named = nodes.join(label.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select(
         F.col("high").alias("n_high"), F.col("low").alias("n_low"), F.coalesce("component", "node").alias("component"))
     same = (F.col("high") == F.col("n_high")) & (F.col("low") == F.col("n_low")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    return (rows.drop("halves").join(named, same, "left")
+    return (rows.drop("halves", "bytes").join(named, same, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_hash")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
