@@ -29,73 +29,122 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.common import binary_values, byte_slices, documents, id_crc, settle
 
 HEAD_WORDS, HEAD_BYTES = 1 << 17, 64
-#: Distinct words that a task counts before it passes them on.
-FLUSH_WORDS = 200_000
+#: Characters of words whose lattices are worked on together.
+SLICE_CHARS = 1 << 16
+PRIME = np.uint64(0x100000001B3)
 #: Added to every count of the base model, as the contract fixes it, and of the piece model.
 SMOOTHING = 0.1
 BLANK, END = "▁", "</s>"
 
 
 class Lattice:
-    """Piece scores (natural logarithms) and the sums over segmentations."""
+    """Piece scores (natural logarithms) and the sums over segmentations.
+
+    Words of equal length are treated together, as rows of arrays; pieces are
+    found by the hash of a stretch of characters."""
 
     def __init__(self, pieces: list[str], counts: dict[str, float]):
-        total = sum(counts.get(p, 0) + SMOOTHING for p in pieces)
-        score = {p: math.log((counts.get(p, 0) + SMOOTHING) / total) for p in pieces}
-        self.end = score[END]
-        self.bytes = [score[f"<0x{b:02X}>"] for b in range(256)]
+        raw = np.array([counts.get(p, 0.0) for p in pieces]) + SMOOTHING
+        scores = np.log(raw / raw.sum())
+        place = {p: i for i, p in enumerate(pieces)}
+        self.pieces, self.end = pieces, float(scores[place[END]])
+        self.byte_place = np.array([place[f"<0x{b:02X}>"] for b in range(256)])
+        self.byte_scores = scores[self.byte_place]
         # control, byte and unknown symbols don't match text
-        self.score = {p: s for p, s in score.items() if not (p.startswith("<") and p.endswith(">")) and BLANK not in p[1:]}
-        self.longest = max(map(len, self.score))
-
-    def _edges(self, text: str, j: int, alpha: list[float]) -> list[tuple[int, float]]:
-        """(start, score of the way there and of the piece) of the pieces that end at j."""
-        get, found = self.score.get, []
-        for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
-            s = get(text[i:j])
-            if s is not None:
-                found.append((i, alpha[i] + s))
-            elif i == j - 1:  # a character outside the vocabulary
-                found.append((i, alpha[i] + sum(self.bytes[b] for b in text[i].encode("utf-8", "replace"))))
-        return found
-
-    def forward(self, text: str) -> list[float]:
-        alpha = [0.0] * (len(text) + 1)
-        for j in range(1, len(text) + 1):
-            ways = [w for _, w in self._edges(text, j, alpha)]
-            top = max(ways)
-            alpha[j] = top if len(ways) == 1 else top + math.log(sum([math.exp(w - top) for w in ways]))
+        text = [p for p in pieces if not (p.startswith("<") and p.endswith(">")) and BLANK not in p[1:]]
+        self.longest = max(map(len, text))
+        self.powers = PRIME ** np.arange(self.longest + 1, dtype=np.uint64)
+        hashes = np.array([self._prefixes(_codes([p]))[0, -1] for p in text])
+        order = np.argsort(hashes)
+        self.hashes, self.places = hashes[order], np.array([place[p] for p in text])[order]
+        self.scores = scores[self.places]
+
+    @staticmethod
+    def _prefixes(codes: np.ndarray) -> np.ndarray:
+        """Hashes of the first 0, 1, ... characters of each row."""
+        out = np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=np.uint64)
+        for j in range(codes.shape[1]):
+            out[:, j + 1] = out[:, j] * PRIME + codes[:, j]
+        return out
+
+    def _edges(self, codes: np.ndarray):
+        """For each end j and length l: the scores of the pieces (-inf: none) and their numbers
+        (-1: none, -2: a character outside the vocabulary, spelled by bytes)."""
+        hashes, edges = self._prefixes(codes), {}
+        for j in range(1, codes.shape[1] + 1):
+            for n in range(1, min(self.longest, j) + 1):
+                h = hashes[:, j] - hashes[:, j - n] * self.powers[n]
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = self.hashes[at] == h
+                score, piece = np.where(hit, self.scores[at], -np.inf), np.where(hit, self.places[at], -1)
+                if n == 1 and not hit.all():
+                    for c in np.unique(codes[~hit, j - 1]):
+                        same = ~hit & (codes[:, j - 1] == c)
+                        score[same] = self.byte_scores[list(chr(c).encode("utf-8", "replace"))].sum()
+                        piece[same] = -2
+                if n == 1 or hit.any():
+                    edges[j, n] = score, piece
+        return edges
+
+    def _forward(self, codes: np.ndarray, edges) -> np.ndarray:
+        alpha = np.zeros((codes.shape[0], codes.shape[1] + 1))
+        for j in range(1, codes.shape[1] + 1):
+            ways = np.stack([alpha[:, j - n] + edges[j, n][0] for n in range(1, min(self.longest, j) + 1) if (j, n) in edges])
+            top = ways.max(axis=0)
+            alpha[:, j] = top + np.log(np.exp(ways - top).sum(axis=0))
         return alpha
 
-    def word(self, word: bytes) -> float:
-        """Logarithm of the probability of a word with its blank."""
-        return self.forward(BLANK + word.decode("utf-8", "replace"))[-1]
-
-    def expected(self, word: bytes, weight: float, into: dict[str, float]) -> None:
-        """Adds the expected count of each piece in ``weight`` occurrences of a word."""
-        text = BLANK + word.decode("utf-8", "replace")
-        alpha = self.forward(text)
-        share = [0.0] * len(alpha)  # posterior probability that a segmentation passes a place
-        share[-1] = 1.0
-        for j in range(len(text), 0, -1):
-            if share[j] > 0:
-                for i, w in self._edges(text, j, alpha):
-                    p = share[j] * math.exp(w - alpha[j])
-                    share[i] += p
-                    piece = text[i:j]
-                    if piece in self.score:
-                        into[piece] = into.get(piece, 0.0) + weight * p
-                    else:
-                        for b in piece.encode("utf-8", "replace"):
-                            into[f"<0x{b:02X}>"] = into.get(f"<0x{b:02X}>", 0.0) + weight * p
+    def words(self, words: list[str]) -> np.ndarray:
+        """Logarithm of the probability of each word with its blank."""
+        out = np.zeros(len(words))
+        for at, codes in _by_length(words):
+            out[at] = self._forward(codes, self._edges(codes))[:, -1]
+        return out
+
+    def expected(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
+        """Adds the expected count of each piece in so many occurrences of each word."""
+        for at, codes in _by_length(words):
+            edges = self._edges(codes)
+            alpha = self._forward(codes, edges)
+            # weight of the segmentations that pass a place
+            share = np.zeros(alpha.shape)
+            share[:, -1] = weights[at]
+            for j in range(codes.shape[1], 0, -1):
+                for n in range(1, min(self.longest, j) + 1):
+                    if (j, n) in edges:
+                        score, piece = edges[j, n]
+                        w = share[:, j] * np.exp(alpha[:, j - n] + score - alpha[:, j])
+                        share[:, j - n] += w
+                        found = piece >= 0
+                        into += np.bincount(piece[found], weights=w[found], minlength=len(into))
+                        for r in np.flatnonzero(piece == -2):
+                            np.add.at(into, self.byte_place[list(chr(codes[r, j - 1]).encode("utf-8", "replace"))], w[r])
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts of equal length, one row each."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype="<u4").reshape(len(texts), -1).astype(np.uint64)
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places and code points of the words of each length, with their blank in front."""
+    places: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(len(w), []).append(i)
+    for n, at in places.items():
+        step = max(1, SLICE_CHARS // (n + 1))
+        for k in range(0, len(at), step):
+            yield at[k:k + step], _codes([BLANK + words[i] for i in at[k:k + step]])
 
 
 _MODELS: dict = {}
@@ -109,32 +158,22 @@ def processor(path: str):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    train, every = Counter(), Counter()
-
-    def rows():
-        words = list(every)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64()),
-                                           pa.array(list(every.values()), pa.int64())], names=["word", "train", "every"])
-
-    for b in byte_slices(batches, "text"):
-        for text, held in zip(binary_values(b.column("text")), b.column("held_out").to_pylist()):
-            words = (text or b"").lower().split()
-            every.update(words)
-            if not held:
-                train.update(words)
-            if len(every) >= FLUSH_WORDS:
-                yield rows()
-                train, every = Counter(), Counter()
-    if every:
-        yield rows()
+    for b in byte_slices(batches, "text", 16 << 20, 1 << 16):
+        for held in (False, True):
+            texts = b.filter(pc.equal(b.column("held_out"), held)).column("text")
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))).flatten()
+            counts = words.value_counts()
+            word, n = counts.field(0), counts.field(1)
+            some = pc.not_equal(word, "")  # what blanks at either end leave
+            word, n = word.filter(some), n.filter(some)
+            yield pa.RecordBatch.from_arrays([word, pa.array([0] * len(n), pa.int64()) if held else n, n], names=["word", "train", "every"])
 
 
 def _cut_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, found = processor(path), Counter()
         for b in byte_slices(batches, "word", 1 << 20, 20_000):
-            words = [w.decode("utf-8", "replace") for w in b.column("word").to_pylist()]
-            for ids, n in zip(sp.encode(words, num_threads=1), b.column("train").to_pylist()):
+            for ids, n in zip(sp.encode(b.column("word").to_pylist(), num_threads=1), b.column("train").to_pylist()):
                 for i in ids:
                     found[i] += n
         pieces = [sp.id_to_piece(i) for i in found]
@@ -144,18 +183,19 @@ def _cut_pieces(path: str):
 
 def _expected_pieces(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, float] = {}
-        for b in batches:
-            for w, n in zip(b.column("word").to_pylist(), b.column("train").to_pylist()):
-                shared.value.expected(w, n, found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["piece", "n"])
+        model = shared.value
+        found = np.zeros(len(model.pieces))
+        for b in byte_slices(batches, "word", 1 << 20, 20_000):
+            model.expected(b.column("word").to_pylist(), b.column("train").to_numpy().astype(float), found)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([model.pieces[i] for i in some], pa.string()), pa.array(found[some])], names=["piece", "n"])
     return run
 
 
 def _word_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shared.value.word(w) / math.log(10) for w in b.column("word").to_pylist()], pa.float64())],
+        for b in byte_slices(batches, "word", 1 << 20, 20_000):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.words(b.column("word").to_pylist()) / math.log(10))],
                                              names=[*b.schema.names, "log10"])
     return run
 
@@ -170,6 +210,7 @@ def _document_sums(shared):
                 words = (text or b"").lower().split()
                 known, base, score, rare = 0, 0.0, 0.0, []
                 for w, n in Counter(words).items():
+                    w = w.decode("utf-8", "replace")
                     h = head.get(w)
                     if h is None:
                         rare.append((row, w, n, 0, 0, 0.0, 0.0))
@@ -178,10 +219,10 @@ def _document_sums(shared):
                         base += n * h[1]
                         score += n * h[2]
                 # a blank never occurs in a word: this row meets no word and goes to a place of its own
-                rare.append((row, b" %d" % row, 0, len(words), known, base, score))
+                rare.append((row, f" {row}", 0, len(words), known, base, score))
                 for o, v in zip(out, zip(*rare)):
                     o.extend(v)
-            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names=["row", "word", "n", "words", "known", "base", "score"])
     return run
 
@@ -192,7 +233,7 @@ def score_documents(docs: DataFrame, held_out, path: str, rounds: int = 1, id_co
     score (log10). ``held_out``: a condition on ``doc_id``; the other rows are learned from."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out)
-    words = settle(docs.select("text", "held_out").mapInArrow(_counted, "word binary, train long, every long")
+    words = settle(docs.select("text", "held_out").mapInArrow(_counted, "word string, train long, every long")
                    .groupBy("word").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "words")
     texts = docs.filter(~F.col("held_out")).count()
     sums = words.agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
@@ -211,7 +252,7 @@ def score_documents(docs: DataFrame, held_out, path: str, rounds: int = 1, id_co
     model = lattice(_cut_pieces(path))
     for _ in range(rounds):
         model = lattice(_expected_pieces(spark.sparkContext.broadcast(model)))
-    words = settle(words.mapInArrow(_word_scores(spark.sparkContext.broadcast(model)), "word binary, train long, every long, log10 double"), "word-scores")
+    words = settle(words.mapInArrow(_word_scores(spark.sparkContext.broadcast(model)), "word string, train long, every long, log10 double"), "word-scores")
 
     # the least frequency that at most head_words words reach: a power of two
     level = F.floor(F.log2("every"))
@@ -225,7 +266,7 @@ def score_documents(docs: DataFrame, held_out, path: str, rounds: int = 1, id_co
     head = {w: (int(c > 0), py_base(c), s) for w, c, s in zip(*(table.column(n).to_pylist() for n in ("word", "train", "log10")))}
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     found = (numbered.select("row", "text").mapInArrow(_document_sums(spark.sparkContext.broadcast(head)),
-                                                       "row long, word binary, n long, words long, known long, base double, score double"))
+                                                       "row long, word string, n long, words long, known long, base double, score double"))
     joined = found.join(words.select(F.col("word").alias("w_word"), "train", "log10"), F.col("word") == F.col("w_word"), "left")
     n, train = F.col("n"), F.coalesce("train", F.lit(0))
     scored = joined.groupBy("row").agg(
