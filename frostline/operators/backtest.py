@@ -20,24 +20,25 @@ def asof(obs: DataFrame, points: DataFrame, key: str, obs_time: str, point_time:
     """For each row of ``points``, the latest ``obs`` row of the same key whose
     time is at or before the point's time. Adds ``asof_<obs_time>`` and
     ``asof_<value>`` columns (NULL when there is none)."""
-    o = obs.select(F.col(key), F.col(obs_time).alias("_t"), F.lit(0).alias("_kind"),
-                   F.col(obs_time).alias("_ot"), *[F.col(v).alias("_v_" + v) for v in values])
-    pcols = [c for c in points.columns]
-    p = points.select(*[F.col(c) for c in pcols], F.col(point_time).alias("_t"), F.lit(1).alias("_kind"))
+    # one struct through the window: a NULL value never lends its day to an older value
+    seen = F.struct(F.col(obs_time).alias("t"), *[F.col(v).alias(v) for v in values])
+    o = obs.where(F.col(obs_time).isNotNull()).select(
+        F.col(key), F.col(obs_time).alias("_t"), F.lit(0).alias("_kind"), seen.alias("_seen"))
+    pcols = list(points.columns)
+    p = points.select(*pcols, F.col(point_time).alias("_t"), F.lit(1).alias("_kind"))
     u = o.unionByName(p, allowMissingColumns=True)
     w = (Window.partitionBy(key).orderBy("_t", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = u.select("*", F.last("_ot", ignorenulls=True).over(w).alias(f"asof_{obs_time}"),
-                   *[F.last("_v_" + v, ignorenulls=True).over(w).alias(f"asof_{v}") for v in values])
-    return out.where(F.col("_kind") == 1).select(*pcols, f"asof_{obs_time}",
-                                                 *[f"asof_{v}" for v in values])
+    out = u.withColumn("_last", F.when(F.col("_t").isNotNull(), F.last("_seen", ignorenulls=True).over(w)))
+    return out.where(F.col("_kind") == 1).select(*pcols, F.col("_last.t").alias(f"asof_{obs_time}"),
+                                                 *[F.col(f"_last.{v}").alias(f"asof_{v}") for v in values])
 
 
 def brier(forecasts: DataFrame, by: list[str]) -> DataFrame:
-    """Mean squared error of probability ``p`` against outcome ``y`` per group."""
-    return (forecasts.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n"),
-                 F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
+    """Mean squared error of probability ``p`` against outcome ``y`` per group;
+    ``n`` counts the rows that have both."""
+    error = F.pow(F.col("p") - F.col("y"), 2)
+    return forecasts.groupBy(*by).agg(F.count(error).alias("n"), F.avg(error).alias("brier"))
 
 
 def query_contract(lines: DataFrame, num_queries: int = params.NUM_QUERIES,

@@ -26,6 +26,8 @@ def day_state(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The day's reconcile frames (plans only; built once per session and folder)."""
     key = (tables.session_key(spark), sf)
     if key not in _DAY_PLANS:
+        for old in [k for k in _DAY_PLANS if k[0] != key[0]]:  # plans of stopped sessions
+            del _DAY_PLANS[old]
         _DAY_PLANS[key] = rc.reconcile(stamp=DAY, **_inputs(spark, sf))
     return _DAY_PLANS[key]
 

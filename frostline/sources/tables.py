@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline import schemas
-from frostline.functions.ordering import spread
 from frostline.session import checkpoint_dir
 from frostline.sources import standins
 
@@ -32,15 +31,12 @@ def session_key(spark: SparkSession) -> tuple:
         return (spark.conf.get("spark.app.id", ""), id(spark))
 
 
-# Tables whose rows carry long text or many rows: spread when the scan is narrow.
-WIDE_TABLES = ("lineitem", "orders", "documents", "pages", "conversations", "events")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (session_key(spark), sf_dir, name)
+    for old in [k for k in _FRAMES if k[0] != key[0]]:  # frames of stopped sessions
+        del _FRAMES[old]
     if key not in _FRAMES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _FRAMES[key] = spread(df) if name in WIDE_TABLES else df
+        _FRAMES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _FRAMES[key]
 
 
@@ -73,7 +69,7 @@ def frozen(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = f"{checkpoint_dir(spark)}/frozen-{spark.sparkContext.applicationId}/{tag}/{name}"
         build().write.mode("overwrite").parquet(path)
-        _FRAMES[key] = spread(spark.read.parquet(path))
+        _FRAMES[key] = spark.read.parquet(path)
     return _FRAMES[key]
 
 

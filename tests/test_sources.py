@@ -21,7 +21,11 @@ def test_feed_and_state_json(spark, scratch):
     path = f"{scratch}/feed.json"
     with open(path, "w") as f:
         json.dump(feed, f, indent=4)
-    df = stt.read_feed_json(spark, path)
+    whole = stt.read_feed_json(spark, path, lines=False)
+    with open(f"{scratch}/feed.jsonl", "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in feed)
+    df = stt.read_feed_json(spark, f"{scratch}/feed.jsonl")
+    assert sorted(map(str, df.collect())) == sorted(map(str, whole.collect()))
     assert df.schema.simpleString() == spark.createDataFrame([], schemas.API_EVENT).schema.simpleString()
     rows = {r.event_ticker: r for r in df.collect()}
     m = rows["E1"].markets[0]
