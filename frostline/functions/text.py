@@ -7,6 +7,9 @@ engine and RE2 read them the same way.
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,15 +22,17 @@ PY_LINE_BREAK = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 # Word tokens of the TF-IDF vectoriser: two or more word characters.
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 NON_WORD = r"[^\p{L}\p{N}_]+"
-# Elements dropped before paragraphs are read, the paragraph opening tag, and
-# the closing tags that end an open paragraph.
-SCRIPT_STYLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
+# What is dropped before paragraphs are read (comments, scripts and styles, an open
+# one to the end), a tag (a quoted value may hold any sign), the paragraph opening
+# tag, and the closing tags that end an open paragraph.
+DROPPED = (r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
+           r"|<style\b[^>]*>.*?(?:</style\s*>|\z)")
+INSIDE_TAG = r"""[^'">]*(?:(?:"[^"]*"|'[^']*')[^'">]*)*"""
+ANY_TAG = f"<[A-Za-z/!?]{INSIDE_TAG}>"
+P_OPEN = rf"(?i)<p(?:\s{INSIDE_TAG})?>"
 P_END = r"(?is)</(?:p|article|body|html)\s*>.*$"
-ANY_TAG = r"<[^>]*>"
-# Character references decoded in text, '&amp;' last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# A character reference: decimal, hexadecimal or named.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 # -----------------------------------------------------------------------------
 
 _STRIP = f"^{PY_SPACE}+|{PY_SPACE}+$"
@@ -61,22 +66,41 @@ def token_pieces(x) -> Column:
     return F.split(F.lower(F.coalesce(_c(x), F.lit(""))), NON_WORD)
 
 
+# Characters of named references, from the standard library's table, and of the numbers
+# that stand for Windows-1252 characters.
+_NAMED = json.dumps({n: c for n, c in html.entities.html5.items() if n.endswith(";")}
+                    | {str(i): bytes([i]).decode("cp1252", "replace") for i in range(128, 160)})
+
+
+def _character(ref: Column) -> Column:
+    """The text a reference stands for; an unknown name stays as it is."""
+    table = F.from_json(F.lit(_NAMED), "map<string,string>")
+    digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    number = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).when(ref.startswith("&#"), digits).cast("bigint")
+    known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    numeric = F.coalesce(F.element_at(table, number.cast("string")), F.when(known, char).otherwise("\ufffd"))
+    return F.when(ref.startswith("&#"), numeric).otherwise(
+        F.coalesce(F.element_at(table, F.substring(ref, 2, 99)), ref))
+
+
 def decode_entities(x) -> Column:
-    out = _c(x)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references decoded, once: what a reference gives is not read again."""
+    c = _c(x)
+    between, refs = F.split(c, REFERENCE), F.regexp_extract_all(c, F.lit(REFERENCE), 0)
+    decoded = F.array_join(F.zip_with(between, refs, lambda t, r: F.concat(t, F.coalesce(_character(r), F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 # A run of tags with the white space around them: the boundary between two
 # text pieces of one paragraph.
-TAG_RUN = f"{PY_SPACE}*(?:<[^>]*>{PY_SPACE}*)+"
+TAG_RUN = f"{PY_SPACE}*(?:{ANY_TAG}{PY_SPACE}*)+"
 
 
-def paragraph_text(html) -> Column:
+def paragraph_text(page) -> Column:
     """Text of the ``<p>`` elements of a page, one paragraph per line.
 
-    Script and style elements go first; each paragraph runs from its opening
+    Comments, script and style elements go first; each paragraph runs from its opening
     tag to the next opening ``<p>`` or to the first closing ``p``/``article``/
     ``body``/``html`` tag. Inside it, every text piece between tags is decoded,
     trimmed and dropped when empty; pieces are joined by one space.
@@ -88,7 +112,7 @@ def paragraph_text(html) -> Column:
     counts as white space at piece ends; the other references are decoded
     after the tags are gone, so that a decoded ``<`` is text, not a tag.
     """
-    body = F.regexp_replace(F.coalesce(_c(html), F.lit("")), SCRIPT_STYLE, "")
+    body = F.regexp_replace(F.coalesce(_c(page), F.lit("")), DROPPED, "")
     opened = F.split(body, P_OPEN)
     paras = F.slice(opened, 2, F.greatest(F.size(opened), F.lit(1)))
 

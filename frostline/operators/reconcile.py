@@ -153,26 +153,38 @@ def add_report_ids(events: DataFrame, entries: DataFrame) -> DataFrame:
 
 # --- markets ----------------------------------------------------------------
 
-def feed_markets(valid_feed: DataFrame, market_limit: int = params.MARKET_LIMIT) -> DataFrame:
-    """Markets of the valid feed events, flat, with the list order of the new state."""
+def feed_markets(valid_feed: DataFrame, market_limit: int = params.MARKET_LIMIT,
+                 fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Markets of the valid feed events, flat, with the list order of the new state.
+    Only ``fields`` (all by default) are read from the nested records."""
+    fields = fields or tuple(f.split()[0] for f in schemas.API_MARKET_FIELDS.split(", "))
+    leaves = F.arrays_zip(*[F.col(f"markets.{f}").alias(f) for f in fields])
     return (valid_feed
-            .select("feed_pos", F.posexplode("markets").alias("_idx", "_m"))
+            .select("feed_pos", F.posexplode(leaves).alias("_idx", "_m"))
             .select("_m.*", (F.col("feed_pos") * market_limit + F.col("_idx")).cast("bigint").alias("state_pos")))
 
 
-def active_markets_today(valid_feed: DataFrame) -> DataFrame:
+def active_markets_today(valid_feed: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Active markets of today's valid events with today's implied price."""
-    return (feed_markets(valid_feed)
+    needed = fields and tuple(dict.fromkeys((*fields, "status", "yes_bid", "no_bid", "last_price")))
+    return (feed_markets(valid_feed, fields=needed)
             .where(F.col("status") == params.ACTIVE_MARKET_STATUS)
             .withColumn("price", prices.implied_price()))
 
 
+def active_tickers(valid_feed: DataFrame) -> DataFrame:
+    """Tickers of today's active markets."""
+    return (feed_markets(valid_feed, fields=("ticker", "status"))
+            .where(F.col("status") == params.ACTIVE_MARKET_STATUS).select("ticker"))
+
+
 def first_stored(prev_markets: DataFrame) -> DataFrame:
-    """The first stored record of each ticker (list order), partial-aggregated."""
-    others = [c for c in prev_markets.columns if c != "ticker"]
-    return (prev_markets.groupBy("ticker")
-            .agg(F.min_by(F.struct(*others), "state_pos").alias("_r"))
-            .select("ticker", "_r.*"))
+    """The first stored record of each ticker (list order): the smallest position by a
+    hash aggregate, met again by its record."""
+    first = (prev_markets.groupBy(F.col("ticker").alias("_ticker"))
+             .agg(F.min("state_pos").alias("_first")))
+    return (prev_markets.join(first, (F.col("ticker") == F.col("_ticker")) & (F.col("state_pos") == F.col("_first")))
+            .drop("_ticker", "_first"))
 
 
 def new_markets(active_today: DataFrame, prev_markets: DataFrame, stamp: str) -> DataFrame:
@@ -197,9 +209,9 @@ def refreshed_markets(active_today: DataFrame, prev_markets: DataFrame, stamp: s
                     F.col("_new_pos").alias("state_pos"))
 
 
-def resolved_markets(prev_markets: DataFrame, final_markets: DataFrame, stamp: str) -> DataFrame:
-    """Every stored record (all copies) whose ticker is no longer active."""
-    return (prev_markets.join(final_markets.select("ticker"), "ticker", "left_anti")
+def resolved_markets(prev_markets: DataFrame, active: DataFrame, stamp: str) -> DataFrame:
+    """Every stored record (all copies) whose ticker is not among today's ``active`` ones."""
+    return (prev_markets.join(active.select("ticker"), "ticker", "left_anti")
             .withColumn("resolution_date", F.lit(stamp)))
 
 
@@ -233,6 +245,6 @@ def reconcile(feed: DataFrame, details: DataFrame, prev_events: DataFrame, prev_
         "active_events": kept.unionByName(added),
         "resolved_events_new": gone,
         "active_markets": markets,
-        "resolved_markets_new": resolved_markets(prev_markets, markets, stamp),
+        "resolved_markets_new": resolved_markets(prev_markets, active_tickers(valid), stamp),
         "quarantine": bad_feed.unionByName(bad_detail),
     }

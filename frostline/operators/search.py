@@ -9,13 +9,19 @@ from frostline import params
 from frostline.functions import text
 
 
-def dedup_results(results: DataFrame, num_urls: int = params.NUM_URLS) -> DataFrame:
+def dedup_results(results: DataFrame, num_urls: int = params.NUM_URLS, since: str | None = None) -> DataFrame:
     """Keep the first ``2 * num_urls`` results of each query, drop empty links,
     then keep the first result per link inside one query (by rank).
 
     The rank limit comes first, so every (event, query, link) group holds at
-    most ``2 * num_urls`` rows.
+    most ``2 * num_urls`` rows. ``since`` (``yyyy-MM-dd``) keeps only results
+    whose ``published`` day is not before it, as a search limited to a year does.
     """
+    if since is not None:
+        results = results.where(F.col("published") >= F.lit(since).cast("date"))
+        # ranks as the limited search would give them
+        rank = Window.partitionBy("event_ticker", "query_no").orderBy("rnk")
+        results = results.withColumn("rnk", F.row_number().over(rank).cast("bigint"))
     w = Window.partitionBy("event_ticker", "query_no", "href").orderBy("rnk")
     return (results.where(F.col("rnk") <= 2 * num_urls)
             .where(F.col("href").isNotNull() & (F.col("href") != ""))
@@ -36,21 +42,15 @@ def page_articles(pages: DataFrame, min_chars: int = params.ARTICLE_MIN_CHARS,
             .where(F.col("n_chars").between(min_chars, max_chars)))
 
 
-def link_articles(deduped: DataFrame, pages: DataFrame, cut: bool = True, **bounds) -> DataFrame:
-    """``href, article`` for every linked page that yields an article.
-
-    Each distinct page is parsed once, however many queries link to it. The
-    result feeds both the link filter and the term counts, so with ``cut`` it
-    is checkpointed (reliably, into the session's checkpoint folder) instead
-    of being re-derived from the HTML by each consumer.
-    """
-    needed = pages.join(deduped.select(F.col("href").alias("url")).distinct(), "url", "left_semi")
-    arts = page_articles(needed, **bounds).select(F.col("url").alias("href"), "article")
-    return arts.checkpoint(eager=True) if cut else arts
+def link_articles(links: DataFrame, pages: DataFrame, **bounds) -> DataFrame:
+    """``href, article`` for every page that ``links`` (rows with ``href``) name and
+    that yields an article. Each distinct page is parsed once, however many
+    rows link to it."""
+    needed = pages.join(links.select(F.col("href").alias("url")).distinct(), "url", "left_semi")
+    return page_articles(needed, **bounds).select(F.col("url").alias("href"), "article")
 
 
-def scrape(deduped: DataFrame, pages: DataFrame, articles: DataFrame | None = None, **bounds) -> DataFrame:
+def scrape(deduped: DataFrame, pages: DataFrame, **bounds) -> DataFrame:
     """Attach the article text to each deduplicated result; results whose page
     failed or is out of bounds are dropped."""
-    arts = articles if articles is not None else link_articles(deduped, pages, **bounds)
-    return deduped.join(arts, "href")
+    return deduped.join(link_articles(deduped, pages, **bounds), "href")

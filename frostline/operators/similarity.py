@@ -11,9 +11,11 @@ L2-normalised. Hence, with term counts ``a``, ``b``::
 
 Only term counts per text and one join on shared tokens are needed; no IDF
 model, no vectors, no all-against-all product. Term counts are computed once
-per distinct text. The shared-token join is keyed by (link, token), which is
-unique on the article side, so neither a frequent token nor a popular link
-collapses onto one task.
+per distinct text: the shuffle that sums them also feeds the norms and tells
+which links have an article at all, so article text never travels before the
+ranking; it is attached to the articles that are left. The shared-token join is
+keyed by (link, token), which is unique on the article side; a popular link's
+rows on the other side are split by the skew join.
 """
 
 from __future__ import annotations
@@ -25,50 +27,51 @@ from pyspark.sql import functions as F
 
 from frostline import params
 from frostline.functions import text
+from frostline.operators.search import link_articles
 
 # fixed value: IDF of a token found in one of the two texts
 ONE_SIDED_IDF = math.log(1.5) + 1.0
 
 
-def term_counts(texts: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``key, token, tf`` for every token of every text (map-side combined)."""
-    return (texts.select(key, F.explode(text.token_pieces(text_col)).alias("token"))
-            .where(F.length("token") >= 2)
+#: Stands in the term counts once for each text, so that a text without words is seen. No token is a blank.
+PRESENT = " "
+
+
+def term_counts(texts: DataFrame, key: str, text_col: str, mark: bool = False) -> DataFrame:
+    """``key, token, tf`` for every token of every text (map-side combined); with
+    ``mark`` also one row with the token PRESENT for each text."""
+    words = text.token_pieces(text_col)
+    if mark:
+        words = F.concat(words, F.array(F.lit(PRESENT)))
+    return (texts.select(key, F.explode(words).alias("token"))
+            .where((F.length("token") >= 2) | (F.col("token") == PRESENT))
             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def with_norm(tc: DataFrame, key: str, name: str) -> DataFrame:
-    """Term counts with the text's squared norm ``sum(tf^2)`` on every row."""
-    norms = tc.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
-    return tc.join(norms, key)
+def norms(tc: DataFrame, key: str, name: str) -> DataFrame:
+    """Squared norm ``sum(tf^2)`` per text."""
+    return tc.where(F.col("token") != PRESENT).groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
 
 
-def link_similarity(descriptions: DataFrame, articles: DataFrame, links: DataFrame,
-                    cut: bool = True) -> DataFrame:
+def link_similarity(descriptions: DataFrame, article_terms: DataFrame, links: DataFrame) -> DataFrame:
     """Cosine per (event, link).
 
-    ``descriptions``: ``event_ticker, description``; ``articles``: ``href,
-    article`` (one row per link); ``links``: the (event, link) pairs to score.
-    Pairs sharing no token score 0 (whatever the norms, as the dot product is
-    0), so each text's norm only needs to travel with its shared tokens.
-    The article term table is read twice (norms, shared tokens); with ``cut``
-    it is checkpointed once instead of tokenising every article twice.
+    ``descriptions``: ``event_ticker, description``; ``article_terms``: term
+    counts by ``href``; ``links``: the (event, link) pairs to score. Pairs
+    sharing no token score 0, so norms only meet pairs that share one.
     """
     c2 = ONE_SIDED_IDF * ONE_SIDED_IDF
     pairs = links.select("event_ticker", "href").distinct()
     needed = descriptions.join(pairs.select("event_ticker"), "event_ticker", "left_semi")
-    dterms = with_norm(term_counts(needed, "event_ticker", "description"), "event_ticker", "Nb")
-    aterms = term_counts(articles, "href", "article")
-    if cut:
-        aterms = aterms.checkpoint(eager=True)
-    aterms = with_norm(aterms, "href", "Na")
+    dterms = term_counts(needed, "event_ticker", "description")
     cand = pairs.join(dterms.withColumnRenamed("tf", "tf_b"), "event_ticker")
-    shared = cand.join(aterms.withColumnRenamed("tf", "tf_a"), ["href", "token"])
+    shared = cand.join(article_terms.withColumnRenamed("tf", "tf_a"), ["href", "token"])
     dots = (shared.groupBy("event_ticker", "href")
             .agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("D"),
                  F.sum(F.col("tf_a") * F.col("tf_a")).alias("Sa"),
-                 F.sum(F.col("tf_b") * F.col("tf_b")).alias("Sb"),
-                 F.first("Na").alias("Na"), F.first("Nb").alias("Nb")))
+                 F.sum(F.col("tf_b") * F.col("tf_b")).alias("Sb"))
+            .join(norms(article_terms, "href", "Na"), "href")
+            .join(norms(dterms, "event_ticker", "Nb"), "event_ticker"))
     d, sa, sb, na, nb = (F.col(x) for x in ("D", "Sa", "Sb", "Na", "Nb"))
     den = F.sqrt(sa + (na - sa) * c2) * F.sqrt(sb + (nb - sb) * c2)
     sims = dots.select("event_ticker", "href", (d / den).alias("similarity"))
@@ -76,15 +79,21 @@ def link_similarity(descriptions: DataFrame, articles: DataFrame, links: DataFra
             .select("event_ticker", "href", F.coalesce("similarity", F.lit(0.0)).alias("similarity")))
 
 
-def score_articles(descriptions: DataFrame, scraped: DataFrame, articles: DataFrame | None = None) -> DataFrame:
-    """Add ``similarity`` to every scraped result row of a described event.
+def score_links(descriptions: DataFrame, deduped: DataFrame, pages: DataFrame, **bounds) -> DataFrame:
+    """``event_ticker, query_no, rnk, href, similarity`` of every result of a described
+    event whose page yields an article: keys only, no text."""
+    keys = (deduped.select("event_ticker", "query_no", "rnk", "href")
+            .join(descriptions.select("event_ticker"), "event_ticker", "left_semi"))
+    terms = term_counts(link_articles(keys, pages, **bounds), "href", "article", mark=True)
+    scraped = keys.join(terms.where(F.col("token") == PRESENT).select("href"), "href")
+    return scraped.join(link_similarity(descriptions, terms, scraped), ["event_ticker", "href"])
+
 
-    ``articles`` (``href, article``, one row per link) avoids re-deriving the
-    per-link texts from ``scraped``."""
-    scraped = scraped.join(descriptions.select("event_ticker"), "event_ticker", "left_semi")
-    arts = articles if articles is not None else scraped.select("href", "article").dropDuplicates(["href"])
-    sims = link_similarity(descriptions, arts, scraped)
-    return scraped.join(sims, ["event_ticker", "href"])
+def with_texts(top: DataFrame, deduped: DataFrame, pages: DataFrame, **bounds) -> DataFrame:
+    """Title, body and article of ranked results; only the pages still named are parsed."""
+    facts = deduped.select("event_ticker", "query_no", "rnk", "title", "body")
+    return (top.join(facts, ["event_ticker", "query_no", "rnk"])
+            .join(link_articles(top, pages, **bounds), "href"))
 
 
 def top_articles(scored: DataFrame, num_urls: int = params.NUM_URLS) -> DataFrame:

@@ -9,7 +9,7 @@ from frostline.operators import context as cx
 from frostline.operators import similarity as si
 from frostline.plans import sqlfrag as q
 from frostline.plans.catalog import query
-from frostline.plans.q_search import _DESC, _SIM, SEARCH_BLOCKS, search_chain
+from frostline.plans.q_search import _DESC, _SIM, SEARCH_BLOCKS, results
 from frostline.sources import tables
 
 CTX_BLOCKS = SEARCH_BLOCKS + ("fx_model_outputs",)
@@ -83,9 +83,10 @@ left join blocks b on b.event_ticker = l.event_ticker and b.query_no = l.query_n
 def summary_prompts(spark, sf):
     """Summary prompt per query line with its top articles (none -> no blocks)."""
     desc, _, lines, _ = _ctx(spark, sf)
-    linked_desc, _, arts, scraped = search_chain(spark, sf)
-    top = si.top_articles(si.score_articles(linked_desc, scraped, arts), params.NUM_URLS)
-    return cx.summary_prompts(lines, desc, top)
+    dedup, pages = results(spark, sf)
+    asked = dedup.join(desc.select("event_ticker"), "event_ticker", "left_semi")  # before any scoring
+    top = si.top_articles(si.score_links(desc, asked, pages), params.NUM_URLS)
+    return cx.summary_prompts(lines, desc, si.with_texts(top, asked, pages))
 
 
 @query("context_report", blocks=CTX_BLOCKS, oracle=_DESC + _ANS + f"""

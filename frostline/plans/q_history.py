@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from frostline.operators import backtest as bt
+from frostline.operators import context as cx
 from frostline.operators import lifecycle as lc
 from frostline.operators import reconcile as rc
 from frostline.plans import sqlfrag as q
@@ -23,7 +24,7 @@ _EPS = """
 , pz AS (select f.*, d.run_no - row_number() over (partition by f.ticker order by f.day) as isl
          from fx_presence f join days d on d.day = f.day)
 , eps0 AS (select ticker, isl, min(day) as first_day, max(day) as last_day, count(*) as n_days,
-                  arg_min(price, day) as first_price, arg_max(price, day) as last_price
+                  arg_min_null(price, day) as first_price, arg_max_null(price, day) as last_price
            from pz group by ticker, isl)
 , eps AS (select e.*, row_number() over (partition by e.ticker order by e.first_day) as episode_no,
                  d.next_run_day as resolved_on
@@ -56,7 +57,7 @@ def ticker_episodes(spark, sf):
 @query("asof_price", blocks=("fx_presence",), oracle=_EPS + f"""
 , pts AS (select ticker, episode_no, resolved_on - {HORIZON_DAYS} as cutoff from eps where resolved_on is not null)
 select p.ticker, p.episode_no, strftime(p.cutoff, '%Y-%m-%d') as cutoff,
-       strftime(max(f.day), '%Y-%m-%d') as asof_day, round(arg_max(f.price, f.day), 9) as asof_price
+       strftime(max(f.day), '%Y-%m-%d') as asof_day, round(arg_max_null(f.price, f.day), 9) as asof_price
 from pts p left join fx_presence f on f.ticker = p.ticker and f.day <= p.cutoff
 group by p.ticker, p.episode_no, p.cutoff
 """)
@@ -72,26 +73,25 @@ def asof_price(spark, sf):
                     F.round("asof_price", 9).alias("asof_price"))
 
 
-@query("asof_context", blocks=("fx_presence",), oracle=_EPS + """
-, pts AS (select ticker, episode_no, resolved_on from eps where resolved_on is not null)
-select p.ticker, p.episode_no, strftime(max(f.day), '%Y-%m-%d') as context_day,
-       concat('ddgs_', cast(p.ticker as varchar), '_', strftime(max(f.day), '%Y%m%d')) as report_id,
-       cast(date_diff('day', max(f.day), p.resolved_on) as bigint) as days_before
-from pts p left join fx_presence f on f.ticker = p.ticker and f.day < p.resolved_on
-group by p.ticker, p.episode_no, p.resolved_on
+@query("asof_context", blocks=("fx_report_events", "fx_report_days"), oracle="""
+, pts AS (select event_ticker, resolved_on from fx_report_events)
+select p.event_ticker, strftime(p.resolved_on, '%Y-%m-%d') as resolved_on, max(r.stamp) as context_stamp,
+       arg_max(r.hash_id, r.stamp) as report_id,
+       cast(date_diff('day', strptime(max(r.stamp), '%Y%m%d')::date, p.resolved_on) as bigint) as days_before
+from pts p left join fx_report_days r on r.event_ticker = p.event_ticker and r.stamp < strftime(p.resolved_on, '%Y%m%d')
+group by p.event_ticker, p.resolved_on
 """)
 def asof_context(spark, sf):
-    """Latest daily snapshot (report) of a ticker strictly before each resolution."""
-    pres = tables.standin(spark, sf, "fx_presence")
-    pts = (_episodes(spark, sf).where(F.col("resolved_on").isNotNull())
-           .select("ticker", F.col("episode_no").cast("bigint").alias("episode_no"), "resolved_on",
-                   F.date_sub("resolved_on", 1).alias("_before")))
-    a = bt.asof(pres, pts, "ticker", "day", "_before", [])
-    return a.select("ticker", "episode_no",
-                    F.date_format("asof_day", "yyyy-MM-dd").alias("context_day"),
-                    F.concat(F.lit("ddgs_"), F.col("ticker").cast("string"), F.lit("_"),
-                             F.date_format("asof_day", "yyyyMMdd")).alias("report_id"),
-                    F.datediff("resolved_on", "asof_day").cast("bigint").alias("days_before"))
+    """The latest stored report of an event strictly before its resolution, from the
+    event's report index (a map of day stamps to report ids)."""
+    events = tables.reported_events(spark, sf)
+    entries = events.select("event_ticker", F.explode("ddgs_reports").alias("stamp", "report_id"))
+    pts = events.select("event_ticker", "resolved_on",
+                        F.date_format(F.date_sub("resolved_on", 1), "yyyyMMdd").alias("_before"))
+    a = bt.asof(entries, pts, "event_ticker", "stamp", "_before", ["report_id"])
+    return a.select("event_ticker", F.date_format("resolved_on", "yyyy-MM-dd").alias("resolved_on"),
+                    F.col("asof_stamp").alias("context_stamp"), F.col("asof_report_id").alias("report_id"),
+                    F.datediff("resolved_on", F.to_date("asof_stamp", "yyyyMMdd")).cast("bigint").alias("days_before"))
 
 
 @query("strategy_score", blocks=_MK_BLOCKS + ("fx_prev_events", "fx_details"), oracle=_MK + """
@@ -115,15 +115,15 @@ def strategy_score(spark, sf):
     last = F.element_at(F.array_sort(F.map_entries("market_price")), -1)["value"]
     resolved_events = res.select("event_ticker").distinct()
     results = (tables.event_details(spark, sf).join(resolved_events, "event_ticker", "left_semi")
-               .select(F.explode("markets").alias("m"))
-               .select(F.col("m.ticker").alias("ticker"), F.col("m.result").alias("result"))
+               .select(F.explode(cx.market_fields(("ticker", "result"))).alias("m")).select("m.*")
                .where(F.col("result").isin("yes", "no")))
     cats = tables.previous_events(spark, sf).select("event_ticker", "category")
     out = (res.select("ticker", "event_ticker", last.alias("p_last"))
            .join(results, "ticker").join(cats, "event_ticker")
            .withColumn("y", F.when(F.col("result") == "yes", 1.0).otherwise(0.0)))
-    fc = (out.select(F.lit("last_price").alias("strategy"), "category", F.col("p_last").alias("p"), "y")
-          .unionByName(out.select(F.lit("coin").alias("strategy"), "category", F.lit(0.5).alias("p"), "y")))
+    told = lambda name, p: F.struct(F.lit(name).alias("strategy"), p.alias("p"))
+    fc = (out.select("category", "y", F.explode(F.array(told("last_price", F.col("p_last")), told("coin", F.lit(0.5)))).alias("f"))
+          .select("category", "y", "f.*"))
     return bt.brier(fc, ["strategy", "category"]).withColumn("brier", F.round("brier", 9))
 
 

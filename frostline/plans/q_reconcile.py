@@ -207,7 +207,7 @@ select ticker, event_ticker, round(price, 9) as market_price from act
 def market_price(spark, sf):
     """Implied price of every active market of today's valid events."""
     valid, _ = rc.split_feed(tables.current_feed(spark, sf))
-    return rc.active_markets_today(valid).select("ticker", "event_ticker",
+    return rc.active_markets_today(valid, ("ticker", "event_ticker")).select("ticker", "event_ticker",
                                                  F.round("price", 9).alias("market_price"))
 
 

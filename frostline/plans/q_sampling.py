@@ -38,7 +38,7 @@ _Q = _CUR + """
   select a.*, q.quota, q.n, q.stratum_no,
          row_number() over (partition by a.category
                             order by md5(concat('37:', a.event_ticker)), a.event_ticker) as rn
-  from act2 a join quota q on q.category = a.category)
+  from act2 a join quota q on q.category is not distinct from a.category)
 , sample AS (
   select event_ticker, category,
          row_number() over (order by stratum_no, case when quota = n then lpos else rn end) - 1 as position
@@ -68,10 +68,19 @@ def stratified_sample(spark, sf):
     return _sample(spark, sf).select("event_ticker", "category", "position")
 
 
+@query("short_list_sample", blocks=_BLOCKS, recursive=True, oracle=_Q + """
+select event_ticker, category, lpos - 1 as position from act2
+""")
+def short_list_sample(spark, sf):
+    """The sample where the list is no longer than the target: the list itself."""
+    s = sm.stratified_sample(day_state(spark, sf)["active_events"], target=2 ** 31)
+    return s.select("event_ticker", "category", "position")
+
+
 @query("sample_report", blocks=_BLOCKS, recursive=True, oracle=_Q + """
 select s.category, s.n as original, coalesce(c.k, 0) as sampled
 from strata s left join (select category, count(*) as k from sample group by category) c
-  on c.category = s.category
+  on c.category is not distinct from s.category
 """)
 def sample_report(spark, sf):
     """Original and sampled counts per category."""

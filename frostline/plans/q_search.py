@@ -17,20 +17,21 @@ from frostline.sources import tables
 C2 = repr((math.log(1.5) + 1.0) ** 2)
 
 
-def search_chain(spark, sf):
-    """descriptions (of events with links), deduplicated results, per-link
-    articles, scraped results (article attached)."""
-    dedup = se.dedup_results(tables.standin(spark, sf, "fx_search_results"))
-    linked = tables.event_details(spark, sf).join(dedup.select("event_ticker").distinct(),
-                                                  "event_ticker", "left_semi")
-    desc = cx.descriptions(cx.with_markets(linked))
-    arts = se.link_articles(dedup, tables.standin(spark, sf, "fx_web_pages"))
-    return desc, dedup, arts, se.scrape(dedup, None, arts)
+def described(spark, sf, events):
+    """Descriptions of the events that ``events`` names."""
+    linked = tables.event_details(spark, sf).join(events.select("event_ticker").distinct(), "event_ticker", "left_semi")
+    return cx.descriptions(cx.with_markets(linked))
+
+
+def results(spark, sf):
+    """Deduplicated search results and the fetched pages."""
+    return (se.dedup_results(tables.standin(spark, sf, "fx_search_results")),
+            tables.standin(spark, sf, "fx_web_pages"))
 
 
 def scored(spark, sf):
-    desc, _, arts, scraped = search_chain(spark, sf)
-    return si.score_articles(desc, scraped, arts)
+    dedup, pages = results(spark, sf)
+    return si.score_links(described(spark, sf, dedup), dedup, pages)
 
 
 # Oracle CTEs: dedup, articles, descriptions, similarity by the closed form.
@@ -106,6 +107,19 @@ def search_dedup(spark, sf):
         "event_ticker", "query_no", "rnk", "href")
 
 
+@query("search_recent", blocks=("fx_search_results",), oracle="""
+, kept AS (select *, row_number() over (partition by event_ticker, query_no order by rnk) as r
+           from fx_search_results where published >= date '2024-09-01')
+select event_ticker, query_no, r as rnk, href, strftime(published, '%Y-%m-%d') as published
+from (select *, row_number() over (partition by event_ticker, query_no, href order by r) as k from kept where r <= 10) z
+where k = 1
+""")
+def search_recent(spark, sf):
+    """Results of the last year only, ranked anew, first per link."""
+    d = se.dedup_results(tables.standin(spark, sf, "fx_search_results"), since="2024-09-01")
+    return d.select("event_ticker", "query_no", "rnk", "href", F.date_format("published", "yyyy-MM-dd").alias("published"))
+
+
 @query("page_articles", blocks=("fx_web_pages",), oracle=_ART + """
 select url, article, n_chars from art_ok
 """)

@@ -31,14 +31,25 @@ def build_reports(sample: DataFrame, details: DataFrame, search_results: DataFra
     lines = cx.query_lines(desc, outputs)
     results = search_results.join(todo, "event_ticker", "left_semi")
     dedup = se.dedup_results(results, num_urls)
-    arts = se.link_articles(dedup, pages)
-    scored = si.score_articles(desc, se.scrape(dedup, None, arts), arts)
-    top = si.top_articles(scored, num_urls)
+    top = si.with_texts(si.top_articles(si.score_links(desc, dedup, pages), num_urls), dedup, pages)
     return {"reports": cx.reports(lines, outputs, desc),
             "summary_prompts": cx.summary_prompts(lines, desc, top),
             "contents": top}
 
 
+def run_reports(spark: SparkSession, root: str, stamp: str, details: DataFrame, search_results: DataFrame,
+                pages: DataFrame, outputs: DataFrame, k: int | None = None, **kwargs) -> dict[str, DataFrame]:
+    """The report job on stored state: reads the day's stored sample (slice ``k``) and
+    the stored reports, builds what is still missing and appends it. Returns the
+    frames of ``build_reports``, whose ``contents`` are the articles per query in order."""
+    sample = (stt.read_table(spark, root, stt.SAMPLED_EVENTS)
+              .where(F.col("snapshot_date") == stamp).drop("snapshot_date"))
+    stored = stt.read_upto(spark, root, stt.REPORTS, stamp)
+    made = build_reports(sample, details, search_results, pages, outputs, stored, stamp, k, **kwargs)
+    store_reports(spark, root, made["reports"], stamp)
+    return made
+
+
 def store_reports(spark: SparkSession, root: str, new: DataFrame, stamp: str) -> None:
     """Append today's reports as new documents, numbered after any stored ones.
 

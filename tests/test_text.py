@@ -92,7 +92,7 @@ def test_similarity_closed_form_equals_direct(spark):
     d = spark.createDataFrame(descs, "event_ticker string, description string")
     a = spark.createDataFrame(arts, "href string, article string")
     lk = spark.createDataFrame(links, "event_ticker string, href string")
-    got = {(r.event_ticker, r.href): r.similarity for r in si.link_similarity(d, a, lk, cut=False).collect()}
+    got = {(r.event_ticker, r.href): r.similarity for r in si.link_similarity(d, si.term_counts(a, "href", "article", mark=True), lk).collect()}
     dd, aa = dict(descs), dict(arts)
     assert len(got) == len(links)
     for (e, h), s in got.items():
@@ -133,3 +133,20 @@ def test_query_lines_from_answer(spark):
     got = [(r.query_no, r.query) for r in cx.query_lines(ev, outs).orderBy("query_no").collect()]
     assert got == [(1, "rates outlook"), (2, "vote count")]
     assert F is not None
+
+
+PAGES = [
+    ("<p>It&#8217;s &mdash; caf&eacute;</p>", "It\u2019s \u2014 caf\u00e9"),
+    ("<!-- <p>hidden</p> --><p>seen</p><!-- open <p>x", "seen"),
+    ("<p>one</p><script>var a = '<p>code</p>'; two();", "one"),
+    ("<p class='a>b' id=\"c>d\">text <b title='x>y'>bold</b></p>", "text bold"),
+    ("<p>&amp;lt; &#x1F600; &#150; &nosuch; &#1114112; AT&T</p>", "&lt; \U0001f600 \u2013 &nosuch; \ufffd AT&T"),
+    ("<style>p { }</style><p>a < b</p>", "a < b"),
+    (None, ""),
+]
+
+
+def test_paragraph_text_of_odd_pages(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)], "i long, html string")
+    got = {r.i: r.t for r in df.select("i", text.paragraph_text("html").alias("t")).collect()}
+    assert [got[i] for i in range(len(PAGES))] == [t for _, t in PAGES]
