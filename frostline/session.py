@@ -40,9 +40,19 @@ def get_session(master: str | None = None, app: str = "frostline",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    find_package(spark)
     return spark
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever
+    folder they start in (on a cluster it is installed or shipped as usual)."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([*paths, home]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
