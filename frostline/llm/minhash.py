@@ -48,6 +48,8 @@ U64 = np.uint64
 _K = U64(0x9E3779B97F4A7C15)
 #: Members of a bucket that one task compares; larger buckets are compared block by block.
 BLOCK = 2048
+#: Bits of the filter that picks the documents whose full sets are made: 8 MB.
+FILTER_BITS = 1 << 26
 #: Share of true links that the comparison of minhashes may lose.
 LOSS = 1e-6
 TABLES = list(combinations(range(HALVES), 2))
@@ -143,11 +145,40 @@ def _sketch(k: int):
     return run
 
 
-def _sets(k: int):
+def _spots(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in the filter of wanted ids."""
+    return (mixed(ids.astype(np.int64).view(U64)) & U64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _spot_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        # Spark's bitmap functions count from 1
+        yield pa.RecordBatch.from_arrays([pa.array(_spots(b.column("node").to_numpy()) + 1)], names=["spot"])
+
+
+def wanted(ids: DataFrame) -> np.ndarray:
+    """A bit for each place that one of the nodes ``ids`` takes. Of one size whatever
+    the input: with very many ids it lets more through, never less."""
+    found = (ids.mapInArrow(_spot_of, "spot long").groupBy(F.bitmap_bucket_number("spot").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect())
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for r in found:  # parts count from 1; within a byte the lowest bit comes first
+        part = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), bitorder="little")
+        first = (r["part"] - 1) * len(part)
+        bits[first:first + len(part)] = part[:FILTER_BITS - first]
+    return np.packbits(bits)
+
+
+def _sets(k: int, shared):
+    """Shingles of the documents that the filter lets through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for b in byte_slices(batches, "text", 2 << 20):
-            sets = [shingles(t or b"", k) for t in binary_values(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(np.concatenate(sets), [len(s) for s in sets])], names=["node", "shingles"])
+            spots = _spots(b.column("doc_id").to_numpy())
+            some = b.filter(pa.array((bits[spots >> 3] >> (7 - (spots & 7)) & 1).astype(bool)))
+            sets = [shingles(t or b"", k) for t in binary_values(some.column("text"))]
+            if sets:
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), _lists(np.concatenate(sets), [len(s) for s in sets])], names=["node", "shingles"])
     return run
 
 
@@ -182,7 +213,7 @@ def _bucket_pairs(percent: int):
             halves = t.column("halves").combine_chunks().flatten().to_numpy().reshape(len(node), HALVES)
             low = np.frombuffer(b"".join(t.column("bytes").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
             i, j = TABLES[table]
-            out = []
+            partners, named = {}, set()
             for x in range(len(node)):
                 # later rows of the other block, or of the same one in its own pair
                 y = np.arange(x + 1, len(node))
@@ -194,15 +225,14 @@ def _bucket_pairs(percent: int):
                     same = halves[y, :j] == halves[x, :j]
                     y = y[same.sum(axis=1) == 1]
                 if len(y):
-                    out.append((key, lo, hi, int(node[x]), node[y].tolist()))
-                    out += [(key, lo, hi, int(v), []) for v in node[y]]
-            if out:
-                best: dict = {}
-                for r in out:
-                    if r[3] not in best or r[4]:
-                        best[r[3]] = r
-                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*best.values()), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
-                                                 names=["key", "lo", "hi", "node", "partners"])
+                    partners[int(node[x])] = node[y]
+                    named.update(node[y].tolist())
+            if partners:
+                rows = [*partners, *(named - partners.keys())]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([v] * n, pa.int64()) for v in (key, lo, hi)), pa.array(rows, pa.int64()),
+                     pa.array([partners.get(v, []) for v in rows], pa.list_(pa.int64()))], names=["key", "lo", "hi", "node", "partners"])
     return run
 
 
@@ -210,7 +240,7 @@ def _bucket_links(percent: int):
     """Links among the pairs of a block pair, by the full sets; pairs already joined by others are passed over."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["key", "lo", "hi"]):
-            sets = {v: s.values.to_numpy() for v, s in zip(t.column("node").to_pylist(), t.column("shingles"))}
+            sets = {v: s.values.to_numpy().view(U64) for v, s in zip(t.column("node").to_pylist(), t.column("shingles"))}
             root = {v: v for v in sets}
 
             def find(v):
@@ -221,12 +251,19 @@ def _bucket_links(percent: int):
 
             links = []
             for x, partners in zip(t.column("node").to_pylist(), t.column("partners").to_pylist()):
-                for y in partners:
-                    if y in sets and find(x) != find(y):
-                        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                        if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
-                            root[find(x)] = find(y)
-                            links.append((x, y))
+                rest = [y for y in partners if y in sets and find(x) != find(y)]
+                for at in range(0, len(rest), 256):
+                    ys = [y for y in rest[at:at + 256] if find(x) != find(y)]
+                    if not ys:
+                        continue
+                    own, sizes = sets[x], np.array([len(sets[y]) for y in ys])
+                    theirs = np.concatenate([sets[y] for y in ys])
+                    spot = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                    common = np.add.reduceat((own[spot] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+                    for i in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)):
+                        if find(x) != find(ys[i]):
+                            root[find(x)] = find(ys[i])
+                            links.append((x, ys[i]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
     return run
@@ -283,9 +320,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                    .select("a", "b"), "pivot-pairs")
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        """Shingles of the nodes ``ids``, from their documents."""
-        ids = ids.select(F.col("node").alias("id")).distinct()
-        return settle(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(k), "node long, shingles array<bigint>")
+        """Shingles of the nodes ``ids`` (and of some others), from their documents in place."""
+        shared = docs.sparkSession.sparkContext.broadcast(wanted(ids.select("node")))
+        return settle(docs.filter("doc_id IS NOT NULL").mapInArrow(_sets(k, shared), "node long, shingles array<bigint>")
                       .filter(F.size("shingles") > 0), name)
 
     sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), "pivot-sets")
