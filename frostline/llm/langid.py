@@ -4,8 +4,8 @@ A text becomes a vector of hashed byte n-grams (one to three bytes, ASCII
 lower-cased, runs of blanks, digits and signs as one blank), weighted by
 log(1 + count) times inverse document frequency and scaled to length one. Each
 language has a few centroids, found by spherical k-means; a text goes to the
-centroid of largest cosine, and is rejected where it lies farther from it than
-nearly all fitted texts of that language lie from theirs, by a margin.
+centroid of largest cosine, and is rejected where it lies far off: where the
+cosine is under a third of what nearly all fitted texts of that language reach.
 
 The classifier is fitted on at most FIT_PER_LANGUAGE labelled texts of each
 language, chosen by a hash of the id; predictions read whole texts.
@@ -32,10 +32,11 @@ from frostline.llm.common import binary_values, byte_slices, documents, id_crc,
 
 UNKNOWN = "und"
 #: Labelled texts per language that the fit may use: the documented bound of the sample.
-FIT_PER_LANGUAGE = 1_000
+FIT_PER_LANGUAGE, MAX_LANGUAGES = 1_000, 1_000
 DIMENSIONS, CENTROIDS, ROUNDS = 1 << 12, 4, 12
-#: A text is rejected beyond this quantile of the language's own distances, times the margin.
-REJECT_QUANTILE, REJECT_MARGIN = 0.99, 1.25
+#: A text is rejected if its cosine is under this share of the one that so many of the
+#: language's own fitted texts reach.
+REJECT_QUANTILE, REJECT_SHARE = 0.99, 1 / 3
 
 # Bytes as the n-grams see them: letters (and all bytes of other scripts) in lower case, the rest blank.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -104,7 +105,7 @@ class Model:
             for i, b in zip(at, best):
                 lang[i] = self.names[b]
             score[at] = np.clip(top, 0, 1)
-            out[at] = 1 - top > REJECT_MARGIN * self.radius[best]
+            out[at] = top < REJECT_SHARE * (1 - self.radius[best])
         return lang, score, out
 
 
@@ -130,9 +131,13 @@ def fit(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
     rows = (labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
             .withColumn("draw", F.xxhash64(F.lit("fit"), "doc_id", F.xxhash64("text"))))
     # a threshold on the draw leaves about twice the bound, so that the exact cut sorts few rows
-    sizes = rows.groupBy("lang").count()
-    span = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count"))
-    few = (rows.join(sizes, "lang").filter(F.pmod(F.col("draw"), F.lit(1 << 30)) < span * (1 << 30)))
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    if not sizes:
+        return Model(np.zeros(DIMENSIONS, dtype=np.float32), [], np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0))
+    span = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))])
+    few = rows.filter(F.pmod(F.col("draw"), F.lit(1 << 30)) < F.element_at(span, F.col("lang")) * (1 << 30))
     first = Window.partitionBy("lang").orderBy(F.pmod(F.col("draw"), F.lit(1 << 30)), "doc_id", "text")
     sample = settle(few.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
                     .select("lang", "text"), "language-sample")
