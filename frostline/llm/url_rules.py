@@ -8,9 +8,9 @@ smaller rule. An inverted index has each rule under its rarest token; a url
 that holds the token and all others of the rule is blocked, the rest allowed.
 
 Tokens of a url are its host's labels, its path's parts and its query's keys.
-The number of frequent items is bounded by the support; as the number of
-combinations isn't, the support is doubled until no labelled url has more than
-MOST_TOGETHER frequent tokens.
+The number of frequent items is bounded by the support. As the number of their
+combinations isn't, a labelled url gives the MOST_TOGETHER tokens that tell most
+about the verdict, if it has more frequent ones; matching looks at all tokens.
 
 Everything is DataFrame and SQL functions and the FP-growth of Spark.
 
@@ -32,7 +32,7 @@ from frostline.llm.common import settle
 
 #: Support as a share of the labelled urls, and in urls at least.
 MIN_SUPPORT, MIN_URLS = 0.005, 10
-MIN_CONFIDENCE, MOST_TOGETHER = 0.9, 16
+MIN_CONFIDENCE, MOST_TOGETHER = 0.9, 12
 BLOCKED = "=block"
 
 
@@ -90,14 +90,15 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     total = labelled.count()
     if not total or labelled.filter(F.col("label") == "block").isEmpty():
         return None
-    counts = settle(labelled.select(F.explode("tokens").alias("token")).groupBy("token").count(), "url-tokens")
+    bad = (F.col("label") == "block").cast("int")
+    counts = settle(labelled.select(F.explode("tokens").alias("token"), bad.alias("bad"))
+                    .groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.sum("bad").alias("bad")), "url-tokens")
     support = max(min_support, min(1.0, min_urls / total))
-    while True:  # frequent tokens number at most the mean tokens of a url over the support
-        frequent = {r["token"]: r["count"] for r in counts.filter(F.col("count") >= support * total).collect()}
-        few = F.array_intersect("tokens", F.array(*[F.lit(t) for t in frequent]).cast("array<string>"))
-        if labelled.agg(F.max(F.size(few))).first()[0] <= MOST_TOGETHER:
-            break
-        support *= 2
+    share = labelled.agg(F.avg(bad)).first()[0]
+    # frequent tokens number at most the mean tokens of a url over the support
+    frequent = counts.filter(F.col("count") >= support * total).collect()
+    frequent.sort(key=lambda r: (-abs(r["bad"] / r["count"] - share) * r["count"] ** 0.5, r["token"]))
+    few = F.slice(F.array_intersect(F.array(*[F.lit(r["token"]) for r in frequent]).cast("array<string>"), F.col("tokens")), 1, MOST_TOGETHER)
     baskets = labelled.select(F.concat(few, F.when(F.col("label") == "block", F.array(F.lit(BLOCKED)))
                                        .otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence,
@@ -111,7 +112,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     redundant = (long.join(short, (F.col("token") == F.col("s_token")) & (F.col("n") > F.col("m")))
                  .groupBy("long", "short", "m").count().filter(F.col("count") == F.col("m")).select(F.col("long").alias("rule")))
     minimal = rules.join(redundant, "rule", "left_anti")
-    rank = minimal.select("rule", "tokens", F.explode("tokens").alias("token")).join(counts, "token")
+    rank = minimal.select("rule", "tokens", F.explode("tokens").alias("token")).join(counts.select("token", "count"), "token")
     return settle(rank.groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("first"), F.first("tokens").alias("needs"))
                   .select("first", "needs"), "url-index")
 
