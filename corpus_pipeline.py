@@ -28,24 +28,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column, so that no column of its own can clash, with its id and text hash."""
+    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = (content_sort.exact_dedup(docs).filter("kept")
-            .select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash"))
-    row = Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash")
-    return (_hashed(docs).join(kept, same, "left_semi").withColumn("_row", F.row_number().over(row)).filter("_row = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")))
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))
+    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
+    return (_rows(docs).join(kept, same, "left_semi").withColumn("place", place).filter("place = 1")
+            .select("doc.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = (minhash.near_duplicates(docs).filter("NOT kept")
-               .select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")))
-    same = (F.col("doc_id") == F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash"))
-    return _hashed(docs).join(dropped, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+               .select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash")))
+    same = (F.col("id") == F.col("drop_id")) & (F.col("hash") == F.col("drop_hash"))
+    return _rows(docs).join(dropped, same, "left_anti").select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,11 +118,13 @@ def passes(rules=RULES) -> Column:
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    judged = measures(docs, text).withColumn("_keep", ~base_failed() & passes(rules))
+    # the row travels as one column, so that no column of its own can clash
+    rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    judged = measures(rows).withColumn("_keep", ~base_failed() & passes(rules))
     # The row number keeps the verdict in the projection: as a filter below it, each
     # reference to a measure would be replaced by the measure's whole expression.
     judged = judged.withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("_keep") & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.filter(F.col("_keep") & (F.col("_row") >= 0)).select("doc.*")
 
 
 def op2_quality_rules(spark, sf_dir):
