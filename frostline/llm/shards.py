@@ -1,9 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
 Within each source, rows are ranked in a seeded shuffle; row r of n gets the
-fraction (r - 1 + u) / n with a seeded u below 1; all rows are sorted by
-fraction and cut into equal runs, so that every shard holds each source in
-proportion. The u keeps many tiny sources from meeting at one fraction.
+fraction (r - 1 + p) / n, where p spreads the sources of one size evenly over
+(0, 1), so that many tiny sources don't meet at one place; all rows are sorted
+by fraction and cut into equal runs: every shard holds each source in proportion.
 
 Neither ranking sorts a source or the table in one task: rows are counted by
 (source, bucket) and by slice of fractions, the running sums of these small
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from frostline.llm.common import documents, settle
 
 #: Rows that one bucket of a ranking should hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
-def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list, name: str) -> DataFrame:
+def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list, name: str, of_group=lambda starts: starts) -> DataFrame:
     """Adds ``name``, the 1-based rank of a row in its group, and ``<name>_of``,
-    the group's size. ``bucket`` must not decrease along ``order``."""
+    the group's size. ``bucket`` must not decrease along ``order``. ``of_group`` may
+    add columns of the group to the small table of (group, bucket)."""
     keys = [*group, "_bucket"]
     rows = rows.withColumn("_bucket", bucket)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -38,7 +39,7 @@ def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list, name:
         (F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n")).alias("_first"),
         F.sum("_n").over(whole).alias(f"{name}_of"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (rows.withColumn(name, inside).join(starts, keys)
+    return (rows.withColumn(name, inside).join(of_group(starts), keys)
             .withColumn(name, F.col(name) + F.col("_first")).drop("_bucket", "_first"))
 
 
@@ -53,12 +54,21 @@ def interleave(docs: DataFrame, shards: int, seed: int = 17, id_col: str = "doc_
         F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256).alias("draw")), "shard-rows")
     total = rows.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    bits = lambda at: F.conv(F.substring("draw", at, 8), 16, 10).cast("long")
     # the draw's leading 32 bits rise with the draw itself
-    by_draw = F.floor(bits(1) * F.lit(buckets) / F.lit(1 << 32))
+    lead = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
+    by_draw = F.floor(lead * F.lit(buckets) / F.lit(1 << 32))
     order = ["draw", F.asc_nulls_last("doc_id"), "text_crc32", "size"]
-    mixed = ranked(rows, ["stratum"], by_draw, order, "rank").withColumn(
-        "fraction", ((F.col("rank") - 1).cast("double") + bits(9) / F.lit(float(1 << 32))) / F.col("rank_of").cast("double"))
+
+    def phased(starts: DataFrame) -> DataFrame:
+        """Adds the place of each source among those of its size."""
+        sources = starts.select(F.col("stratum").alias("of"), F.col("rank_of").alias("n")).distinct()
+        same_size = Window.partitionBy("n")
+        nth = F.row_number().over(same_size.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "of"), 256), "of"))
+        phase = (nth - F.lit(0.5)) / F.count(F.lit(1)).over(same_size)
+        return starts.join(sources.select("of", phase.alias("phase")), F.col("stratum") == F.col("of")).drop("of")
+
+    mixed = ranked(rows, ["stratum"], by_draw, order, "rank", phased).withColumn(
+        "fraction", ((F.col("rank") - 1).cast("double") + F.col("phase")) / F.col("rank_of").cast("double"))
     placed = ranked(mixed, [], F.floor(F.col("fraction") * buckets), ["fraction", "stratum", *order], "position")
     # shard s takes the positions from ceil(s * total / shards) on: counts are at most one apart
     at = F.col("position") - 1
@@ -98,9 +108,13 @@ r AS (
   SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id, text_crc32, size) AS rk,
          count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS total
   FROM c),
+s AS (
+  SELECT stratum AS of, (row_number() OVER (PARTITION BY n ORDER BY sha256('17:' || stratum), stratum) - 0.5::DOUBLE)
+         / count(*) OVER (PARTITION BY n) AS phase
+  FROM (SELECT DISTINCT stratum, n FROM r)),
 p AS (
-  SELECT *, row_number() OVER (ORDER BY ((rk - 1)::DOUBLE + ('0x' || substr(draw, 9, 8))::BIGINT / 4294967296.0::DOUBLE) / n::DOUBLE, stratum, draw, doc_id, text_crc32, size) - 1 AS pos
-  FROM r)
+  SELECT r.*, row_number() OVER (ORDER BY ((rk - 1)::DOUBLE + phase) / n::DOUBLE, stratum, draw, doc_id, text_crc32, size) - 1 AS pos
+  FROM r JOIN s ON s.of = r.stratum)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 40 // total)::INTEGER AS shard,
        pos - ((pos * 40 // total) * total + 39) // 40 AS slot, NULL::INTEGER AS grown_shard
 FROM p
