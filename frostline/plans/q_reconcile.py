@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline import schemas
 from frostline.operators import reconcile as rc
 from frostline.plans.catalog import query
 from frostline.sources import standins as st
@@ -97,14 +98,20 @@ def event_quarantine(spark, sf):
     return day_state(spark, sf)["quarantine"]
 
 
-@query("events_retained", blocks=_EV_BLOCKS, oracle=_CUR + """
-select event_ticker, series_ticker, title, category, added_on, feed_pos
-from fx_prev_events where event_ticker in (select event_ticker from cur)
+@query("events_retained", blocks=_EV_BLOCKS + ("fx_prev_event_reports",), oracle=_CUR + """
+select p.event_ticker, p.series_ticker, p.title, p.sub_title, p.mutually_exclusive, p.category, p.added_on, p.feed_pos,
+       coalesce(r.entries, '') as reports
+from fx_prev_events p
+left join (select event_ticker, string_agg(stamp || '=' || hash_id, ',' order by stamp) as entries
+           from fx_prev_event_reports group by event_ticker) r on r.event_ticker = p.event_ticker
+where p.event_ticker in (select event_ticker from cur)
 """)
 def events_retained(spark, sf):
+    """Stored events still on the feed, with all their fields and report entries."""
     valid, prev = _valid_and_prev(spark, sf)
-    return rc.retained_events(prev, valid).select("event_ticker", "series_ticker", "title", "category",
-                                                  "added_on", "feed_pos")
+    entries = F.transform(F.array_sort(F.map_entries("ddgs_reports")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rc.retained_events(prev, valid).select(*rc.EVENT_FIELDS, "added_on", "feed_pos",
+                                                  F.array_join(entries, ",").alias("reports"))
 
 
 @query("events_dropped", blocks=_EV_BLOCKS, oracle=_CUR + """
@@ -211,35 +218,39 @@ def market_price(spark, sf):
                                                  F.round("price", 9).alias("market_price"))
 
 
-@query("markets_new", blocks=_MK_BLOCKS, oracle=_MK + """
-select ticker, event_ticker, title, status, cast(yes_ask as double) as yes_ask,
-       cast(volume as double) as volume, round(price, 9) as price,
-       cast(feed_pos * 6 + market_no - 1 as bigint) as state_pos
+# Market fields by kind; quotes are compared as doubles, as absent ones have no integer form.
+_TEXTS = [f for f in schemas.MARKET_STATE_FIELDS if f not in schemas.QUOTE_FIELDS]
+
+
+def _market_columns():
+    return [*_TEXTS, *[F.col(c).cast("double").alias(c) for c in schemas.QUOTE_FIELDS]]
+
+
+@query("markets_new", blocks=_MK_BLOCKS, oracle=_MK + f"""
+select {", ".join(f"coalesce({c}, '') as {c}" for c in _TEXTS)},
+       {", ".join(f"cast({c} as double) as {c}" for c in schemas.QUOTE_FIELDS)},
+       round(price, 9) as price, cast(feed_pos * 6 + market_no - 1 as bigint) as state_pos
 from act where ticker not in (select ticker from fx_prev_markets)
 """)
 def markets_new(spark, sf):
+    """Markets active today and never stored, as new records with all fields."""
     valid, _ = rc.split_feed(tables.current_feed(spark, sf))
     m = rc.new_markets(rc.active_markets_today(valid), tables.previous_markets(spark, sf), DAY)
-    return m.select("ticker", "event_ticker", "title", "status", F.col("yes_ask").cast("double").alias("yes_ask"),
-                    F.col("volume").cast("double").alias("volume"),
-                    F.round(F.col("market_price")[DAY], 9).alias("price"), "state_pos")
+    return m.select(*_market_columns(), F.round(F.col("market_price")[DAY], 9).alias("price"), "state_pos")
 
 
-@query("markets_refreshed", blocks=_MK_BLOCKS, oracle=_MK + """
-select a.ticker, p.title, p.status, p.open_time,
-       coalesce(a.yes_bid, p.yes_bid) as yes_bid, cast(coalesce(a.yes_ask, p.yes_ask) as double) as yes_ask,
-       cast(coalesce(a.no_bid, p.no_bid) as double) as no_bid,
-       cast(coalesce(a.volume, p.volume) as double) as volume,
+@query("markets_refreshed", blocks=_MK_BLOCKS, oracle=_MK + f"""
+select {", ".join(f"p.{c}" for c in _TEXTS)},
+       {", ".join(f"cast(coalesce(a.{c}, p.{c}) as double) as {c}" for c in schemas.QUOTE_FIELDS)},
        round(p.prev_price, 9) as price_prev, round(a.price, 9) as price_today,
        cast(a.feed_pos * 6 + a.market_no - 1 as bigint) as state_pos
 from act a join first_prev p on p.ticker = a.ticker
 """)
 def markets_refreshed(spark, sf):
+    """Known active markets: the first stored record with today's quotes and price."""
     valid, _ = rc.split_feed(tables.current_feed(spark, sf))
     m = rc.refreshed_markets(rc.active_markets_today(valid), tables.previous_markets(spark, sf), DAY)
-    return m.select("ticker", "title", "status", "open_time", "yes_bid",
-                    *[F.col(c).cast("double").alias(c) for c in ("yes_ask", "no_bid", "volume")],
-                    F.round(F.col("market_price")[st.STAMP_PREV], 9).alias("price_prev"),
+    return m.select(*_market_columns(), F.round(F.col("market_price")[st.STAMP_PREV], 9).alias("price_prev"),
                     F.round(F.col("market_price")[DAY], 9).alias("price_today"), "state_pos")
 
 
