@@ -201,29 +201,29 @@ def _word_scores(shared):
 
 
 def _document_sums(shared):
-    """For each document a row with the sums over its frequent words, and one for each other word."""
+    """For each document a row with its id and the sums over its frequent words, and one for each other word."""
+    names = ["row", "doc_id", "held_out", "word", "n", "words", "known", "base", "score"]
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value
         for b in byte_slices(batches, "text", 2 << 20):
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for row, text in zip(b.column("row").to_pylist(), binary_values(b.column("text"))):
+            rows = []
+            for row, doc, held, text in zip(*(b.column(n).to_pylist() for n in names[:3]), binary_values(b.column("text"))):
                 words = (text or b"").lower().split()
-                known, base, score, rare = 0, 0.0, 0.0, []
+                known, base, score = 0, 0.0, 0.0
                 for w, n in Counter(words).items():
                     w = w.decode("utf-8", "replace")
                     h = head.get(w)
                     if h is None:
-                        rare.append((row, w, n, 0, 0, 0.0, 0.0))
+                        rows.append((row, None, None, w, n, 0, 0, 0.0, 0.0))
                     else:
                         known += n * h[0]
                         base += n * h[1]
                         score += n * h[2]
                 # a blank never occurs in a word: this row meets no word and goes to a place of its own
-                rare.append((row, f" {row}", 0, len(words), known, base, score))
-                for o, v in zip(out, zip(*rare)):
-                    o.extend(v)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names=["row", "word", "n", "words", "known", "base", "score"])
+                rows.append((row, doc, held, f" {row}", 0, len(words), known, base, score))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     return run
 
 
@@ -232,7 +232,7 @@ def score_documents(docs: DataFrame, held_out, path: str, rounds: int = 1, id_co
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10). ``held_out``: a condition on ``doc_id``; the other rows are learned from."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", held_out)
     words = settle(docs.select("text", "held_out").mapInArrow(_counted, "word string, train long, every long")
                    .groupBy("word").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "words")
     texts = docs.filter(~F.col("held_out")).count()
@@ -264,19 +264,20 @@ def score_documents(docs: DataFrame, held_out, path: str, rounds: int = 1, id_co
         least = 1 << r["level"]
     table = words.filter((F.col("every") >= least) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
     head = {w: (int(c > 0), py_base(c), s) for w, c, s in zip(*(table.column(n).to_pylist() for n in ("word", "train", "log10")))}
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    found = (numbered.select("row", "text").mapInArrow(_document_sums(spark.sparkContext.broadcast(head)),
-                                                       "row long, word string, n long, words long, known long, base double, score double"))
+    found = (docs.withColumn("row", F.monotonically_increasing_id())
+             .mapInArrow(_document_sums(spark.sparkContext.broadcast(head)),
+                         "row long, doc_id long, held_out boolean, word string, n long, words long, known long, base double, score double"))
     joined = found.join(words.select(F.col("word").alias("w_word"), "train", "log10"), F.col("word") == F.col("w_word"), "left")
     n, train = F.col("n"), F.coalesce("train", F.lit(0))
     scored = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
         F.sum("words").alias("words"), F.sum(F.col("known") + n * (train > 0).cast("int")).alias("known"),
         F.sum(F.col("base") + F.when(n > 0, n * log_base(train)).otherwise(0.0)).alias("base"),
         F.sum(F.col("score") + F.when(n > 0, n * F.col("log10")).otherwise(0.0)).alias("score"))
-    return (numbered.select("row", "doc_id", "held_out").join(scored, "row")
-            .select("doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + int(texts > 0)).alias("n_known"),
-                    F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + py_base(texts)).alias("base_score"),
-                    (F.col("score") + model.end / math.log(10)).alias("score")))
+    return scored.select(
+        "doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + int(texts > 0)).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + py_base(texts)).alias("base_score"),
+        (F.col("score") + model.end / math.log(10)).alias("score"))
 
 
 def op4_subword_lattice(spark, sf_dir):
