@@ -36,6 +36,8 @@ from frostline.llm.common import byte_slices, documents, settle
 from frostline.llm.shards import BUCKET_ROWS, ranked
 
 WINDOW, END_ID = 2048, 1
+#: Bytes of text encoded together: a run is looked up once in each slice.
+SLICE_BYTES = 12 << 20
 #: Runs of characters, and words within them, whose ids a worker remembers, and the longest of these.
 MEMO_RUNS, MEMO_CHARS = 300_000, 40
 #: A word of Latin letters and the signs after it: the tokenizer splits between the two and nowhere else.
@@ -97,8 +99,11 @@ class RunCoder:
         pool = np.frombuffer(b"".join(parts), dtype="<u4")
         n = sizes[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        shift = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
-        ids = pool[np.arange(ends[-1]) + np.repeat(shift, n)]
+        # a slice holds far fewer than 2^31 ids: places of four bytes keep it small
+        shift = ((np.cumsum(sizes) - sizes)[which] - ends[:-1]).astype(np.int32)
+        place = np.repeat(shift, n)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[place]
         at = runs.offsets.to_numpy()
         return ids, ends[at - at[0]]
 
@@ -117,7 +122,7 @@ def _cut(path: str, end_id: int, window: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = coder(path), array("I", [end_id]).tobytes()
-        for b in byte_slices(batches, "text"):
+        for b in byte_slices(batches, "text", SLICE_BYTES):
             rows = []
             all_ids, at = code.encode(b.column("text"))
             for doc, lo, hi in zip(b.column("doc_id").to_pylist(), at, at[1:]):
