@@ -68,7 +68,8 @@ def frozen(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     if key not in _FRAMES:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = f"{checkpoint_dir(spark)}/frozen-{spark.sparkContext.applicationId}/{tag}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        # one file per core, as ingestion on the cluster would leave them
+        build().repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
         _FRAMES[key] = spark.read.parquet(path)
     return _FRAMES[key]
 
