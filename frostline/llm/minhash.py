@@ -42,7 +42,7 @@ from frostline.llm.common import binary_values, byte_slices, documents, settle,
 
 HALVES, ROWS = 14, 2
 #: Words whose hash a worker remembers, and the longest of these in bytes.
-MEMO_WORDS, MEMO_BYTES = 300_000, 40
+MEMO_WORDS, MEMO_BYTES = 100_000, 40
 
 U64 = np.uint64
 _K = U64(0x9E3779B97F4A7C15)

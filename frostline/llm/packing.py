@@ -37,9 +37,9 @@ from frostline.llm.shards import BUCKET_ROWS, ranked
 
 WINDOW, END_ID = 2048, 1
 #: Bytes of text encoded together: a run is looked up once in each slice.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 #: Runs of characters, and words within them, whose ids a worker remembers, and the longest of these.
-MEMO_RUNS, MEMO_CHARS = 300_000, 40
+MEMO_RUNS, MEMO_CHARS = 200_000, 40
 #: A word of Latin letters and the signs after it: the tokenizer splits between the two and nowhere else.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
 
