@@ -8,9 +8,12 @@ smaller rule. An inverted index has each rule under its rarest token; a url
 that holds the token and all others of the rule is blocked, the rest allowed.
 
 Tokens of a url are its host's labels, its path's parts and its query's keys.
-The number of frequent items is bounded by the support. As the number of their
-combinations isn't, a labelled url gives the MOST_TOGETHER tokens that tell most
-about the verdict, if it has more frequent ones; matching looks at all tokens.
+Rules of one token come straight from the tokens' counts. FP-growth gets, whole,
+the other tokens that a minimal rule can hold: in enough blocked urls, not in all
+allowed ones (such a token excludes no url), and one of each set of tokens that the
+labelled urls always hold together; in matching, any of the set stands for it. The
+number of these tokens is bounded by the support, that of their combinations isn't:
+see the README.
 
 Everything is DataFrame and SQL functions and the FP-growth of Spark.
 
@@ -23,6 +26,7 @@ others. Columns other than id and url are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -32,7 +36,7 @@ from frostline.llm.common import settle
 
 #: Support as a share of the labelled urls, and in urls at least.
 MIN_SUPPORT, MIN_URLS = 0.005, 10
-MIN_CONFIDENCE, MOST_TOGETHER = 0.9, 12
+MIN_CONFIDENCE = 0.9
 BLOCKED = "=block"
 
 
@@ -85,23 +89,55 @@ def fitting(rules: tuple[HostRule, ...], value) -> Column:
     return found
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS) -> DataFrame | None:
-    """(first, tokens) of the minimal blocking rules among rows (tokens, label): a rule and its rarest token."""
+def alike(baskets: DataFrame, counts: list) -> dict[str, str]:
+    """token -> the first token that exactly the same rows (items) hold, for tokens that aren't the first."""
+    sets = settle(baskets.distinct(), "url-sets")
+    marks = {r["token"]: r[1:] for r in sets.select(F.explode("items").alias("token"), F.xxhash64("items").alias("a"), F.xxhash64(F.lit("b"), "items").alias("b"))
+             .groupBy("token").agg(F.bit_xor("a"), F.bit_xor("b")).collect()}
+    firsts, same = {}, {}
+    for r in sorted(counts, key=lambda r: r["token"]):
+        first = firsts.setdefault((r["count"], r["bad"], *marks[r["token"]]), r["token"])
+        if first != r["token"]:
+            same[r["token"]] = first
+    if same:  # marks may meet by chance: both tokens are in as many rows, so none may be without the first
+        apart = (sets.select("items", F.explode("items").alias("token")).withColumn("first", named_by(same, F.col("token")))
+                 .filter(~F.array_contains("items", F.col("first"))).select("token").distinct().collect())
+        for r in apart:
+            del same[r["token"]]
+    return same
+
+
+def named_by(same: dict[str, str], token: Column) -> Column:
+    """The token that stands for ``token``."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in same.items() for x in pair]), token), token) if same else token
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+         min_urls: int = MIN_URLS) -> tuple[DataFrame, dict[str, str]] | None:
+    """(first, needs) of the minimal blocking rules among rows (tokens, label), a rule and its rarest
+    token; and the tokens for which another stands in the rules."""
     total = labelled.count()
-    if not total or labelled.filter(F.col("label") == "block").isEmpty():
+    blocked = labelled.filter(F.col("label") == "block").count()
+    if not blocked:
         return None
     bad = (F.col("label") == "block").cast("int")
     counts = settle(labelled.select(F.explode("tokens").alias("token"), bad.alias("bad"))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.sum("bad").alias("bad")), "url-tokens")
-    support = max(min_support, min(1.0, min_urls / total))
-    share = labelled.agg(F.avg(bad)).first()[0]
-    # frequent tokens number at most the mean tokens of a url over the support
-    frequent = counts.filter(F.col("count") >= support * total).collect()
-    frequent.sort(key=lambda r: (-abs(r["bad"] / r["count"] - share) * r["count"] ** 0.5, r["token"]))
-    few = F.slice(F.array_intersect(F.array(*[F.lit(r["token"]) for r in frequent]).cast("array<string>"), F.col("tokens")), 1, MOST_TOGETHER)
-    baskets = labelled.select(F.concat(few, F.when(F.col("label") == "block", F.array(F.lit(BLOCKED)))
+    need = ceil(max(min_support * total, min(total, min_urls)))
+    sure = F.col("bad") / F.col("count") >= min_confidence
+    enough = counts.filter(F.col("bad") >= need)
+    single = enough.filter(sure).select(F.col("token").alias("first"), F.array("token").alias("needs"))
+    # enough tokens number at most the mean tokens of a url over the support
+    able = enough.filter(~sure & (F.col("count") - F.col("bad") < total - blocked)).collect()
+    if not able:
+        return settle(single, "url-index"), {}
+    held = lambda tokens: F.array_intersect(F.array(*[F.lit(t) for t in tokens]), F.col("tokens"))
+    same = alike(labelled.select(held(sorted(r["token"] for r in able)).alias("items")), able)
+    baskets = labelled.select(F.concat(held(sorted(r["token"] for r in able if r["token"] not in same)),
+                                       F.when(F.col("label") == "block", F.array(F.lit(BLOCKED)))
                                        .otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence,
+    # half a url less, as the product with the number of urls is rounded up
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / total, minConfidence=min_confidence,
                      numPartitions=int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     rules = (model.associationRules.filter(F.col("consequent")[0] == BLOCKED)
              .select(F.array_sort("antecedent").alias("tokens")).withColumn("rule", F.concat_ws("\t", "tokens")))
@@ -114,18 +150,20 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     minimal = rules.join(redundant, "rule", "left_anti")
     rank = minimal.select("rule", "tokens", F.explode("tokens").alias("token")).join(counts.select("token", "count"), "token")
     return settle(rank.groupBy("rule").agg(F.min_by("token", F.struct("count", "token")).alias("first"), F.first("tokens").alias("needs"))
-                  .select("first", "needs"), "url-index")
+                  .select("first", "needs").union(single), "url-index"), same
 
 
 def judge(pages: DataFrame, rules: tuple[HostRule, ...] = RULES, min_support: float = MIN_SUPPORT,
           min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS) -> DataFrame:
     """One row per page: page_id, host, path, rule (null if none fits) and verdict."""
     rows = parts(pages).withColumn("rule", fitting(rules, lambda r: F.lit(r.text))).withColumn("label", fitting(rules, lambda r: F.lit(r.verdict)))
-    index = mine(settle(rows.filter("label IS NOT NULL").select("tokens", "label"), "url-labels"), min_support, min_confidence, min_urls)
+    mined = mine(settle(rows.filter("label IS NOT NULL").select("tokens", "label"), "url-labels"), min_support, min_confidence, min_urls)
     other = F.lit("allow")
-    if index is not None:
+    if mined is not None:
+        index, same = mined
+        known = F.array_distinct(F.transform("tokens", lambda x: named_by(same, x)))
         holds = F.size(F.array_intersect("needs", "tokens")) == F.size("needs")
-        bad = (rows.filter("label IS NULL").select("url", "tokens", F.explode("tokens").alias("token"))
+        bad = (rows.filter("label IS NULL").select("url", known.alias("tokens")).select("url", "tokens", F.explode("tokens").alias("token"))
                .join(index, (F.col("token") == F.col("first")) & holds).select(F.col("url").alias("bad_url")).distinct())
         rows = rows.join(bad, F.col("label").isNull() & (F.col("url") == F.col("bad_url")), "left")
         other = F.when(F.col("bad_url").isNotNull(), "block").otherwise("allow")

@@ -64,3 +64,28 @@ def test_many_frequent_tokens_end(spark):
     rows = [(i, "http://a.com/de/" + "/".join(f"p{k}" for k in range(40))) for i in range(30)] + [(99, "http://b.net/de/p1")]
     got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[0] == "block" and got[99] in ("allow", "block")
+
+
+def test_every_frequent_token_is_mined(spark):
+    """One token of 43 in each labelled url decides about another."""
+    rows = [(i, "http://a.com/de/" + "/".join(f"p{k}" for k in range(40))) for i in range(30)] + [(99, "http://b.net/x/p30"), (98, "http://b.net/x/p40")]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (got[99], got[98]) == ("block", "allow")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_urls_against_brute_force(spark, seed):
+    """Urls of up to 15 frequent tokens; k0 to k2 are always together, and block with q11."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(80):
+        held = r.sample([f"q{k}" for k in range(12)], 8) + ["k0", "k1", "k2"] * (i % 2)
+        kind = "de" if {"q11", "k0"} <= set(held) else "fr"
+        rows.append((i, f"http://a.com/{kind}/" + "/".join(held) + r.choice(["", "?x=1"])))
+    rows += [(100 + i, "http://b.net/" + "/".join(r.sample([f"q{k}" for k in range(12)] + ["k0", "k1", "k2", "z"], 6))) for i in range(30)]
+    rows += [(200, "http://b.net/k2/q11"), (201, "http://b.net/k1/q3"), (202, "http://b.net/q11")]
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string"), U.RULES, 0.1, 0.8, 5).collect()
+    want = brute(rows, 0.1, 0.8, 5)
+    assert sorted((tuple(g) for g in got), key=repr) == want
+    verdicts = {w[0]: w[4] for w in want}
+    assert (verdicts[200], verdicts[201], verdicts[202]) == ("block", "allow", "allow")
