@@ -1,3 +1,4 @@
+import base64
 import random
 
 import numpy as np
@@ -63,3 +64,31 @@ def test_query_on_the_small_table(spark):
     got = L.op5_nearest_centroid(spark, SMALL).join(docs, "doc_id")
     r = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("share"), F.count("*").alias("n")).first()
     assert r["n"] > 20 and r["share"] >= 0.95
+
+
+NOT_LEARNED = {
+    "nl": "De oude man liep langzaam door de straten van de stad en dacht aan alles wat hij in zijn leven had gezien. Het was koud buiten, maar de zon scheen nog een beetje boven de daken. Niemand wist waar hij heen ging of waarom hij zo vroeg was opgestaan.",
+    "it": "Il vecchio camminava lentamente per le strade della città e pensava a tutto quello che aveva visto nella sua vita. Faceva freddo, ma il sole splendeva ancora un poco sopra i tetti. Nessuno sapeva dove andasse o perché si fosse alzato così presto.",
+    "pt": "O velho caminhava devagar pelas ruas da cidade e pensava em tudo o que tinha visto na sua vida. Estava frio lá fora, mas o sol ainda brilhava um pouco por cima dos telhados. Ninguém sabia para onde ele ia nem por que se tinha levantado tão cedo.",
+    "pl": "Stary człowiek szedł powoli ulicami miasta i myślał o wszystkim, co widział w swoim życiu. Na dworze było zimno, ale słońce świeciło jeszcze trochę nad dachami. Nikt nie wiedział, dokąd idzie ani dlaczego wstał tak wcześnie rano.",
+    "sv": "Den gamle mannen gick långsamt genom stadens gator och tänkte på allt som han hade sett i sitt liv. Det var kallt ute, men solen sken ännu lite över taken. Ingen visste vart han var på väg eller varför han hade stigit upp så tidigt.",
+    "fi": "Vanha mies käveli hitaasti kaupungin katuja pitkin ja ajatteli kaikkea, mitä hän oli elämässään nähnyt. Ulkona oli kylmä, mutta aurinko paistoi vielä vähän kattojen yllä. Kukaan ei tiennyt, minne hän oli menossa tai miksi hän oli noussut niin varhain.",
+    "tr": "Yaşlı adam şehrin sokaklarında yavaşça yürüyor ve hayatında gördüğü her şeyi düşünüyordu. Dışarısı soğuktu ama güneş hâlâ çatıların üzerinde biraz parlıyordu. Kimse onun nereye gittiğini ya da neden bu kadar erken kalktığını bilmiyordu.",
+}
+
+
+def test_latin_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs.filter(L.learned_from()))
+    far = [t.encode() for t in NOT_LEARNED.values()] + [base64.b64encode(random.Random(i).randbytes(n)) for i in range(20) for n in (120, 300, 2000)]
+    assert model.predict(far)[2].all()
+    known = [r.text.encode() for r in docs.filter(~L.learned_from() & F.length("text").between(200, 5000)).collect()]
+    assert len(known) > 50 and model.predict(known)[2].mean() < 0.01
+
+
+def test_no_centroid_of_a_single_outlier():
+    r = np.random.default_rng(5)
+    m = np.eye(40)[np.r_[[0] * 150, [1] * 150, range(2, 6)]] + r.random((304, 40)) / 10
+    found, _ = L.k_means(L.unit(m), 4)
+    rows = np.bincount((L.unit(m) @ found.T).argmax(axis=1), minlength=len(found))
+    assert len(found) >= 2 and rows.min() >= 3
