@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, quality, shards, url_rules
+from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, prefix_trie, quality, shards, syncmers, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_pack": packing.op8_pack,
     "op9_association_rules": url_rules.op9_association_rules,
     "op10_content_sort": content_sort.op10_content_sort,
+    "op12_syncmers": syncmers.op12_syncmers,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE = {
@@ -22,4 +24,5 @@ ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
     "op6_interleave": shards.OP6_SQL,
     "op10_content_sort": content_sort.OP10_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
