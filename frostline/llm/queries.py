@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, prefix_trie, quality, shards, syncmers, url_rules
+from frostline.llm import bpe, content_sort, langid, lattice_lm, line_dedup, minhash, packing, prefix_trie, quality, shards, spelling, syncmers, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pack": packing.op8_pack,
     "op9_association_rules": url_rules.op9_association_rules,
     "op10_content_sort": content_sort.op10_content_sort,
+    "op11_spelling": spelling.op11_spelling,
     "op12_syncmers": syncmers.op12_syncmers,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
