@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,16 +24,18 @@ PY_LINE_BREAK = r"\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 # What is dropped before paragraphs are read (comments, scripts and styles, an open
-# one to the end), a tag (a quoted value may hold any sign), the paragraph opening
-# tag, and the closing tags that end an open paragraph.
+# one to the end), a tag (a quoted value may hold any sign) and its name.
 DROPPED = (r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
            r"|<style\b[^>]*>.*?(?:</style\s*>|\z)")
 INSIDE_TAG = r"""[^'">]*(?:(?:"[^"]*"|'[^']*')[^'">]*)*"""
 ANY_TAG = f"<[A-Za-z/!?]{INSIDE_TAG}>"
-P_OPEN = rf"(?i)<p(?:\s{INSIDE_TAG})?>"
-P_END = r"(?is)</(?:p|article|body|html)\s*>.*$"
-# A character reference: decimal, hexadecimal or named.
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+TAG_NAME = r"^</?([A-Za-z][^\t\n\r\f />]*)"
+# Elements without content: closed as soon as they are opened.
+VOID = ("area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img",
+        "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr")
+# A character reference: decimal, hexadecimal or named, with or without its semicolon. A name goes
+# as far as letters, digits, dots and hyphens do; without a semicolon another sign must follow.
+REFERENCE = r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|[A-Za-z][-.A-Za-z0-9]*)(?:;|(?![0-9A-Za-z]))"
 # -----------------------------------------------------------------------------
 
 _STRIP = f"^{PY_SPACE}+|{PY_SPACE}+$"
@@ -68,56 +71,109 @@ def token_pieces(x) -> Column:
 
 # Characters of named references, from the standard library's table, and of the numbers
 # that stand for Windows-1252 characters.
-_NAMED = json.dumps({n: c for n, c in html.entities.html5.items() if n.endswith(";")}
-                    | {str(i): bytes([i]).decode("cp1252", "replace") for i in range(128, 160)})
+_NAMED = json.dumps({n[:-1]: c for n, c in html.entities.html5.items() if n.endswith(";")}
+                    | {str(i): bytes([i]).decode("cp1252") for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore")})
 
 
 def _character(ref: Column) -> Column:
-    """The text a reference stands for; an unknown name stays as it is."""
+    """The text a reference stands for; an unknown name stays, without its semicolon."""
     table = F.from_json(F.lit(_NAMED), "map<string,string>")
-    digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+);$", 1)
-    number = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).when(ref.startswith("&#"), digits).cast("bigint")
-    known = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    name = F.regexp_extract(ref, "^&([^;]*)", 1)
+    digits = F.regexp_extract(ref, "^&#[xX]?([0-9a-fA-F]+)", 1)
+    number = F.when(F.length(digits) > 7, F.lit(1 << 30)).when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
+    known = (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    numeric = F.coalesce(F.element_at(table, number.cast("string")), F.when(known, char).otherwise("\ufffd"))
-    return F.when(ref.startswith("&#"), numeric).otherwise(
-        F.coalesce(F.element_at(table, F.substring(ref, 2, 99)), ref))
+    numeric = F.coalesce(F.element_at(table, number.cast("string")), F.when(known, char).otherwise("�"))
+    return (F.when(name == "amp", "&").when(name == "nbsp", " ").when(ref.startswith("&#"), numeric)
+            .otherwise(F.coalesce(F.element_at(table, name), F.concat(F.lit("&"), name))))
 
 
-def decode_entities(x) -> Column:
-    """Character references decoded, once: what a reference gives is not read again."""
+def decode_entities(x, cut: Column | None = None) -> Column:
+    """Character references decoded, once: what a reference gives is not read again. Where ``cut`` holds,
+    the page ends with the text, and a last reference without its semicolon isn't one yet."""
     c = _c(x)
-    between, refs = F.split(c, REFERENCE), F.regexp_extract_all(c, F.lit(REFERENCE), 0)
-    decoded = F.array_join(F.zip_with(between, refs, lambda t, r: F.concat(t, F.coalesce(_character(r), F.lit("")))), "")
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
+    def decoded(pattern: str) -> Column:
+        between, refs = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), 0)
+        return F.array_join(F.zip_with(between, refs, lambda t, r: F.concat(t, F.coalesce(_character(r), F.lit("")))), "")
 
-# A run of tags with the white space around them: the boundary between two
-# text pieces of one paragraph.
-TAG_RUN = f"{PY_SPACE}*(?:{ANY_TAG}{PY_SPACE}*)+"
+    out = F.when(~F.contains(c, F.lit("&")), c)
+    if cut is not None:
+        out = out.when(cut, decoded(REFERENCE.replace("(?![0-9A-Za-z])", "(?=[^0-9A-Za-z])")))
+    return out.otherwise(decoded(REFERENCE))
 
 
-def paragraph_text(page) -> Column:
-    """Text of the ``<p>`` elements of a page, one paragraph per line.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    Comments, script and style elements go first; each paragraph runs from its opening
-    tag to the next opening ``<p>`` or to the first closing ``p``/``article``/
-    ``body``/``html`` tag. Inside it, every text piece between tags is decoded,
-    trimmed and dropped when empty; pieces are joined by one space.
 
-    Trimming every piece and joining the non-empty ones by a space is the same
-    as turning each run of tags (with the white space around it) into one
-    space and trimming the ends, so a paragraph costs one regex pass instead
-    of a split and a loop over pieces. ``&nbsp;`` is decoded first so that it
-    counts as white space at piece ends; the other references are decoded
-    after the tags are gone, so that a decoded ``<`` is text, not a tag.
-    """
-    body = F.regexp_replace(F.coalesce(_c(page), F.lit("")), DROPPED, "")
-    opened = F.split(body, P_OPEN)
-    paras = F.slice(opened, 2, F.greatest(F.size(opened), F.lit(1)))
+_OPEN, _DONE = "array<struct<name:string,at:int>>", "array<struct<at:int,till:int>>"
+
+
+def _fold(tags: Column, last: Column) -> Column:
+    """Paragraphs by a fold over a page's tags. ``open``: the elements not closed yet, outermost first, with the
+    place of their tag; ``done``: the paragraphs closed so far with the places of both tags. A closing tag closes the
+    last open element of its name and all that is open inside it; without one it closes nothing."""
+    def closed(elements: Column, till: Column) -> Column:
+        return F.transform(F.filter(elements, lambda e: e["name"] == "p"), lambda e: F.struct(e["at"].alias("at"), till.alias("till")))
+
+    def state(opened: Column, done: Column) -> Column:
+        return F.struct(opened.alias("open"), done.alias("done"))
+
+    def step(acc: Column, t: Column) -> Column:
+        opened, done = acc["open"], acc["done"]
+        back = F.array_position(F.reverse(opened["name"]), t["name"]).cast("int")
+        stay = F.size(opened) - back
+        return (F.when(t["kind"] == "open", state(F.concat(opened, F.array(F.struct(t["name"].alias("name"), t["at"].alias("at")))), done))
+                .when(t["kind"] == "both", state(opened, F.concat(done, F.array(F.struct(t["at"].alias("at"), t["at"].alias("till"))))))
+                .when(back == 0, acc)
+                .otherwise(state(F.slice(opened, 1, stay), F.concat(done, closed(F.slice(opened, stay + 1, back), t["at"])))))
+
+    return F.aggregate(tags, state(F.array().cast(_OPEN), F.array().cast(_DONE)), step,
+                       lambda acc: F.array_sort(F.concat(acc["done"], closed(acc["open"], last))))
 
-    def one(p):
-        inner = F.replace(F.regexp_replace(p, P_END, ""), F.lit("&nbsp;"), F.lit("\u00a0"))
-        return py_strip(decode_entities(F.regexp_replace(inner, TAG_RUN, " ")))
 
-    return F.array_join(F.transform(paras, one), "\n")
+def _paragraphs(tags: Column) -> Column:
+    """(at, till) of the ``p`` elements among the tags of a page, in page order: the places of
+    their opening tag and of the tag that closes them (the number of tags: none does)."""
+    def read(t: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, TAG_NAME, 1))
+        kind = (F.when((name == "") | name.isin(*VOID), "none").when(t.startswith("</"), "close")
+                .when(~t.endswith("/>"), "open").when(name == "p", "both").otherwise("none"))
+        return F.struct(name.alias("name"), kind.alias("kind"), i.alias("at"))
+
+    return _fold(F.filter(F.transform(tags, read), lambda t: t["kind"] != "none"), F.size(tags))
+
+
+def paragraph_text(page, most: int | None = None) -> Column:
+    """Text of the ``<p>`` elements of a page as a tolerant parser sees them, one paragraph per line.
+
+    Scripts and styles go first. A paragraph runs from its tag to the tag that closes it: its own
+    ``</p>``, or that of an element around it; one that is never closed runs to the end of the page. A ``<p>`` in an open
+    paragraph stands inside it, so the outer one holds the inner one's text too, and the inner one follows by itself.
+    Every text piece between tags (or comments) is decoded, trimmed and dropped when empty; pieces are joined by one space.
+
+    NULL if the pieces alone, without the blanks between, are longer than ``most``: nested paragraphs repeat their text, so a
+    page that never closes any may give a text far longer than itself.
+    """
+    body = F.regexp_replace(F.coalesce(_c(page), F.lit("")), DROPPED, "<!>")
+
+    def pieces(texts: Column) -> Column:
+        return F.transform(texts, lambda s, i: py_strip(decode_entities(s, cut=i == F.size(texts) - 1)))
+
+    def inside(values: Column, p: Column) -> Column:
+        return F.slice(values, p["at"] + 2, p["till"] - p["at"])
+
+    def text_of(parts: Column, found: Column) -> Column:
+        lines = F.transform(found, lambda p: F.array_join(F.filter(inside(parts, p), lambda s: s != ""), " "))
+        whole = F.array_join(lines, "\n")
+        if most is None:
+            return whole
+        return let(F.transform(parts, lambda s: F.length(s).cast("long")), lambda sizes: F.when(F.aggregate(
+            found, F.lit(0).cast("long"), lambda n, p: F.when(n > most, n).otherwise(
+                n + F.aggregate(inside(sizes, p), F.lit(0).cast("long"), lambda a, b: a + b))) <= most, whole))
+
+    return let(body, lambda b: F.when(~b.rlike("(?i)<p[\t\n\r\f />]"), F.lit("")).otherwise(let(
+        F.split(b, ANY_TAG), lambda texts: let(pieces(texts), lambda parts: let(
+            _paragraphs(F.regexp_extract_all(b, F.lit(ANY_TAG), 0)), lambda found: text_of(parts, found))))))

@@ -37,7 +37,7 @@ def page_articles(pages: DataFrame, min_chars: int = params.ARTICLE_MIN_CHARS,
     # stays above it: the optimizer would otherwise inline the extraction into
     # the scan filter and evaluate it once per predicate.
     art = (pages.where(F.col("http_status") == 200)
-           .select("url", F.explode(F.array(text.paragraph_text("html"))).alias("article")))
+           .select("url", F.explode(F.array(text.paragraph_text("html", most=max_chars))).alias("article")))
     return (art.withColumn("n_chars", F.length("article").cast("bigint"))
             .where(F.col("n_chars").between(min_chars, max_chars)))
 

@@ -9,20 +9,19 @@ L2-normalised. Hence, with term counts ``a``, ``b``::
     Sa = sum over shared of a^2,   Na = sum over all tokens of a^2 (same for b)
     sim = D / (sqrt(Sa + c^2 (Na - Sa)) * sqrt(Sb + c^2 (Nb - Sb)))
 
-Only term counts per text and one join on shared tokens are needed; no IDF
-model, no vectors, no all-against-all product. Term counts are computed once
-per distinct text: the shuffle that sums them also feeds the norms and tells
-which links have an article at all, so article text never travels before the
-ranking; it is attached to the articles that are left. The shared-token join is
-keyed by (link, token), which is unique on the article side; a popular link's
-rows on the other side are split by the skew join.
+Each text becomes one sorted array of (token, count) in its own row, by an
+expression; no token is ever shuffled. A pair's sums over shared tokens come from
+merging its two arrays. Descriptions meet their links by event, of which each
+has a few per query line; pages meet theirs by link, and a link that very many events
+share is dealt over salts, with a copy of the page's array for each. Article text
+never travels before the ranking; it is attached to the articles that are left.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline import params
@@ -33,50 +32,70 @@ from frostline.operators.search import link_articles
 ONE_SIDED_IDF = math.log(1.5) + 1.0
 
 
-#: Stands in the term counts once for each text, so that a text without words is seen. No token is a blank.
-PRESENT = " "
+#: A link with more than this many events, and more than a MOST_LINKS-th of all pairs, is dealt over salts of this size.
+SALT_PAIRS, MOST_LINKS = 1000, 10_000
 
 
-def term_counts(texts: DataFrame, key: str, text_col: str, mark: bool = False) -> DataFrame:
-    """``key, token, tf`` for every token of every text (map-side combined); with
-    ``mark`` also one row with the token PRESENT for each text."""
-    words = text.token_pieces(text_col)
-    if mark:
-        words = F.concat(words, F.array(F.lit(PRESENT)))
-    return (texts.select(key, F.explode(words).alias("token"))
-            .where((F.length("token") >= 2) | (F.col("token") == PRESENT))
+def term_counts(texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``key, token, tf`` for every token of every text (map-side combined)."""
+    return (texts.select(key, F.explode(text.token_pieces(text_col)).alias("token"))
+            .where(F.length("token") >= 2)
             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def norms(tc: DataFrame, key: str, name: str) -> DataFrame:
-    """Squared norm ``sum(tf^2)`` per text."""
-    return tc.where(F.col("token") != PRESENT).groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
+def term_vector(text_col) -> Column:
+    """The tokens of a text with their counts, sorted by token: ``array<struct<token, tf>>``."""
+    tokens = F.array_sort(F.filter(text.token_pieces(text_col), lambda w: F.length(w) >= 2))
 
+    def counted(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return text.let(starts, lambda s: F.transform(s, lambda at, k: F.struct(
+            t[at].alias("token"), (F.coalesce(F.get(s, k + 1), F.size(t)) - at).cast("bigint").alias("tf"))))
 
-def link_similarity(descriptions: DataFrame, article_terms: DataFrame, links: DataFrame) -> DataFrame:
-    """Cosine per (event, link).
+    return text.let(tokens, lambda t: F.when(F.size(t) == 0, F.array().cast("array<struct<token:string,tf:bigint>>")).otherwise(counted(t)))
 
-    ``descriptions``: ``event_ticker, description``; ``article_terms``: term
-    counts by ``href``; ``links``: the (event, link) pairs to score. Pairs
-    sharing no token score 0, so norms only meet pairs that share one.
-    """
+
+def _sum(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda n, v: n + of(v))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """TF-IDF cosine of two texts from their term vectors; 0 if either has no token."""
+    side = lambda v, k: F.transform(v, lambda x: F.struct(x["token"].alias("token"), F.lit(k).alias("side"), x["tf"].alias("tf")))
+    # two sorted runs: sorting them together is one merge
+    merged = F.array_sort(F.concat(side(a, 0), side(b, 1)))
     c2 = ONE_SIDED_IDF * ONE_SIDED_IDF
-    pairs = links.select("event_ticker", "href").distinct()
-    needed = descriptions.join(pairs.select("event_ticker"), "event_ticker", "left_semi")
-    dterms = term_counts(needed, "event_ticker", "description")
-    cand = pairs.join(dterms.withColumnRenamed("tf", "tf_b"), "event_ticker")
-    shared = cand.join(article_terms.withColumnRenamed("tf", "tf_a"), ["href", "token"])
-    dots = (shared.groupBy("event_ticker", "href")
-            .agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("D"),
-                 F.sum(F.col("tf_a") * F.col("tf_a")).alias("Sa"),
-                 F.sum(F.col("tf_b") * F.col("tf_b")).alias("Sb"))
-            .join(norms(article_terms, "href", "Na"), "href")
-            .join(norms(dterms, "event_ticker", "Nb"), "event_ticker"))
-    d, sa, sb, na, nb = (F.col(x) for x in ("D", "Sa", "Sb", "Na", "Nb"))
-    den = F.sqrt(sa + (na - sa) * c2) * F.sqrt(sb + (nb - sb) * c2)
-    sims = dots.select("event_ticker", "href", (d / den).alias("similarity"))
-    return (pairs.join(sims, ["event_ticker", "href"], "left")
-            .select("event_ticker", "href", F.coalesce("similarity", F.lit(0.0)).alias("similarity")))
+
+    def from_sums(d, sa, sb) -> Column:
+        na, nb = (_sum(v, lambda x: x["tf"] * x["tf"]) for v in (a, b))
+        return d / (F.sqrt(sa + (na - sa) * c2) * F.sqrt(sb + (nb - sb) * c2))
+
+    def of_merged(m: Column) -> Column:
+        shared = F.filter(F.transform(m, lambda x, i: F.struct(
+            F.when(F.get(m, i + 1)["token"] == x["token"], x["tf"]).alias("a"), F.get(m, i + 1)["tf"].alias("b"))), lambda p: p["a"].isNotNull())
+        return text.let(shared, lambda s: F.when(F.size(s) == 0, F.lit(0.0)).otherwise(from_sums(
+            _sum(s, lambda p: p["a"] * p["b"]), _sum(s, lambda p: p["a"] * p["a"]), _sum(s, lambda p: p["b"] * p["b"]))))
+
+    return text.let(merged, of_merged)
+
+
+def link_similarity(descriptions: DataFrame, articles: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` (rows with ``event_ticker, href``, one per pair, and further columns) with ``similarity``, for
+    the pairs whose event is in ``descriptions`` (``event_ticker, description``) and whose link is in
+    ``articles`` (``href, article``)."""
+    wanted = descriptions.join(links.select("event_ticker"), "event_ticker", "left_semi")
+    described = links.join(wanted.select("event_ticker", term_vector("description").alias("_d")), "event_ticker")
+    counts = links.groupBy(F.col("href").alias("_href")).agg(F.count(F.lit(1)).alias("_n"))
+    most = F.greatest(F.lit(SALT_PAIRS), links.agg((F.count(F.lit(1)) / MOST_LINKS).cast("bigint")).scalar())
+    # at most MOST_LINKS rows, whatever the input
+    hot = counts.where(F.col("_n") > most).select("_href", F.ceil(F.col("_n") / SALT_PAIRS).cast("int").alias("_salts"))
+    dealt = (described.join(F.broadcast(hot), F.col("href") == F.col("_href"), "left")
+             .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("event_ticker"), F.col("_salts")).cast("int"), F.lit(0))).drop("_href", "_salts"))
+    vectors = (articles.select("href", term_vector("article").alias("_a"))
+               .join(F.broadcast(hot), F.col("href") == F.col("_href"), "left")
+               .select("href", "_a", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")))
+    return (dealt.join(vectors, ["href", "_salt"])
+            .select(*links.columns, F.explode(F.array(cosine(F.col("_a"), F.col("_d")))).alias("similarity")))
 
 
 def score_links(descriptions: DataFrame, deduped: DataFrame, pages: DataFrame, **bounds) -> DataFrame:
@@ -84,9 +103,10 @@ def score_links(descriptions: DataFrame, deduped: DataFrame, pages: DataFrame, *
     event whose page yields an article: keys only, no text."""
     keys = (deduped.select("event_ticker", "query_no", "rnk", "href")
             .join(descriptions.select("event_ticker"), "event_ticker", "left_semi"))
-    terms = term_counts(link_articles(keys, pages, **bounds), "href", "article", mark=True)
-    scraped = keys.join(terms.where(F.col("token") == PRESENT).select("href"), "href")
-    return scraped.join(link_similarity(descriptions, terms, scraped), ["event_ticker", "href"])
+    # one result per query line and link
+    links = keys.groupBy("event_ticker", "href").agg(F.collect_list(F.struct("query_no", "rnk")).alias("asked"))
+    scored = link_similarity(descriptions, link_articles(keys, pages, **bounds), links)
+    return scored.select("event_ticker", "href", "similarity", F.inline("asked")).select("event_ticker", "query_no", "rnk", "href", "similarity")
 
 
 def with_texts(top: DataFrame, deduped: DataFrame, pages: DataFrame, **bounds) -> DataFrame:

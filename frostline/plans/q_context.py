@@ -73,7 +73,7 @@ def query_lines(spark, sf):
     return lines
 
 
-@query("summary_prompts", blocks=CTX_BLOCKS, oracle=_SIM + _ANS + f"""
+@query("summary_prompts", blocks=CTX_BLOCKS, recursive=True, oracle=_SIM + _ANS + f"""
 , blocks AS (select event_ticker, query_no, string_agg({_ARTICLE}, '' order by article_no) as articles
              from top group by event_ticker, query_no)
 select l.event_ticker, l.query_no, {_SP} as prompt

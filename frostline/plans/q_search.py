@@ -41,8 +41,8 @@ _DEDUP = """
                                                           order by rnk) as k from lim) z where k = 1)
 """
 _ART = f"""
-, art AS (select url, {q.paragraphs('html')} as article from fx_web_pages where http_status = 200)
-, art_ok AS (select url, article, cast(length(article) as bigint) as n_chars from art
+, pg AS (select url, html from fx_web_pages where http_status = 200)
+{q.PARAGRAPHS}, art_ok AS (select url, article, cast(length(article) as bigint) as n_chars from art
              where length(article) between 200 and 100000)
 """
 _SINGLE = q.fill(cx.SINGLE_MARKET, event_title="event_title", title="title", yes_sub_title="yes_sub_title",
@@ -120,7 +120,7 @@ def search_recent(spark, sf):
     return d.select("event_ticker", "query_no", "rnk", "href", F.date_format("published", "yyyy-MM-dd").alias("published"))
 
 
-@query("page_articles", blocks=("fx_web_pages",), oracle=_ART + """
+@query("page_articles", blocks=("fx_web_pages",), recursive=True, oracle=_ART + """
 select url, article, n_chars from art_ok
 """)
 def page_articles(spark, sf):
@@ -138,7 +138,7 @@ def term_counts(spark, sf):
     return si.term_counts(tables.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("pair_similarity", blocks=SEARCH_BLOCKS, oracle=_SIM + """
+@query("pair_similarity", blocks=SEARCH_BLOCKS, recursive=True, oracle=_SIM + """
 select event_ticker, query_no, rnk, href, round(similarity, 9) as similarity from scored
 """)
 def pair_similarity(spark, sf):
@@ -147,7 +147,7 @@ def pair_similarity(spark, sf):
                                     F.round("similarity", 9).alias("similarity"))
 
 
-@query("top_articles", blocks=SEARCH_BLOCKS, oracle=_SIM + """
+@query("top_articles", blocks=SEARCH_BLOCKS, recursive=True, oracle=_SIM + """
 select event_ticker, query_no, article_no, href, round(similarity, 9) as similarity from top
 """)
 def top_articles(spark, sf):

@@ -44,15 +44,43 @@ def decode(x: str) -> str:
     return out
 
 
-def paragraphs(html: str) -> str:
-    """Paragraph text of a page, one paragraph per line (the test pages hold plain tags,
-    closed elements and the references listed above)."""
-    body = f"regexp_replace(coalesce({html}, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g')"
-    paras = f"string_split_regex({body}, '(?i)<p>|<p [^>]*>')[2:]"
-    piece = strip(decode("s"))
-    one = (f"array_to_string(list_filter(list_transform(string_split_regex("
-           f"regexp_replace(p, '(?is)</(p|article|body|html)>.*$', ''), '</?[A-Za-z][^>]*>'), lambda s: {piece}), lambda s: s <> ''), ' ')")
-    return f"array_to_string(list_transform({paras}, lambda p: {one}), chr(10))"
+_TAG = "<[A-Za-z/!?][^>]*>"
+_VOID = "'br', 'meta', 'img', 'hr', 'link', 'input', 'wbr'"
+
+# Paragraph text of the pages (url, html) of ``pg``, step by step over each page's tags: ``st`` holds
+# the open elements after a tag and those that it closed. The test pages hold no '>' in attribute
+# values, only the references listed above, and no other element without content.
+PARAGRAPHS = f"""
+, tk AS (select url, string_split_regex(body, '{_TAG}') as texts, regexp_extract_all(body, '{_TAG}') as tags
+         from (select url, regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '<!>', 'g') as body from pg) z)
+, tg AS (select url, i, lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) as name, t like '</%' as closing
+         from (select url, unnest(tags) as t, unnest(range(1, len(tags) + 1)) as i from tk) z)
+, ev AS (select url, i, name, closing, row_number() over (partition by url order by i) as k
+         from tg where name <> '' and name not in ({_VOID}))
+, st AS (
+  select url, cast(0 as bigint) as k, cast(0 as bigint) as i, cast([] as struct(name varchar, pos bigint)[]) as stack,
+         cast([] as struct(name varchar, pos bigint)[]) as closed
+  from tk
+  union all
+  select st.url, ev.k, ev.i,
+         case when not ev.closing then list_append(st.stack, struct_pack(name := ev.name, pos := ev.i))
+              when len(list_filter(st.stack, lambda e: e.name = ev.name)) = 0 then st.stack
+              else st.stack[:len(st.stack) - list_position(list_reverse(list_transform(st.stack, lambda e: e.name)), ev.name)] end,
+         case when ev.closing and len(list_filter(st.stack, lambda e: e.name = ev.name)) > 0
+              then st.stack[len(st.stack) - list_position(list_reverse(list_transform(st.stack, lambda e: e.name)), ev.name) + 1:]
+              else [] end
+  from st join ev on ev.url = st.url and ev.k = st.k + 1)
+, ends AS (
+  select url, unnest(list_filter(closed, lambda e: e.name = 'p')).pos as pos, i as till from st
+  union all
+  select s.url, unnest(list_filter(s.stack, lambda e: e.name = 'p')).pos as pos, len(tk.tags) + 1 as till
+  from (select url, max_by(stack, k) as stack from st group by url) s join tk on tk.url = s.url)
+, paras AS (
+  select e.url, e.pos, array_to_string(list_filter(list_transform(tk.texts[e.pos + 1:e.till], lambda s: {strip(decode("s"))}), lambda s: s <> ''), ' ') as para
+  from ends e join tk on tk.url = e.url)
+, art AS (select tk.url, coalesce(string_agg(p.para, chr(10) order by p.pos), '') as article
+          from tk left join paras p on p.url = tk.url group by tk.url)
+"""
 
 
 def tokens(x: str) -> str:

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+from html.entities import html5
+from html.parser import HTMLParser
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -38,7 +40,8 @@ def test_paragraph_contract(spark):
             "<p>One <b>bold</b>&amp;fine &nbsp;</p><!-- c --><p class='x'>Two<p>Three "
             "&lt;tag&gt;</article><p></p><P>Four &quot;q&quot; &copy;</body></html>")
     got = spark.createDataFrame([(html,)], "h string").select(text.paragraph_text("h")).first()[0]
-    assert got == "One bold &fine\nTwo\nThree <tag>\n\nFour \"q\" ©"
+    # </article> closes nothing; the open paragraphs hold what follows up to </body>
+    assert got.split("\n") == ["One bold &fine", "Two Three <tag> Four \"q\" ©", "Three <tag> Four \"q\" ©", "", "Four \"q\" ©"]
 
 
 def test_article_length_bounds(spark):
@@ -92,7 +95,7 @@ def test_similarity_closed_form_equals_direct(spark):
     d = spark.createDataFrame(descs, "event_ticker string, description string")
     a = spark.createDataFrame(arts, "href string, article string")
     lk = spark.createDataFrame(links, "event_ticker string, href string")
-    got = {(r.event_ticker, r.href): r.similarity for r in si.link_similarity(d, si.term_counts(a, "href", "article", mark=True), lk).collect()}
+    got = {(r.event_ticker, r.href): r.similarity for r in si.link_similarity(d, a, lk).collect()}
     dd, aa = dict(descs), dict(arts)
     assert len(got) == len(links)
     for (e, h), s in got.items():
@@ -100,6 +103,23 @@ def test_similarity_closed_form_equals_direct(spark):
         assert 0.0 <= s <= 1.0 + 1e-12
 
 
+def test_a_link_of_many_events_is_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(si, "SALT_PAIRS", 50)
+    d = spark.createDataFrame([(f"E{i}", f"the vote of event {i % 7}") for i in range(1000)], "event_ticker string, description string")
+    a = spark.createDataFrame([("hot", "vote vote event"), ("cold", "event 3"), ("unlinked", "vote")], "href string, article string")
+    links = d.select("event_ticker", F.lit("hot").alias("href")).union(d.limit(3).select("event_ticker", F.lit("cold").alias("href")))
+    scored = si.link_similarity(d, a, links)
+    texts = dict(d.collect()), dict(a.collect())
+    got = scored.withColumn("part", F.spark_partition_id()).collect()
+    assert len(got) == 1003
+    assert all(math.isclose(r.similarity, _tfidf_cosine(texts[0][r.event_ticker], texts[1][r.href]), abs_tol=1e-12) for r in got)
+    # 20 copies of the page's vector, and no join on tokens
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "token" not in "".join(line for line in plan.splitlines() if "Join" in line)
+    vectors = [line for line in plan.splitlines() if "Generate explode(sequence" in line]
+    assert vectors
+
+
 def test_description_forms(spark):
     m = lambda t, sec: {"ticker": t, "title": "T" + t, "yes_sub_title": "Y", "rules_primary": "R",
                         "rules_secondary": sec, "expiration_time": "X"}
@@ -140,7 +160,19 @@ PAGES = [
     ("<!-- <p>hidden</p> --><p>seen</p><!-- open <p>x", "seen"),
     ("<p>one</p><script>var a = '<p>code</p>'; two();", "one"),
     ("<p class='a>b' id=\"c>d\">text <b title='x>y'>bold</b></p>", "text bold"),
-    ("<p>&amp;lt; &#x1F600; &#150; &nosuch; &#1114112; AT&T</p>", "&lt; \U0001f600 \u2013 &nosuch; \ufffd AT&T"),
+    ("<p>&amp;lt; &#x1F600; &#150; &nosuch; &#1114112; AT&T</p>", "&lt; \U0001f600 \u2013 &nosuch \ufffd AT&T"),
+    ("<p>one<p>two</p> three</p>", "one two three\ntwo"),
+    ("<p>a &copy c &copyright &copy. &#169 x&lt<b>y</b>&amp", "a © c &copyright &copy. © x< y &amp\n".strip()),
+    ("<div><p>in<div>deep</p>out</div><p>after", "in deep\nafter"),
+    ("<ul><li><p>a<li><p>b</ul>c<p>d", "a b\nb\nd"),
+    ("<p>x<br>y<br/>z<img src='a>b'>w</p></br>v", "x y z w"),
+    ("<p>one</div> two</span></p>three", "one two"),
+    ("<p/>gone<p>kept</P >", "\nkept"),
+    ("<p>ab<!-- c -->cd<script>e</script>fg</p>", "ab cd fg"),
+    ("<section><p>1<section><p>2</section>3</section>4<p>5", "1 2 3\n2\n5"),
+    ("<pre>no</pre><param><p\n id=x>yes</p>", "yes"),
+    ("<p>cut <a hre", "cut <a hre"),
+    ("<p>1" * 40, "\n".join(" ".join("1" * (40 - k)) for k in range(40))),
     ("<style>p { }</style><p>a < b</p>", "a < b"),
     (None, ""),
 ]
@@ -150,3 +182,77 @@ def test_paragraph_text_of_odd_pages(spark):
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)], "i long, html string")
     got = {r.i: r.t for r in df.select("i", text.paragraph_text("html").alias("t")).collect()}
     assert [got[i] for i in range(len(PAGES))] == [t for _, t in PAGES]
+
+
+def test_pages_that_never_close_a_paragraph(spark):
+    """The text would be quadratic in the page: it is counted, not built."""
+    rows = [("u1", 200, "<p>some words" * 3000), ("u2", 200, "<p>0123456789" * 100)]
+    pages = spark.createDataFrame(rows, "url string, http_status int, html string")
+    assert [(r.url, r.n_chars) for r in se.page_articles(pages).collect()] == [("u2", 5050 * 11 - 1)]
+
+
+class _Page(HTMLParser):
+    """Open elements kept on a stack: an end tag pops the last one of its name with all above it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.paragraphs, self.text, self.skip = [], [], [], 0
+
+    def flush(self):
+        piece = "".join(self.text).strip()
+        self.text = []
+        if piece and not self.skip:
+            for _, p in self.stack:
+                if p is not None:
+                    p.append(piece)
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        if tag in ("script", "style"):
+            self.skip += 1
+        if tag not in text.VOID:
+            self.stack.append((tag, [] if tag == "p" else None))
+            if tag == "p":
+                self.paragraphs.append(self.stack[-1][1])
+
+    def handle_endtag(self, tag):
+        self.flush()
+        if tag in ("script", "style"):
+            self.skip = 0
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_startendtag(self, tag, attrs):
+        self.flush()
+        if tag == "p":
+            self.paragraphs.append([])
+
+    def handle_comment(self, data):
+        self.flush()
+
+    handle_decl = unknown_decl = handle_pi = handle_comment
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+    def handle_entityref(self, name):
+        self.text.append(html5.get(name + ";", "&" + name))
+
+    def handle_charref(self, name):
+        self.text.append(chr(int(name[1:], 16) if name[0] in "xX" else int(name)))
+
+
+def test_paragraphs_of_given_pages_as_a_parser_reads_them(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.t for r in pages.select("page_id", text.paragraph_text("html").alias("t")).collect()}
+    nested = 0
+    for r in pages.collect():
+        page = _Page()
+        page.feed(r.html)
+        page.close()
+        page.flush()
+        want = "\n".join(" ".join(p) for p in page.paragraphs)
+        assert got[r.page_id] == want
+        nested += len(want) > 1.3 * len(r.html)
+    assert nested  # some given pages hold paragraphs in paragraphs
