@@ -41,7 +41,16 @@ SLICE_BYTES = 6 << 20
 #: Runs of characters, and words within them, whose ids a worker remembers, and the longest of these.
 MEMO_RUNS, MEMO_CHARS = 200_000, 40
 #: A word of Latin letters and the signs after it: the tokenizer splits between the two and nowhere else.
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)")
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters beyond ASCII as the vocabulary spells them: a character for each byte. Bytes
+    that print stand for themselves, the others follow from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    spelled = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(192, 256)}
 
 
 class RunCoder:
@@ -50,62 +59,52 @@ class RunCoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.ends = np.array([n.endswith("</w>") for n in names])
+        self.signs: dict[str, bytes] = {"": b""}
 
     def plain(self, run: str) -> bytes:
         return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of single words, encoded together: each ends with a token that ends a word."""
-        if not words:
-            return {}
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            return {w: self.plain(w) for w in words}
-        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return {w: data[a:b] for w, a, b in zip(words, at, at[1:])}
-
-    def learn(self, runs: list[str]) -> list[bytes]:
-        """Ids of distinct runs, as little-endian 32-bit integers; what comes first is remembered."""
-        found = list(map(self.runs.get, runs))
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        split = [(i, m[1].lower(), m[2]) for i in rest if (m := _WORD.fullmatch(runs[i]))]
-        new = self.encode_words(list({w for _, w, _ in split if w not in self.words}))
-        signs = {s: self.plain(s) for s in {s for _, _, s in split}}
-        for i, word, after in split:
-            found[i] = (new.get(word) or self.words[word]) + signs[after]
-        for i in rest:
-            if found[i] is None:
-                found[i] = self.plain(runs[i])
-        for memo, items in ((self.words, new.items()), (self.runs, ((runs[i], found[i]) for i in rest))):
-            for k, v in items:
-                if len(memo) >= MEMO_RUNS:
-                    break
-                if len(k) <= MEMO_CHARS:
-                    memo[k] = v
-        return found
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin (and the last one's end)."""
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-case word of Latin letters, by the vocabulary's merges alone."""
+        spelled = word if word.isascii() else word.translate(self.letters)
+        return array("I", [piece.id for piece in self.pieces(spelled)]).tobytes()
+
+    def run(self, run: str) -> bytes:
+        """Ids of a run; what comes first is remembered."""
+        m = _WORD.fullmatch(run)
+        if m is None:
+            ids = self.plain(run)
+        else:
+            stem, after = m.groups()
+            stem = stem.lower()
+            ids = self.words.get(stem)
+            if ids is None:
+                ids = self._remember(self.words, stem, self.word(stem))
+            if after:
+                signs = self.signs.get(after)
+                ids += self._remember(self.signs, after, self.plain(after)) if signs is None else signs
+        return self._remember(self.runs, run, ids)
+
+    @staticmethod
+    def _remember(memo: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(memo) < MEMO_RUNS and len(key) <= MEMO_CHARS:
+            memo[key] = ids
+        return ids
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, as little-endian 32-bit integers."""
         runs = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = runs.flatten().dictionary_encode()
-        which = coded.indices.to_numpy()
-        parts = self.learn(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        pool = np.frombuffer(b"".join(parts), dtype="<u4")
-        n = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        # a slice holds far fewer than 2^31 ids: places of four bytes keep it small
-        shift = ((np.cumsum(sizes) - sizes)[which] - ends[:-1]).astype(np.int32)
-        place = np.repeat(shift, n)
-        place += np.arange(ends[-1], dtype=np.int32)
-        ids = pool[place]
-        at = runs.offsets.to_numpy()
-        return ids, ends[at - at[0]]
+        known, new = self.runs.get, self.run
+        parts = [known(r) or new(r) for r in coded.dictionary.to_numpy(zero_copy_only=False)]
+        which, at = coded.indices.to_numpy().tolist(), runs.offsets.to_numpy().tolist()
+        take = parts.__getitem__
+        for lo, hi in zip(at, at[1:]):
+            yield b"".join(map(take, which[lo - at[0]:hi - at[0]]))
 
 
 _CODERS: dict[str, RunCoder] = {}
@@ -124,9 +123,8 @@ def _cut(path: str, end_id: int, window: int, with_ids: bool):
         code, end = coder(path), array("I", [end_id]).tobytes()
         for b in byte_slices(batches, "text", SLICE_BYTES):
             rows = []
-            all_ids, at = code.encode(b.column("text"))
-            for doc, lo, hi in zip(b.column("doc_id").to_pylist(), at, at[1:]):
-                ids = all_ids[lo:hi].tobytes() + end
+            for doc, ids in zip(b.column("doc_id").to_pylist(), code.encode(b.column("text"))):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start:4 * (start + window)]
@@ -211,8 +209,9 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     """``parts`` (see ``pieces``) with the sequence and the offset of each."""
     parts = settle(parts, "pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
-    buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    placed = ranked(parts, ["length"], F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)),
+    # buckets of a length follow its own count
+    buckets = F.lit([max(1, -(-histogram.get(n, 0) // BUCKET_ROWS)) for n in range(window + 1)])
+    placed = ranked(parts, ["length"], F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), buckets[F.col("length").cast("int")].cast("long")),
                     ["doc_id", "start", "ids_crc32", "doc_tokens"], "rank").drop("rank_of")
     placed = placed.select(*parts.columns, F.col("rank").cast("long").alias("rank"))
     types = ", ".join(f"{n} {t}" for n, t in parts.dtypes)

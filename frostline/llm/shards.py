@@ -8,7 +8,8 @@ by fraction and cut into equal runs: every shard holds each source in proportion
 Neither ranking sorts a source or the table in one task: rows are counted by
 (source, bucket) and by slice of fractions, the running sums of these small
 counts give each bucket its first rank, and only inside a bucket are rows
-ranked by a sort. Buckets follow the row count, so a bucket stays small.
+ranked by a sort. Buckets follow the row count, so a bucket stays small. The
+running sums themselves go over spans of buckets first, then inside each span.
 
 Defined cases: a null source is a source of its own; null text has no bytes;
 null ids and repeated rows are rows like any other. An empty table gives no rows.
@@ -24,20 +25,25 @@ from frostline.llm.common import documents, settle
 
 #: Rows that one bucket of a ranking should hold.
 BUCKET_ROWS = 2_000
+#: Buckets whose counts one task adds up.
+SPAN = 1_000
 
 
 def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list, name: str, of_group=lambda starts: starts) -> DataFrame:
     """Adds ``name``, the 1-based rank of a row in its group, and ``<name>_of``,
-    the group's size. ``bucket`` must not decrease along ``order``. ``of_group`` may
-    add columns of the group to the small table of (group, bucket)."""
-    keys = [*group, "_bucket"]
-    rows = rows.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    the group's size. ``bucket``, a whole number, must not decrease along ``order``. ``of_group``
+    may add columns of the group to the small table of (group, bucket)."""
+    keys, spanned = [*group, "_bucket"], [*group, "_span"]
+    rows = rows.withColumn("_bucket", bucket.cast("long"))
+    counts = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_span", F.expr(f"_bucket div {SPAN}")))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    starts = counts.select(
-        *keys,
-        (F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n")).alias("_first"),
-        F.sum("_n").over(whole).alias(f"{name}_of"))
+    spans = counts.groupBy(*spanned).agg(F.sum("_n").alias("_s")).select(
+        *spanned, (F.sum("_s").over(whole.orderBy("_span")) - F.col("_s")).alias("_before"),
+        F.sum("_s").over(whole).alias(f"{name}_of"))
+    inside_span = F.sum("_n").over(Window.partitionBy(*spanned).orderBy("_bucket")) - F.col("_n")
+    starts = (counts.select(*keys, "_span", inside_span.alias("_inside")).join(spans, spanned)
+              .select(*keys, (F.col("_before") + F.col("_inside")).alias("_first"), f"{name}_of"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (rows.withColumn(name, inside).join(of_group(starts), keys)
             .withColumn(name, F.col(name) + F.col("_first")).drop("_bucket", "_first"))

@@ -23,9 +23,18 @@ def test_runs_give_the_ids_of_whole_texts(coder):
     r = random.Random(3)
     parts = list("aAbé'sStT12 \t\n\r\x0b\x0c.,!?-|<>\u0301\u00a0\u3000İßΣσς中文\U0001f600\x85\x1c\x00") + ["<|endoftext|>", "<|STARTOFTEXT|>", "'re", "word", " Words, ", "it's "]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(50))) for _ in range(3000)] + ["", None, "long" * 5000]
-    ids, at = coder.encode(pa.array(texts))
-    for t, a, b in zip(texts, at, at[1:]):
-        assert ids[a:b].tolist() == coder.tokenizer.encode(t or "", add_special_tokens=False).ids
+    for t, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
+        assert array("I", ids).tolist() == coder.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_words_and_signs_give_the_ids_of_the_run(coder):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ" + "".join(map(chr, range(192, 256)))
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39]
+    runs = ["".join(r.choice(letters) for _ in range(r.randrange(1, 14))) + "".join(r.choice(signs) for _ in range(r.choice([0, 0, 1, 3]))) for _ in range(4000)]
+    runs += ["it's", "'s", "a'", "x×y", "÷", "word<|endoftext|>", "word<|", "a1", "12"]
+    for run in runs:
+        assert array("I", coder.run(run)).tolist() == coder.tokenizer.encode(run, add_special_tokens=False).ids, run
 
 
 @settings(max_examples=60, deadline=None)
@@ -49,6 +58,21 @@ def test_plan_places_every_piece_once(histogram):
         assert spans[0][0] == 0 and spans[-1][1] <= 40 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_counts_per_length_stay_few(spark):
+    """The table of counts holds a row for each bucket of a length, not for each piece."""
+    rows = [(i, 0, 2048 if i % 2 else 1 + i % 2000, i, 5) for i in range(9000)]
+    parts = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    packed = P.pack(parts).collect()
+    whole = [r.sequence_id for r in packed if r.length == 2048]
+    assert len(packed) == 9000 and len(set(whole)) == 4500
+    spans = {}
+    for r in packed:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(s[-1]) <= 2048
+
+
 def test_fill_is_closest_to_capacity():
     r = random.Random(1)
     for _ in range(200):

@@ -9,6 +9,7 @@ from frostline.llm import shards as S
 @pytest.mark.parametrize("bucket_rows", [2000, 7])
 def test_shards_are_even_and_mixed(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(S, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(S, "SPAN", 3 if bucket_rows == 7 else 1000)
     rows = [(i, "t" * (i % 5), "hot" if i < 400 else f"s{i % 7}" if i < 700 else f"own{i}") for i in range(1000)]
     rows += [(None, None, None), (5, "", "hot"), (5, "", "hot"), (1001, "é" * 50000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as shard", "2 as rank")
