@@ -1,11 +1,12 @@
 """Document fingerprints from closed syncmers.
 
-A stretch of K characters is an anchor if the least hash among its inner
-stretches of S characters stands at its first or its last place. The choice
-looks at nothing outside the K characters, so a passage gives the same anchors
-wherever it stands, and any 2K - S - 1 characters hold one at least. A
-stretch whose first two inner stretches are alike lies in a run of one
-character and is passed over.
+A text is read as tokens: runs of letters and digits, cut every eight characters,
+and single signs; white space only separates. A stretch of K tokens is an anchor
+if the least hash among its inner stretches of S tokens (the first of equal ones)
+stands at its first or its last place. The choice looks at nothing outside the K
+tokens, so a passage gives the same anchors wherever it stands, and any
+2K - S - 1 tokens hold one at least. But a stretch whose first two inner stretches
+are alike lies in a run of one token and is passed over.
 
 The features of a text are its anchors' hashes, each with its distance from the
 anchor before. They are matched by position within their surroundings: the
@@ -14,37 +15,42 @@ without an anchor is one anchor by itself; an empty text has none, and two empty
 texts are alike. The fingerprint is the sequence of all features, four bytes each
 (three of hash, one of distance modulo 256), in base64.
 
-All is built-in expressions: texts are cut into pieces of PIECE characters that
-overlap by K - 1, the hashes of a piece are one array, and the least of the
-W = K - S + 1 hashes from each place on comes from minima over 2, 4, ... places.
+All is built-in expressions. The hashes of a text are one array, and a hash is
+compared with the W - 1 after it, and with the W - 1 before it, until a smaller
+one is met: two comparisons each on average.
 
-A text whose end is replaced needs no second pass: its anchors are those of its
-own text up to the cut, those of the other text's beginning, and those of the few
-characters around the seam.
+A text whose end is replaced is not read anew: up to the cut it has the anchors of
+its own text, and only the tokens from there on are looked at.
 
 Neighbours in descending order of id are found without a global sort: sampled
 rows split the order into parts, each part is sorted in its own task, and the row
 that opens a part, being one of these rows, is also sent to the part before.
+Only texts are shuffled; their anchors are made where they arrive.
 
 Defined cases: null text is empty. Null ids come last in the order; rows of one
-id go by the hash of their text. The next of the only row is this row itself. An empty table gives no rows.
-Columns other than id and text are ignored.
+id go by the hash of their text. The next of the only row is this row itself. A run
+of letters without an end is tokens of eight, counted from its beginning. An
+empty table gives no rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.common import documents, shuffle_partitions
 
-K, S = 29, 6
+TOKEN = r"[\p{L}\p{N}\p{M}]{1,8}|[\p{P}\p{S}]"
+K, S = 5, 2
 W = K - S + 1
-#: Characters of a piece whose hashes are taken together.
-PIECE = 160
+#: Last bits of a hash that hold its place in the text.
+PLACE_BITS = 28
+#: Bits of an anchor's hash that are kept; the place of an anchor stands above them.
+HASH_BITS = 24
 #: Parts per shuffle partition, and sampled rows per part that find where parts begin.
 PARTS, SAMPLE = 4, 32
 
@@ -54,53 +60,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _least(hashes: Column) -> Column:
-    """The least of the W values from each place on (fewer at the end)."""
-    shifted = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
-    halved, out = 1, hashes
+def _short_hash(*values: Column) -> Column:
+    return F.xxhash64(*values).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
 
-    def step(x: Column, n: int) -> Column:
-        return let(x, lambda v: F.zip_with(v, shifted(v, n), lambda p, q: F.least(p, q)))
 
-    while 2 * halved <= W:
-        out = step(out, halved)
-        halved *= 2
-    return step(out, W - halved) if W > halved else out
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
-def _piece_anchors(piece: Column, offset: Column) -> Column:
-    """(pos, hash) of the anchors of a piece that begins at ``offset``: pos counts from 0 in the text."""
-    def chosen(h: Column, low: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(h) - W)
-        at = F.filter(places, lambda i: ((low[i] == h[i]) | (low[i] == h[i + (W - 1)])) & (h[i] != h[i + 1]))
-        return F.transform(at, lambda i: F.struct((offset + i).cast("int").alias("pos"),
-                                                  F.xxhash64(F.substr(piece, i + 1, F.lit(K))).bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("hash")))
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
-    n = F.length(piece)
-    hashes = F.transform(F.sequence(F.lit(1), n - S + 1), lambda i: F.xxhash64(F.substr(piece, i, F.lit(S))))
-    none = F.array().cast("array<struct<pos:int,hash:int>>")
-    return F.when(n < K, none).otherwise(let(hashes, lambda h: let(_least(h), lambda low: chosen(h, low))))
 
+def anchors(words: Column) -> Column:
+    """All anchors of a token array in order: place * 2^HASH_BITS + hash."""
+    def least(h: Column, step: int) -> Column:
+        """The hashes below the W - 1 next ones in that direction; a missing one refuses."""
+        below = lambda v, i: reduce(lambda rest, j: (v < F.get(h, i + step * j)) & rest,
+                                    range(W - 2, 0, -1), v < F.get(h, i + step * (W - 1)))
+        return F.filter(h, below)
 
-def anchors(text: Column) -> Column:
-    """(pos, hash) of all anchors of a text, in order."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    def chosen(t: Column, h: Column) -> Column:
+        place = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        at = F.array_union(F.transform(least(h, 1), place), F.transform(least(h, -1), lambda v: place(v) - (W - 1)))
+        alike = lambda i: F.shiftright(h[i], PLACE_BITS) == F.shiftright(h[i + 1], PLACE_BITS)
+        return F.transform(F.array_sort(F.filter(at, lambda i: ~alike(i))), lambda i: F.shiftleft(
+            i.cast("long"), HASH_BITS).bitwiseOR(_short_hash(*[t[i + j] for j in range(K)])))
 
-    def of_piece(p: Column, i: Column) -> Callable[[Column], Column]:
-        after = F.coalesce(F.get(p, i + 1), F.lit(""))
-        return let(F.concat(p[i], F.substr(after, F.lit(1), F.lit(K - 1))), lambda x: _piece_anchors(x, i * PIECE))
-
-    none = F.array().cast("array<struct<pos:int,hash:int>>")
-    return F.when(F.length(text) < K, none).otherwise(
-        let(pieces, lambda p: F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: of_piece(p, i)))))
+    # a hash carries its place in its last bits: no two are equal, and of equal ones the first is the least
+    hashes = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - S), lambda i: F.xxhash64(*[t[i + j] for j in range(S)])
+                                   .bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long")))
+    return let(words, lambda t: F.when(F.size(t) < K, _none()).otherwise(let(hashes(t), lambda h: chosen(t, h))))
 
 
 def features(found: Column, text: Column) -> Column:
     """The features of a text from its anchors: hash * 256 + distance from the anchor before."""
-    before = F.concat(F.array(F.lit(0)), found["pos"])
-    near = F.transform(found, lambda x, i: x["hash"].cast("long") * 256 + F.pmod(x["pos"] - before[i], F.lit(256)))
-    whole = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)) * 256
-    return F.when(F.size(found) > 0, near).when(F.length(text) > 0, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
+    place = lambda v: F.shiftright(v, HASH_BITS)
+    near = F.transform(F.arrays_zip(found.alias("x"), F.concat(F.array(F.lit(0).cast("long")), found).alias("before")),
+                       lambda z: z["x"].bitwiseAND(F.lit((1 << HASH_BITS) - 1)) * 256 + F.pmod(place(z["x"]) - place(z["before"]), F.lit(256)))
+    near = F.slice(near, 1, F.size(found))
+    return F.when(F.size(found) > 0, near).when(F.length(text) > 0, F.array(_short_hash(text) * 256)).otherwise(_none())
 
 
 def fingerprint(marks: Column) -> Column:
@@ -156,22 +155,25 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text"))
     down = F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))  # falls as the id rises
     dealt = in_parts(rows, F.struct(F.col("doc_id").isNull().alias("none"), down.alias("down"), F.xxhash64("text").alias("hash")))
-    pairs = with_next(dealt.withColumn("found", anchors(F.col("text"))), ["text", "found"])
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "_part")
+    pairs = with_next(dealt.withColumn("found", anchors(tokens(F.col("text")))), ["text", "found"])
     n = F.length("text")
     own = n - F.floor(n / 3).cast("int")  # characters that stay
     taken = F.least((n - own), F.length("next.text"))
     pairs = pairs.select("doc_id", "text", "found", "next", own.alias("own"), taken.alias("taken"))
     pairs = pairs.select("*", F.substr("text", F.lit(1), F.col("own")).alias("head"), F.substr("next.text", F.lit(1), F.col("taken")).alias("tail"))
-    seam = F.concat(F.right("head", F.lit(K - 1)), F.left("tail", F.lit(K - 1)))
-    around = _piece_anchors(seam, F.greatest(F.col("own") - (K - 1), F.lit(0)))
-    moved = F.transform(F.filter("next.found", lambda x: x["pos"] + K <= F.col("taken")),
-                        lambda x: F.struct((x["pos"] + F.col("own")).alias("pos"), x["hash"].alias("hash")))
-    kept = F.filter("found", lambda x: x["pos"] + K <= F.col("own"))
+    # the last token that begins before the cut may go on beyond it
+    same = F.greatest(F.regexp_count("head", F.lit(TOKEN)) - 1, F.lit(0))
     edited = F.concat("head", "tail")
+    fresh = F.greatest(F.col("same") - (K - 1), F.lit(0))
+    kept = F.filter("found", lambda v: F.shiftright(v, HASH_BITS) + K <= F.col("same"))
+    rest = anchors(let(tokens(F.col("edited")), lambda t: F.slice(t, F.col("fresh") + 1, F.greatest(F.size(t) - F.col("fresh"), F.lit(0)))))
+    moved = F.transform(rest, lambda v: v + F.shiftleft(F.col("fresh").cast("long"), HASH_BITS))
+    pairs = pairs.select("*", edited.alias("edited"), same.alias("same")).select("*", fresh.alias("fresh"))
     return pairs.select(
         "doc_id", "text", features(F.col("found"), F.col("text")).alias("marks"),
-        features(F.col("next.found"), F.col("next.text")).alias("next_marks"), edited.alias("edited"),
-        F.concat(kept, around, moved).alias("edited_found")).select(
+        features(F.col("next.found"), F.col("next.text")).alias("next_marks"), "edited",
+        F.concat(kept, moved).alias("edited_found")).select(
         "doc_id", "text", "marks", "next_marks", "edited", features(F.col("edited_found"), F.col("edited")).alias("edited_marks"))
 
 

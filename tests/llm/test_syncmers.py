@@ -3,26 +3,34 @@ import hashlib
 import random
 
 import pytest
+import regex
 import xxhash
 
 from frostline.llm import syncmers as S
 
 
-def h(s):
-    return xxhash.xxh64_intdigest(s.encode(), seed=42)
+def h(*values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode(), seed=seed)
+    return seed
 
 
 def signed(v):
     return v - (1 << 64) if v >> 63 else v
 
 
+def is_anchor(words):
+    inner = [signed(h(*words[j:j + S.S])) >> S.PLACE_BITS for j in range(S.W)]
+    return inner.index(min(inner)) in (0, S.W - 1) and inner[0] != inner[1]
+
+
 def brute_marks(text):
     """Features of a text, each stretch looked at alone."""
-    marks, before = [], 0
-    for i in range(len(text) - S.K + 1):
-        inner = [signed(h(text[i + j:i + j + S.S])) for j in range(S.W)]
-        if min(inner) in (inner[0], inner[-1]) and inner[0] != inner[1]:
-            marks.append((h(text[i:i + S.K]) & 0xFFFFFF) * 256 + (i - before) % 256)
+    words, marks, before = regex.findall(S.TOKEN, text), [], 0
+    for i in range(len(words) - S.K + 1):
+        if is_anchor(words[i:i + S.K]):
+            marks.append((h(*words[i:i + S.K]) & 0xFFFFFF) * 256 + (i - before) % 256)
             before = i
     return marks or [(h(text) & 0xFFFFFF) * 256] * bool(text)
 
@@ -55,7 +63,7 @@ def some_texts():
     base = prose(120)
     return ([None, "", "x", "ab", "abc", "-" * 500, "- " * 300, "ab\ncd\r\n" * 60, prose(3000), "tiny text of some words", base, base, base + " more", base[:300]]
             + [prose(r.choice([1, 4, 8, 30, 90])) for _ in range(40)] + [base[:k] for k in range(S.K - 2, S.K + 3)]
-            + [prose(60)[:k] for k in (S.PIECE - 1, S.PIECE, S.PIECE + 1, S.PIECE + S.K - 1, 2 * S.PIECE)])
+            + ["unbroken" * 500, "中文没有空格" * 40, " \t\n ", "a.b,c!d?" * 30, "1234567890" * 20 + " word" * 20])
 
 
 @pytest.mark.parametrize("sample", [32, 1])
@@ -79,12 +87,11 @@ def test_query_against_brute_force(spark, monkeypatch, tmp_path, sample):
 
 def test_a_passage_gives_the_same_anchors_anywhere():
     r = random.Random(2)
-    text = "".join(r.choice("abcdefgh ") for _ in range(600))
-    place = lambda s: {(i, h(s[i:i + S.K])) for i in range(len(s) - S.K + 1)
-                       if min(x := [signed(h(s[i + j:i + j + S.S])) for j in range(S.W)]) in (x[0], x[-1])}
-    inside = {(i + 50, v) for i, v in place(text[50:400])}
-    assert inside == {(i, v) for i, v in place(text) if 50 <= i <= 400 - S.K}
-    at = sorted(i for i, _ in place(text))
+    words = [r.choice(["the", "of", "and", "market", "vote", "rate", "price"]) + r.choice(["", "s", "ed"]) for _ in range(600)]
+    place = lambda s: {(i, tuple(s[i:i + S.K])) for i in range(len(s) - S.K + 1) if is_anchor(s[i:i + S.K])}
+    assert {(i + 50, v) for i, v in place(words[50:400])} == {(i, v) for i, v in place(words) if 50 <= i <= 400 - S.K}
+    # without runs of one token no stretch of 2K - S - 1 tokens is left without an anchor
+    at = sorted(i for i, _ in place([f"{w}{i % 7}" for i, w in enumerate(words)]))
     assert max(b - a for a, b in zip(at, at[1:])) <= S.W - 1
 
 
