@@ -248,3 +248,95 @@ def reconcile(feed: DataFrame, details: DataFrame, prev_events: DataFrame, prev_
         "resolved_markets_new": resolved_markets(prev_markets, active_tickers(valid), stamp),
         "quarantine": bad_feed.unionByName(bad_detail),
     }
+
+
+# --- one pass ---------------------------------------------------------------------
+
+def classified_events(feed: DataFrame, details: DataFrame, prev_events: DataFrame, reports: DataFrame, stamp: str,
+                      lookback: list[str] | None = None, market_limit: int = params.MARKET_LIMIT) -> DataFrame:
+    """All event outputs of ``reconcile`` from one full-outer join that carries both rows: the columns of the
+    resolved-event state, ``scope`` (active, resolved or quarantine) and ``reason``. State, feed and details are each
+    read once. A stored event whose feed row lacks its markets gives two rows: its own and the feed row's."""
+    lookback = lookback or [stamp]
+    tickers = F.col("markets.ticker")
+    fed = (feed.where(F.col("status") == "open").where(tickers.isNull() | (F.size(tickers) < market_limit))
+           .select(F.col("event_ticker").alias("_ticker"), F.struct(*EVENT_FIELDS, F.col("feed_pos").cast("bigint").alias("feed_pos")).alias("_fed"),
+                   tickers.isNotNull().alias("_valid")))
+    stored = prev_events.select("event_ticker", F.struct("*").alias("_stored"))
+    both = (stored.join(fed, F.col("event_ticker") == F.col("_ticker"), "full_outer")
+            .withColumn("_event", F.coalesce("event_ticker", "_ticker")).drop("event_ticker", "_ticker"))
+    valid = F.coalesce("_valid", F.lit(False))
+    life = (F.when(F.col("_stored").isNotNull(), F.when(valid, "retained").otherwise("dropped"))
+            .when(valid, "new"))
+    both = both.withColumn("_life", life)
+
+    fields = F.arrays_zip(*[F.col(f"markets.{f}").alias(f) for f in ("open_time", "close_time", "status", "result")])
+    d = details.select(F.col("event_ticker").alias("_d_ticker"), F.col("category").alias("_detail_category"), fields.alias("_markets"))
+    both = both.join(d, (F.col("_event") == F.col("_d_ticker")) & (F.col("_life") == "dropped"), "left")
+    entries = report_entries(first_reports(reports, sorted(set(lookback) | {stamp})))
+    # at most one entry per look-back day
+    adds = entries.groupBy(F.col("event_ticker").alias("_a_ticker")).agg(F.map_from_entries(F.collect_list(F.struct("stamp", "hash_id"))).alias("_adds"))
+    both = both.join(adds, F.col("_event") == F.col("_a_ticker"), "left")
+
+    ms = F.col("_markets")
+    open_st, decided = [F.lit(x) for x in params.OPEN_MARKET_STATUSES], [F.lit(x) for x in params.DECIDED_RESULTS]
+    is_open = lambda m: F.coalesce(m["status"], F.lit("")).isin(*open_st)
+    both = both.withColumns({
+        "_earliest": F.array_min(F.transform(ms, lambda m: dates.parse_api_time(m["open_time"]))),
+        "_latest": F.array_max(F.transform(ms, lambda m: dates.parse_api_time(m["close_time"])))})
+    reason = (F.when(F.col("_d_ticker").isNull(), "detail_missing").when(ms.isNull() | (F.size(ms) == 0), "no_markets")
+              .when(F.col("_latest").isNull() | F.col("_earliest").isNull(), "no_times"))
+    gone, fresh = F.col("_life") == "dropped", F.col("_life") == "new"
+    bad = F.col("_life").isNotNull() & gone & reason.isNotNull()
+    scopes = F.array_compact(F.array(
+        F.when(F.col("_life").isNull(), F.lit(None).cast("struct<scope:string,reason:string>"))
+        .when(bad, F.struct(F.lit("quarantine").alias("scope"), reason.alias("reason")))
+        .when(gone, F.struct(F.lit("resolved").alias("scope"), F.lit(None).cast("string").alias("reason")))
+        .otherwise(F.struct(F.lit("active").alias("scope"), F.lit(None).cast("string").alias("reason"))),
+        F.when(~F.col("_valid"), F.struct(F.lit("quarantine").alias("scope"), F.lit("feed_markets_missing").alias("reason")))))
+
+    # a new event takes today's entry, a stored one those of the look-back days that it lacks
+    known = F.coalesce(F.col("_stored.ddgs_reports"), _empty_map())
+    wanted = F.map_filter(F.coalesce("_adds", _empty_map()), lambda k, v: ~F.map_contains_key(known, k) & F.when(
+        fresh, k == stamp).otherwise(k.isin(*lookback)))
+    resolved_only = lambda c: F.when(gone & ~bad, c)
+    category = F.when(gone, F.coalesce("_detail_category", F.lit(params.DEFAULT_CATEGORY))).otherwise(
+        F.when(fresh, F.col("_fed.category")).otherwise(F.col("_stored.category")))
+    plain = [c for c in (*EVENT_FIELDS, "feed_pos") if c not in ("event_ticker", "category")]
+    return both.select(
+        F.col("_event").alias("event_ticker"), *[F.when(fresh, F.col(f"_fed.{c}")).otherwise(F.col(f"_stored.{c}")).alias(c) for c in plain],
+        category.alias("category"), F.coalesce(F.col("_stored.bing_reports"), _empty_map()).alias("bing_reports"),
+        F.map_concat(known, wanted).alias("ddgs_reports"),
+        F.when(fresh, F.lit(stamp)).otherwise(F.col("_stored.added_on")).alias("added_on"),
+        resolved_only(dates.day_text("_latest")).alias("resolution_date"), resolved_only(dates.day_text("_latest")).alias("latest_close_time"),
+        resolved_only(dates.day_text("_earliest")).alias("earliest_open_time"),
+        resolved_only(~_any(ms, is_open)).alias("is_resolved"),
+        resolved_only(_any(ms, lambda m: ~is_open(m) & m["result"].isin(*decided))).alias("has_resolved"),
+        F.explode(scopes).alias("_s")).select("*", "_s.scope", "_s.reason").drop("_s")
+
+
+def classified_markets(feed: DataFrame, prev_markets: DataFrame, stamp: str,
+                       market_limit: int = params.MARKET_LIMIT) -> DataFrame:
+    """All market outputs of ``reconcile`` from one full-outer join: the columns of the resolved-market state and
+    ``scope`` (active or resolved). Of several stored copies of an active market the first is refreshed."""
+    valid, _ = split_feed(feed, market_limit)
+    strings = {f.split()[0] for f in schemas.ACTIVE_MARKETS.split(", ") if f.endswith(" string")}
+    cur = active_markets_today(valid)
+    cur = cur.select(F.col("ticker").alias("_ticker"), F.struct(*schemas.MARKET_STATE_FIELDS, "price", "state_pos").alias("_cur"))
+    first = prev_markets.groupBy(F.col("ticker").alias("_f_ticker")).agg(F.min("state_pos").alias("_first"))
+    stored = (prev_markets.select("ticker", F.struct("*").alias("_old"))
+              .join(first, F.col("ticker") == F.col("_f_ticker"), "left").drop("_f_ticker"))
+    both = stored.join(cur, F.col("ticker") == F.col("_ticker"), "full_outer")
+    fresh, gone = F.col("_old").isNull(), F.col("_cur").isNull()
+
+    def field(c: str) -> Column:
+        new = F.coalesce(F.col(f"_cur.{c}"), F.lit("")) if c in strings else F.col(f"_cur.{c}")
+        kept = F.coalesce(F.col(f"_cur.{c}"), F.col(f"_old.{c}")) if c in schemas.QUOTE_FIELDS else F.col(f"_old.{c}")
+        return F.when(fresh, new).otherwise(kept).alias(c)
+
+    prices_then = F.when(gone, F.col("_old.market_price")).otherwise(prices.upsert_price(F.col("_old.market_price"), stamp, F.col("_cur.price")))
+    return (both.where(fresh | gone | (F.col("_old.state_pos") == F.col("_first")))
+            .select(*[field(c) for c in schemas.MARKET_STATE_FIELDS], prices_then.alias("market_price"),
+                    F.when(gone, F.col("_old.state_pos")).otherwise(F.col("_cur.state_pos")).alias("state_pos"),
+                    F.when(gone, F.lit(stamp)).alias("resolution_date"),
+                    F.when(gone, F.lit("resolved")).otherwise(F.lit("active")).alias("scope")))

@@ -46,8 +46,8 @@ _Q = _CUR + """
 """
 
 
-def _sample(spark, sf):
-    return sm.stratified_sample(day_state(spark, sf)["active_events"])
+def _keys(spark, sf):
+    return sm.sample_keys(day_state(spark, sf)["active_events"])
 
 
 @query("sample_quotas", blocks=_BLOCKS, recursive=True, oracle=_Q + """
@@ -55,8 +55,7 @@ select category, n as n_events, stratum_no, quota from quota
 """)
 def sample_quotas(spark, sf):
     """Stratum quotas of the daily sample (target 210)."""
-    ev = day_state(spark, sf)["active_events"].withColumn("order_key", sm.list_order_key())
-    q = sm.quotas(sm.strata(ev), params.SAMPLE_TARGET)
+    q = sm.quotas(sm.strata(_keys(spark, sf)), params.SAMPLE_TARGET)
     return q.select("category", F.col("n").alias("n_events"), "stratum_no", "quota")
 
 
@@ -65,7 +64,7 @@ select event_ticker, category, position from sample
 """)
 def stratified_sample(spark, sf):
     """The daily sample of active events with its stored position."""
-    return _sample(spark, sf).select("event_ticker", "category", "position")
+    return sm.draw(_keys(spark, sf)).select("event_ticker", "category", "position")
 
 
 @query("short_list_sample", blocks=_BLOCKS, recursive=True, oracle=_Q + """
@@ -73,8 +72,7 @@ select event_ticker, category, lpos - 1 as position from act2
 """)
 def short_list_sample(spark, sf):
     """The sample where the list is no longer than the target: the list itself."""
-    s = sm.stratified_sample(day_state(spark, sf)["active_events"], target=2 ** 31)
-    return s.select("event_ticker", "category", "position")
+    return sm.draw(_keys(spark, sf), target=2 ** 31).select("event_ticker", "category", "position")
 
 
 @query("sample_report", blocks=_BLOCKS, recursive=True, oracle=_Q + """
@@ -84,8 +82,8 @@ from strata s left join (select category, count(*) as k from sample group by cat
 """)
 def sample_report(spark, sf):
     """Original and sampled counts per category."""
-    active = day_state(spark, sf)["active_events"]
-    return sm.sample_report(active, sm.stratified_sample(active))
+    keys = _keys(spark, sf)
+    return sm.sample_report(keys, sm.draw(keys))
 
 
 @query("sample_batch", blocks=_BLOCKS, recursive=True, oracle=_Q + """
@@ -93,7 +91,7 @@ select event_ticker, category, position from sample where position >= 70 and pos
 """)
 def sample_batch(spark, sf):
     """The second workflow's slice of the sample: positions [70, 140)."""
-    return sm.batch(_sample(spark, sf), 70).select("event_ticker", "category", "position")
+    return sm.batch(sm.draw(_keys(spark, sf)), 70).select("event_ticker", "category", "position")
 
 
 @query("events_pending", blocks=_BLOCKS, recursive=True, oracle=_Q + """
@@ -113,7 +111,7 @@ def events_pending(spark, sf):
     """Report work list: sampled events without a non-empty report today whose
     detail has markets, with the workflow slice they fall in."""
     from frostline.operators import context as cx
-    sample = _sample(spark, sf)
+    sample = sm.draw(_keys(spark, sf))
     todo = cx.pending_events(sample, tables.reports(spark, sf), tables.event_details(spark, sf),
                              st.STAMP_TODAY)
     return todo.select("event_ticker", "position",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,28 +40,32 @@ def build_reports(sample: DataFrame, details: DataFrame, search_results: DataFra
 
 
 def run_reports(spark: SparkSession, root: str, stamp: str, details: DataFrame, search_results: DataFrame,
-                pages: DataFrame, outputs: DataFrame, k: int | None = None, **kwargs) -> dict[str, DataFrame]:
+                pages: DataFrame, outputs: DataFrame, k: int | None = None, run_key: str | None = None,
+                **kwargs) -> dict[str, DataFrame]:
     """The report job on stored state: reads the day's stored sample (slice ``k``) and
     the stored reports, builds what is still missing and appends it. Returns the
     frames of ``build_reports``, whose ``contents`` are the articles per query in order."""
-    sample = (stt.read_table(spark, root, stt.SAMPLED_EVENTS)
-              .where(F.col("snapshot_date") == stamp).drop("snapshot_date"))
+    sample = stt.read_day(spark, root, stt.SAMPLED_EVENTS, stamp)
     stored = stt.read_upto(spark, root, stt.REPORTS, stamp)
     made = build_reports(sample, details, search_results, pages, outputs, stored, stamp, k, **kwargs)
-    store_reports(spark, root, made["reports"], stamp)
+    store_reports(spark, root, made["reports"], stamp, run_key)
     return made
 
 
-def store_reports(spark: SparkSession, root: str, new: DataFrame, stamp: str) -> None:
+def store_reports(spark: SparkSession, root: str, new: DataFrame, stamp: str, run_key: str | None = None) -> None:
     """Append today's reports as new documents, numbered after any stored ones.
 
-    Appending only adds files, so the stored documents read here are never
-    overwritten; a rebuilt report becomes a second document, as before.
+    Each document holds the key of the run that made it. A run that is repeated with its key, say after it broke
+    while writing, skips what it has already stored: one document per event and run. Another run's report for the
+    same event becomes a further document. Without a key the call is a run of its own.
+
+    Appending only adds files, so the stored documents read here are never overwritten.
     """
+    run_key = run_key or uuid.uuid4().hex
     stored = stt.read_upto(spark, root, stt.REPORTS, stamp).where(F.col("timestamp") == stamp)
-    last = stored.groupBy("event_ticker").agg(F.max("doc_seq").alias("_last"))
-    docs = (new.join(last, "event_ticker", "left")
+    last = stored.groupBy("event_ticker").agg(F.max("doc_seq").alias("_last"), F.bool_or(F.col("run_key") == run_key).alias("_done"))
+    docs = (new.join(last, "event_ticker", "left").where(~F.coalesce("_done", F.lit(False)))
             .select(F.lit(stamp).alias("timestamp"), "event_ticker", F.col("report").alias("ddgs_report"),
-                    (F.coalesce("_last", F.lit(0)) + 1).cast("bigint").alias("doc_seq"),
+                    (F.coalesce("_last", F.lit(0)) + 1).cast("bigint").alias("doc_seq"), F.lit(run_key).alias("run_key"),
                     F.lit(stamp).alias("snapshot_date")))
     docs.write.mode("append").partitionBy("snapshot_date").parquet(f"{root.rstrip('/')}/{stt.REPORTS}")

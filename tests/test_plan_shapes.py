@@ -43,8 +43,17 @@ def test_resolved_markets_read_the_active_tickers_only(spark):
 def test_large_target_is_ranked_in_two_steps(spark):
     from frostline.operators import sampling as sm
     from frostline.plans.q_reconcile import day_state
-    plan = _plan(sm.stratified_sample(day_state(spark, SMALL)["active_events"], target=1500))
-    assert "category" in plan and plan.count("Window [row_number()") >= 3 and "_b" in plan
+    keys = sm.sample_keys(day_state(spark, SMALL)["active_events"])
+    plan = _plan(sm.draw(keys, target=keys.count() - 1))
+    assert "category" in plan and "_b" in plan
+
+
+def test_sample_reads_the_active_events_once(spark):
+    """All that follows the keys table reads nothing else."""
+    for name in ("stratified_sample", "sample_batch", "sample_report", "short_list_sample", "sample_quotas"):
+        plan = _plan(catalog.QUERIES[name](spark, SMALL))
+        scans = [ln for ln in plan.splitlines() if "FileScan" in ln]
+        assert scans and all("sample-keys" in ln for ln in scans), name
 
 
 def test_no_query_pairs_everything_with_everything(spark):
