@@ -39,5 +39,5 @@ def query(name: str, oracle: str | None = None, blocks: tuple[str, ...] = (), re
 def load_all() -> None:
     """Import every module that registers queries."""
     from frostline.plans import (  # noqa: F401
-        q_context, q_history, q_reconcile, q_sampling, q_search, q_state,
+        q_context, q_history, q_jobs, q_reconcile, q_sampling, q_search, q_state,
     )

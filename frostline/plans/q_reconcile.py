@@ -49,7 +49,7 @@ _CUR = """
 _DROPPED = _CUR + """
 , dropped AS (select * from fx_prev_events where event_ticker not in (select event_ticker from cur))
 , magg AS (
-  select event_ticker, min(open_time) as eo, max(close_time) as lc,
+  select event_ticker, min(case when l_orderkey % 101 <> 50 then open_time end) as eo, max(close_time) as lc,
          bool_and(status not in ('active', 'initialized')) as is_resolved,
          bool_or(status not in ('active', 'initialized') and result in ('yes', 'no')) as has_resolved
   from fx_markets group by event_ticker)
@@ -57,7 +57,7 @@ _DROPPED = _CUR + """
   select d.*, strftime(a.lc, '%Y-%m-%d') as resolution_date, a.is_resolved, a.has_resolved,
          strftime(a.eo, '%Y-%m-%d') as earliest_open_time, coalesce(x.category, 'Uncategorized') as detail_category
   from dropped d join fx_details x on x.event_ticker = d.event_ticker
-  join magg a on a.event_ticker = d.event_ticker)
+  join magg a on a.event_ticker = d.event_ticker and a.eo is not null)
 """
 _EV_BLOCKS = ("fx_feed_events", "fx_feed_markets", "fx_prev_events", "fx_details", "fx_markets")
 
@@ -89,9 +89,10 @@ def event_resolution(spark, sf):
 
 @query("event_quarantine", blocks=_EV_BLOCKS, oracle=_DROPPED + """
 select d.event_ticker,
-       case when x.event_ticker is null then 'detail_missing' else 'no_markets' end as reason
+       case when x.event_ticker is null then 'detail_missing' when a.event_ticker is null then 'no_markets' else 'no_times' end as reason
 from dropped d left join fx_details x on x.event_ticker = d.event_ticker
-where x.event_ticker is null or d.event_ticker not in (select event_ticker from fx_markets)
+left join magg a on a.event_ticker = d.event_ticker
+where x.event_ticker is null or a.eo is null
 """)
 def event_quarantine(spark, sf):
     """Events that cannot be placed: no detail, no markets, no times."""
@@ -208,12 +209,17 @@ _MK = _CUR + """
 _MK_BLOCKS = ("fx_feed_events", "fx_feed_markets", "fx_prev_markets", "fx_markets")
 
 
-@query("market_price", blocks=_MK_BLOCKS, oracle=_MK + """
-select ticker, event_ticker, round(price, 9) as market_price from act
+@query("market_price", blocks=("fx_all_events", "fx_feed_markets"), oracle="""
+select ticker, event_ticker,
+       round(case when yes_bid is null or no_bid is null then null when yes_bid + no_bid > 0 then yes_bid / (yes_bid + no_bid)
+                  else last_price / 100 end, 9) as market_price
+from fx_feed_markets
+where status = 'active'
+  and event_ticker in (select event_ticker from fx_feed_markets group by event_ticker having count(*) < 6)
 """)
 def market_price(spark, sf):
-    """Implied price of every active market of today's valid events."""
-    valid, _ = rc.split_feed(tables.current_feed(spark, sf))
+    """Implied price of every active market of all events within the market limit, whenever they were placed."""
+    valid, _ = rc.split_feed(tables.all_events_feed(spark, sf))
     return rc.active_markets_today(valid, ("ticker", "event_ticker")).select("ticker", "event_ticker",
                                                  F.round("price", 9).alias("market_price"))
 

@@ -66,6 +66,5 @@ def store_reports(spark: SparkSession, root: str, new: DataFrame, stamp: str, ru
     last = stored.groupBy("event_ticker").agg(F.max("doc_seq").alias("_last"), F.bool_or(F.col("run_key") == run_key).alias("_done"))
     docs = (new.join(last, "event_ticker", "left").where(~F.coalesce("_done", F.lit(False)))
             .select(F.lit(stamp).alias("timestamp"), "event_ticker", F.col("report").alias("ddgs_report"),
-                    (F.coalesce("_last", F.lit(0)) + 1).cast("bigint").alias("doc_seq"), F.lit(run_key).alias("run_key"),
-                    F.lit(stamp).alias("snapshot_date")))
-    docs.write.mode("append").partitionBy("snapshot_date").parquet(f"{root.rstrip('/')}/{stt.REPORTS}")
+                    (F.coalesce("_last", F.lit(0)) + 1).cast("bigint").alias("doc_seq"), F.lit(run_key).alias("run_key")))
+    stt.append_reports(docs, root)

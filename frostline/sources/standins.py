@@ -42,7 +42,7 @@ from (select l.*, o.o_orderdate,
 """
 
 # Markets with every field of the API's market record. Some quotes are absent
-# (NULL) so that refresh-or-keep and price guards see both cases.
+# (NULL) so that refresh-or-keep and price guards see both cases; some events have no open times.
 BLOCKS["fx_feed_markets"] = """
 select ticker, event_ticker, l_orderkey, market_no, o_orderdate,
        concat('Will line ', cast(market_no as string), ' of order ', cast(l_orderkey as string),
@@ -54,7 +54,8 @@ select ticker, event_ticker, l_orderkey, market_no, o_orderdate,
        case when market_no % 2 = 0 then ''
             else concat('Returned lines of order ', cast(l_orderkey as string), ' count as No.') end
          as rules_secondary,
-       concat(replace(cast(open_time as string), ' ', 'T'), 'Z') as open_time,
+       case when l_orderkey % 101 = 50 then ''
+            else concat(replace(cast(open_time as string), ' ', 'T'), 'Z') end as open_time,
        concat(replace(cast(close_time as string), ' ', 'T'), 'Z') as close_time,
        concat(replace(cast(close_time as string), ' ', 'T'), 'Z') as expiration_time,
        status, result, 'usd_cent' as response_price_units,
@@ -131,13 +132,13 @@ where o_orderdate < timestamp '2000-06-01 00:00:00' and market_no = 1 and last_p
 """
 
 # Event detail as the API returns it for a dropped event (header part; the
-# markets are fx_feed_markets of the same event).
+# markets are fx_feed_markets of the same event). For some events it gives none.
 BLOCKS["fx_details"] = """
 select concat('O', cast(o_orderkey as string)) as event_ticker,
        concat('Order ', cast(o_orderkey as string)) as title,
        case when o_orderkey % 13 = 0 then cast(null as string) else o_orderpriority end as category,
        o_orderkey % 2 = 0 as markets_key_absent
-from orders
+from orders where o_orderkey % 97 <> 31
 """
 
 # Stored report documents: present, present-but-empty, a second document after
@@ -162,6 +163,11 @@ select '20250831' as timestamp, concat('O', cast(o_orderkey as string)) as event
        concat('# Research Report 1 of the day before for order ', cast(o_orderkey as string)) as ddgs_report,
        cast(1 as bigint) as doc_seq
 from orders where o_orderkey % 5 = 0
+union all
+select '20250830' as timestamp, concat('O', cast(o_orderkey as string)) as event_ticker,
+       case when o_orderkey % 4 = 0 then cast(null as string) else 'An early report' end as ddgs_report,
+       cast(1 as bigint) as doc_seq
+from orders where o_orderkey % 6 = 0
 """
 
 # Ranked web-search results per (event, query line). Four results in a row
