@@ -1,30 +1,32 @@
 """Line dedup with a sharded minimal perfect hash.
 
-1. Each document gives the 128-bit hashes of its long line keys once; counting
-   them (partial sums first) leaves the lines found in enough documents, with
-   the document that keeps them.
-2. The kept hashes are dealt into shards by their bits. A shard's minimal
+1. Each document gives the 128-bit hashes of its long line keys once. Of equal
+   (line, document) pairs one is kept, then each distinct line's documents are counted
+   (partial sums first) and the largest id, whose document keeps the line, is found.
+2. The distinct hashes are dealt into shards by their bits. A shard's minimal
    perfect hash numbers its n hashes 0..n-1 without storing them; arrays of n
    entries hold a 64-bit fingerprint, the count and the keeping document.
 3. Documents don't join lines. Their hashes travel, packed, to a task that
-   holds one shard's arrays and probes them; a hash outside the index meets
-   another line's fingerprint and is refused by it. Lines to drop return to
+   holds one shard's arrays and probes them: a hash whose fingerprint agrees reads
+   the count and the keeping document there, and the count decides. Lines to drop return to
    their document.
 
-A shard holds at most about SHARD_LINES lines. Probes of one shard are dealt
-over as many tasks ("salts") as keep all shuffle partitions busy, each with a
-copy of the shard's arrays, so one line found everywhere loads no single task.
+A shard holds at most about SHARD_LINES lines, and there is one for each shuffle
+partition at least. The counts tell how many probes a shard will meet: where one line found
+everywhere brings it a multiple of the usual number, they are dealt over so many
+tasks ("salts"), each with a copy of the shard's arrays.
 
 Two lines are equal when their 128-bit hashes are.
 
-Defined cases: null and empty text are one empty line. A null doc_id counts as
-a document but never is the keeping one; lines held by such rows alone stay.
-Rows that share a doc_id share its verdicts. Columns other than id and text
-are ignored.
+Defined cases: null and empty text are one empty line. Rows that share a doc_id are one
+document when lines are counted, and each drops its lines. All rows without a
+doc_id count as one document, which never keeps a line; lines held by such rows
+alone stay. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Iterator
 
@@ -207,26 +209,29 @@ def _packed_probes(min_chars: int, shards: int):
     return run
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probe(min_docs: int):
     """Rows sorted by shard, the index first (kind 0): hashes that their document drops."""
-    now, index = None, None
-    for b in batches:
-        out = ([], [], [])
-        for shard, kind, doc, th, payload in zip(*(b.column(n).to_pylist() for n in ("shard", "kind", "doc_id", "text_hash", "payload"))):
-            if kind == 0:
-                now, index = shard, PerfectHash.load(payload)
-            elif shard == now:
-                pairs = np.frombuffer(payload, dtype=U64).reshape(-1, 2)
-                place = index.find(pairs)
-                hit = place >= 0
-                if doc is not None:
-                    hit[hit] = index.arrays[2][place[hit]] != doc
-                if hit.any():
-                    for o, v in zip(out, (doc, th, pairs[hit].tobytes())):
-                        o.append(v)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                                             names=["doc_id", "text_hash", "dropped"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index = None, None
+        for b in batches:
+            out = ([], [], [])
+            for shard, kind, doc, th, payload in zip(*(b.column(n).to_pylist() for n in ("shard", "kind", "doc_id", "text_hash", "payload"))):
+                if kind == 0:
+                    now, index = shard, PerfectHash.load(payload)
+                elif shard == now:
+                    pairs = np.frombuffer(payload, dtype=U64).reshape(-1, 2)
+                    place = index.find(pairs)
+                    hit = place >= 0
+                    hit[hit] = index.arrays[1][place[hit]] >= min_docs
+                    if doc is not None:
+                        hit[hit] = index.arrays[2][place[hit]] != doc
+                    if hit.any():
+                        for o, v in zip(out, (doc, th, pairs[hit].tobytes())):
+                            o.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
+                                                 names=["doc_id", "text_hash", "dropped"])
+    return run
 
 
 def _drop(min_chars: int):
@@ -257,25 +262,28 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     """One row per document: id, ``kept_text``, ``n_lines`` before and ``n_dropped``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = (docs.mapInArrow(_document_lines(min_chars), "high long, low long, doc_id long")
+    # a line of rows without an id alone has no document to stay in: as if it were found nowhere
+    found = (docs.mapInArrow(_document_lines(min_chars), "high long, low long, doc_id long").distinct()
              .groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep"))
-             .filter((F.col("n") >= min_docs) & F.col("keep").isNotNull()))
+             .select("high", "low", F.when(F.col("keep").isNull(), 0).otherwise(F.col("n")).alias("n"), F.coalesce("keep", F.lit(0)).alias("keep")))
     found = settle(found, "line-counts")
-    shards = max(1, -(-found.count() // shard_lines))
-    tasks = max(shards, shuffle_partitions(spark))
-    salts = -(-tasks // shards)
+    shards = max(shuffle_partitions(spark), -(-found.count() // shard_lines))
     shard = (F.col("high").bitwiseAND(F.lit(SHARD_BITS)) % shards).cast("int")
-    index = (found.withColumn("shard", shard).repartition(min(shards, tasks), "shard").sortWithinPartitions("shard")
+    # one row per shard: what its probes will be, known from the counts
+    loads = {r["shard"]: r["n"] for r in found.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n")).collect()}
+    usual = max(1, sum(loads.values()) // shards)
+    salts = F.from_json(F.lit(json.dumps([max(1, loads.get(s, 0) // usual) for s in range(shards)])), "array<int>")[F.col("shard")]
+    index = (found.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard")
              .mapInArrow(_shard_index, "shard int, payload binary"))
     none = F.lit(None).cast("long")
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"),
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"),
                           none.alias("doc_id"), none.alias("text_hash"), "payload")
     hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     probes = (hashed.mapInArrow(_packed_probes(min_chars, shards), "shard int, doc_id long, text_hash long, payload binary")
-              .select("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"),
+              .select("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"),
                       "doc_id", "text_hash", "payload"))
-    drops = (copies.unionByName(probes).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-             .mapInArrow(_probe, "doc_id long, text_hash long, dropped binary")
+    drops = (copies.unionByName(probes).repartition(shards, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+             .mapInArrow(_probe(min_docs), "doc_id long, text_hash long, dropped binary")
              .distinct().groupBy(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"))
              .agg(F.collect_list("dropped").alias("dropped")))
     same = F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash"))
