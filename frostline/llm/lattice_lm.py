@@ -12,10 +12,13 @@ Beside it stands the base model: smoothed frequencies of whole words.
 
 Words are counted in one pass (partial counts in the tasks, then a sum by
 word). The table of words grows with the corpus. Its most frequent words, at
-most HEAD_WORDS of them and none over HEAD_BYTES long, go to every task; all
+most HEAD_WORDS of them, go to every task (those over HEAD_BYTES as a digest); all
 other words of a document meet the table in a join. No word of that join is
 frequent, so none loads a single task.
 
+A long word's lattice is worked on in stretches, which pass on their last few
+sums: time and memory follow its length, whatever it is.
+
 Defined cases: null text is empty and scores the end symbol alone. Characters
 outside the vocabulary are spelled by its byte pieces. A null id counts as the
 empty id in the split. Repeated rows are rows like others; with nothing to
@@ -25,9 +28,11 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +46,8 @@ from frostline.llm.common import binary_values, byte_slices, documents, id_crc,
 HEAD_WORDS, HEAD_BYTES = 1 << 17, 64
 #: Characters of words whose lattices are worked on together.
 SLICE_CHARS = 1 << 16
+#: Words of more characters are worked on one by one, in stretches of so many characters.
+LONG_WORD, LONG_STRETCH = 256, 1 << 15
 PRIME = np.uint64(0x100000001B3)
 #: Added to every count of the base model, as the contract fixes it, and of the piece model.
 SMOOTHING = 0.1
@@ -63,39 +70,104 @@ class Lattice:
         # control, byte and unknown symbols don't match text
         text = [p for p in pieces if not (p.startswith("<") and p.endswith(">")) and BLANK not in p[1:]]
         self.longest = max(map(len, text))
-        self.powers = PRIME ** np.arange(self.longest + 1, dtype=np.uint64)
-        hashes = np.array([self._prefixes(_codes([p]))[0, -1] for p in text])
+        hashes = np.concatenate([reduce(lambda h, c: h * PRIME + c, np.split(_codes([p])[0], len(p))) for p in text])
         order = np.argsort(hashes)
         self.hashes, self.places = hashes[order], np.array([place[p] for p in text])[order]
         self.scores = scores[self.places]
 
-    @staticmethod
-    def _prefixes(codes: np.ndarray) -> np.ndarray:
-        """Hashes of the first 0, 1, ... characters of each row."""
-        out = np.zeros((codes.shape[0], codes.shape[1] + 1), dtype=np.uint64)
-        for j in range(codes.shape[1]):
-            out[:, j + 1] = out[:, j] * PRIME + codes[:, j]
-        return out
+    def _stretches(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length n: the scores (-inf: none) and numbers (-1: none) of the pieces that are the n
+        characters from each place on; codes: (..., characters)."""
+        h = codes
+        for n in range(1, min(self.longest, codes.shape[-1]) + 1):
+            if n > 1:
+                h = h[..., :-1] * PRIME + codes[..., n - 1:]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            yield n, np.where(hit, self.scores[at], -np.inf), np.where(hit, self.places[at], -1)
+
+    def _spell(self, codes: np.ndarray, score: np.ndarray, piece: np.ndarray) -> None:
+        """Fills in the characters outside the vocabulary: the sum of their byte pieces, number -2."""
+        for c in np.unique(codes[piece == -1]):
+            same = (piece == -1) & (codes == c)
+            score[same] = self.byte_scores[list(chr(c).encode("utf-8", "replace"))].sum()
+            piece[same] = -2
 
     def _edges(self, codes: np.ndarray):
-        """For each end j and length l: the scores of the pieces (-inf: none) and their numbers
+        """For each end j and length n: the scores of the pieces (-inf: none) and their numbers
         (-1: none, -2: a character outside the vocabulary, spelled by bytes)."""
-        hashes, edges = self._prefixes(codes), {}
-        for j in range(1, codes.shape[1] + 1):
-            for n in range(1, min(self.longest, j) + 1):
-                h = hashes[:, j] - hashes[:, j - n] * self.powers[n]
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                score, piece = np.where(hit, self.scores[at], -np.inf), np.where(hit, self.places[at], -1)
-                if n == 1 and not hit.all():
-                    for c in np.unique(codes[~hit, j - 1]):
-                        same = ~hit & (codes[:, j - 1] == c)
-                        score[same] = self.byte_scores[list(chr(c).encode("utf-8", "replace"))].sum()
-                        piece[same] = -2
-                if n == 1 or hit.any():
-                    edges[j, n] = score, piece
+        edges = {}
+        for n, score, piece in self._stretches(codes):
+            if n == 1:
+                self._spell(codes, score, piece)
+            for j in np.flatnonzero((piece != -1).any(axis=0)):
+                edges[int(j) + n, n] = score[:, j], piece[:, j]
         return edges
 
+    def _hits(self, codes: np.ndarray, lo: int, hi: int):
+        """The pieces that end at the places lo + 1 to hi of one long word, by their ends: the end of each, its
+        length, score and number, and where those of an end begin."""
+        first = max(0, lo + 1 - self.longest)
+        part, found = codes[first:hi], []
+        for n, score, piece in self._stretches(part):
+            if n == 1:
+                self._spell(part, score, piece)
+            start = np.flatnonzero(piece != -1)
+            end = first + start + n
+            keep = end > lo
+            start, end = start[keep], end[keep]
+            found.append((end, np.full(len(end), n), score[start], piece[start]))
+        end, length, score, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(end, kind="stable")
+        end = end[order]
+        return end, length[order], score[order], piece[order], np.searchsorted(end, np.arange(lo + 1, hi + 2))
+
+    def _long_forward(self, codes: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all segmentations of each prefix of one long word. Stretch by stretch; within
+        one the sums are kept as numbers, divided by a scale that is renewed before they become too small."""
+        alpha = np.zeros(len(codes) + 1)
+        recent, scale = [1.0], 0.0  # sums at the last ``longest`` places, times exp(-scale)
+        for lo in range(0, len(codes), LONG_STRETCH):
+            hi = min(len(codes), lo + LONG_STRETCH)
+            _, length, score, _, at = self._hits(codes, lo, hi)
+            ways, back, at = np.exp(score).tolist(), (-length).tolist(), at.tolist()
+            for j in range(lo + 1, hi + 1):
+                total = 0.0
+                for k in range(at[j - lo - 1], at[j - lo]):
+                    total += recent[back[k]] * ways[k]
+                if total < 1e-100:  # a character can be worth e-60 at most: all stay far above the least float
+                    recent = [r / total for r in recent[-self.longest:]]
+                    scale += math.log(total)
+                    total = 1.0
+                recent.append(total)
+                alpha[j] = math.log(total) + scale
+            recent = recent[-self.longest:]
+        return alpha
+
+    def _long_expected(self, codes: np.ndarray, weight: float, into: np.ndarray) -> None:
+        """Adds the expected count of each piece in ``weight`` occurrences of one long word."""
+        alpha = self._long_forward(codes)
+        share = np.zeros(len(alpha))
+        share[-1] = weight
+        for lo in range((len(codes) - 1) // LONG_STRETCH * LONG_STRETCH, -1, -LONG_STRETCH):
+            hi = min(len(codes), lo + LONG_STRETCH)
+            end, length, score, piece, at = self._hits(codes, lo, hi)
+            part = np.exp(alpha[end - length] + score - alpha[end]).tolist()
+            first = max(0, lo - self.longest)
+            shares, start, at = share[first:hi + 1].tolist(), (end - length - first).tolist(), at.tolist()
+            weights = [0.0] * len(part)
+            for j in range(hi, lo, -1):
+                here = shares[j - first]
+                for k in range(at[j - lo - 1], at[j - lo]):
+                    w = here * part[k]
+                    weights[k] = w
+                    shares[start[k]] += w
+            share[first:hi + 1] = shares
+            weights, known = np.array(weights), piece >= 0
+            into += np.bincount(piece[known], weights=weights[known], minlength=len(into))
+            for k in np.flatnonzero(piece == -2):
+                np.add.at(into, self.byte_place[list(chr(codes[end[k] - 1]).encode("utf-8", "replace"))], weights[k])
+
     def _forward(self, codes: np.ndarray, edges) -> np.ndarray:
         alpha = np.zeros((codes.shape[0], codes.shape[1] + 1))
         for j in range(1, codes.shape[1] + 1):
@@ -108,12 +180,19 @@ class Lattice:
         """Logarithm of the probability of each word with its blank."""
         out = np.zeros(len(words))
         for at, codes in _by_length(words):
-            out[at] = self._forward(codes, self._edges(codes))[:, -1]
+            if codes.shape[1] > LONG_WORD:
+                out[at] = [self._long_forward(c)[-1] for c in codes]
+            else:
+                out[at] = self._forward(codes, self._edges(codes))[:, -1]
         return out
 
     def expected(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
         """Adds the expected count of each piece in so many occurrences of each word."""
         for at, codes in _by_length(words):
+            if codes.shape[1] > LONG_WORD:
+                for i, c in zip(at, codes):
+                    self._long_expected(c, float(weights[i]), into)
+                continue
             edges = self._edges(codes)
             alpha = self._forward(codes, edges)
             # weight of the segmentations that pass a place
@@ -213,9 +292,10 @@ def _document_sums(shared):
                 words = (text or b"").lower().split()
                 known, base, score = 0, 0.0, 0.0
                 for w, n in Counter(words).items():
-                    w = w.decode("utf-8", "replace")
-                    h = head.get(w)
+                    key = w if len(w) <= HEAD_BYTES else b" " + hashlib.md5(w).hexdigest().encode()
+                    h = head.get(key)
                     if h is None:
+                        w = w.decode("utf-8", "replace")
                         rows.append((row, None, None, w, n, 0, 0, 0.0, 0.0))
                     else:
                         known += n * h[0]
@@ -262,8 +342,9 @@ def score_documents(docs: DataFrame, held_out, path: str, rounds: int = 1, id_co
         if fits < 0:
             break
         least = 1 << r["level"]
-    table = words.filter((F.col("every") >= least) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
-    head = {w: (int(c > 0), py_base(c), s) for w, c, s in zip(*(table.column(n).to_pylist() for n in ("word", "train", "log10")))}
+    key = F.when(F.octet_length("word") <= HEAD_BYTES, F.col("word")).otherwise(F.concat(F.lit(" "), F.md5("word")))
+    table = words.filter(F.col("every") >= least).select(key.alias("key"), "train", "log10").toArrow()
+    head = {w.encode(): (int(c > 0), py_base(c), s) for w, c, s in zip(*(table.column(n).to_pylist() for n in ("key", "train", "log10")))}
     found = (docs.withColumn("row", F.monotonically_increasing_id())
              .mapInArrow(_document_sums(spark.sparkContext.broadcast(head)),
                          "row long, doc_id long, held_out boolean, word string, n long, words long, known long, base double, score double"))
