@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from frostline import schemas
 from frostline.functions import dates
 from frostline.operators import reconcile as rc
@@ -69,3 +71,27 @@ def test_lookback_column_matches_parameter(spark):
     got = [r[0] for r in df.select(dates.lookback_stamps_col("d", 3)).collect()]
     assert got == [dates.lookback_stamps("2025-03-01", 3), dates.lookback_stamps("2024-01-01", 3)]
     assert df.select(dates.lookback_stamps_col("d")).first()[0] == ["20250301"]
+
+
+def test_one_large_array_file_is_read_by_many_tasks(spark, scratch):
+    """Records with nested maps, arrays at their end, and strings that look like a border: the rows of a whole-file read."""
+    ddl = "a string, m map<string,string>, n array<struct<x:int,y:string>>, z array<int>"
+    records = [{"a": f"line\n    }},\n    {{ {i}", "m": {"k": "},", "]": "\n]"} if i % 3 else {}, "n": [{"x": i, "y": "[{"}] * (i % 4), "z": list(range(i % 5))}
+               for i in range(4000)]
+    path = f"{scratch}/array.json"
+    with open(path, "w") as f:
+        json.dump(records, f, indent=4)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = stt.read_json_array(spark, path, ddl)
+        assert got.rdd.getNumPartitions() > 4
+        rows = lambda df: sorted(map(repr, df.select("a", F.array_sort(F.map_entries("m")), "n", "z").collect()))
+        assert rows(got) == rows(spark.read.option("multiLine", True).schema(ddl).json(path))
+        assert got.select("a").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    for k, (text, n) in enumerate([("[]", 0), ("[\n]", 0), (json.dumps(records[:7]), 7), (json.dumps(records[:1], indent=4) + "\n", 1), (json.dumps(records[3:5], indent=4), 2)]):
+        with open(f"{scratch}/{k}.json", "w") as f:
+            f.write(text)
+        assert stt.read_json_array(spark, f"{scratch}/{k}.json", ddl).count() == n, text[:20]
