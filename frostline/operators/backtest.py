@@ -1,9 +1,10 @@
 """Backtests over frozen snapshots: as-of lookups, strategy scores, query checks.
 
-As-of lookups are not range joins: the observations and the lookup points of
-one key are unioned and ordered, and each lookup takes the last observation
-at or before it (``last(..., ignorenulls)`` over a running frame). A key holds
-one observation per day, so each window is bounded by the history length.
+As-of lookups are not range joins: the observations and the lookup points are unioned and
+cut into slices of (key, time) by a range partitioning, so one long history lies in many slices. Inside a
+slice each lookup takes the last observation at or before it (``last(..., ignorenulls)`` over a running
+frame); one that finds none takes the last of the key's earlier slices, which a small table (a row
+for each key and slice) hands on.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from frostline import params
 from frostline.functions import text
+from frostline.session import settled
 
 
 def asof(obs: DataFrame, points: DataFrame, key: str, obs_time: str, point_time: str,
@@ -27,11 +29,19 @@ def asof(obs: DataFrame, points: DataFrame, key: str, obs_time: str, point_time:
     pcols = list(points.columns)
     p = points.select(*pcols, F.col(point_time).alias("_t"), F.lit(1).alias("_kind"))
     u = o.unionByName(p, allowMissingColumns=True)
-    w = (Window.partitionBy(key).orderBy("_t", "_kind")
+    n = int(u.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = settled(u.repartitionByRange(n, key, "_t", "_kind", F.monotonically_increasing_id())
+                  .withColumn("_slice", F.spark_partition_id()), "asof")
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (cut.groupBy(key, "_slice").agg(F.max_by(F.when(F.col("_kind") == 0, F.col("_seen")), F.when(F.col("_kind") == 0, F.col("_t"))).alias("_end"))
+              .select(F.col(key).alias("_s_key"), F.col("_slice").alias("_s_slice"), F.last("_end", ignorenulls=True).over(before).alias("_carried")))
+    w = (Window.partitionBy(key, "_slice").orderBy("_t", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = u.withColumn("_last", F.when(F.col("_t").isNotNull(), F.last("_seen", ignorenulls=True).over(w)))
-    return out.where(F.col("_kind") == 1).select(*pcols, F.col("_last.t").alias(f"asof_{obs_time}"),
-                                                 *[F.col(f"_last.{v}").alias(f"asof_{v}") for v in values])
+    inside = cut.withColumn("_last", F.last("_seen", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+    out = (inside.join(slices, F.col(key).eqNullSafe(F.col("_s_key")) & (F.col("_slice") == F.col("_s_slice")))
+           .withColumn("_last", F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_carried"))))
+    return out.select(*pcols, F.col("_last.t").alias(f"asof_{obs_time}"),
+                      *[F.col(f"_last.{v}").alias(f"asof_{v}") for v in values])
 
 
 def brier(forecasts: DataFrame, by: list[str]) -> DataFrame:

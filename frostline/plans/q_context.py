@@ -10,6 +10,7 @@ from frostline.operators import similarity as si
 from frostline.plans import sqlfrag as q
 from frostline.plans.catalog import query
 from frostline.plans.q_search import _DESC, _SIM, SEARCH_BLOCKS, results
+from frostline.session import settled
 from frostline.sources import tables
 
 CTX_BLOCKS = SEARCH_BLOCKS + ("fx_model_outputs",)
@@ -85,7 +86,8 @@ def summary_prompts(spark, sf):
     desc, _, lines, _ = _ctx(spark, sf)
     dedup, pages = results(spark, sf)
     asked = dedup.join(desc.select("event_ticker"), "event_ticker", "left_semi")  # before any scoring
-    top = si.top_articles(si.score_links(desc, asked, pages), params.NUM_URLS)
+    # keys of the survivors, written once: their texts are read from there on
+    top = settled(si.top_articles(si.score_links(desc, asked, pages), params.NUM_URLS), "top-articles")
     return cx.summary_prompts(lines, desc, si.with_texts(top, asked, pages))
 
 

@@ -12,6 +12,7 @@ from frostline.operators import context as cx
 from frostline.operators import sampling as sm
 from frostline.operators import search as se
 from frostline.operators import similarity as si
+from frostline.session import settled
 from frostline.sources import state as stt
 
 
@@ -33,7 +34,8 @@ def build_reports(sample: DataFrame, details: DataFrame, search_results: DataFra
     lines = cx.query_lines(desc, outputs)
     results = search_results.join(todo, "event_ticker", "left_semi")
     dedup = se.dedup_results(results, num_urls)
-    top = si.with_texts(si.top_articles(si.score_links(desc, dedup, pages), num_urls), dedup, pages)
+    keys = settled(si.top_articles(si.score_links(desc, dedup, pages), num_urls), "top-articles")
+    top = si.with_texts(keys, dedup, pages)
     return {"reports": cx.reports(lines, outputs, desc),
             "summary_prompts": cx.summary_prompts(lines, desc, top),
             "contents": top}
