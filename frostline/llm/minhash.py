@@ -47,9 +47,10 @@ MEMO_WORDS, MEMO_BYTES = 100_000, 40
 U64 = np.uint64
 _K = U64(0x9E3779B97F4A7C15)
 #: Members of a bucket that one task compares; larger buckets are compared block by block.
-BLOCK = 2048
-#: Bits of the filter that picks the documents whose full sets are made: 8 MB.
+BLOCK = 1024
+#: Bits of the filter that picks the documents whose full sets are made: 8 MB; and the most ids it is made for.
 FILTER_BITS = 1 << 26
+FILTER_IDS = FILTER_BITS // 8
 #: Share of true links that the comparison of minhashes may lose.
 LOSS = 1e-6
 TABLES = list(combinations(range(HALVES), 2))
@@ -170,12 +171,13 @@ def wanted(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(k: int, shared):
-    """Shingles of the documents that the filter lets through."""
+    """Shingles of the documents that the filter lets through (None: of all)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in byte_slices(batches, "text", 2 << 20):
-            spots = _spots(b.column("doc_id").to_numpy())
-            some = b.filter(pa.array((bits[spots >> 3] >> (7 - (spots & 7)) & 1).astype(bool)))
+        bits = shared and shared.value
+        for some in byte_slices(batches, "text", 2 << 20):
+            if shared:
+                spots = _spots(some.column("doc_id").to_numpy())
+                some = some.filter(pa.array((bits[spots >> 3] >> (7 - (spots & 7)) & 1).astype(bool)))
             sets = [shingles(t or b"", k) for t in binary_values(some.column("text"))]
             if sets:
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), _lists(np.concatenate(sets), [len(s) for s in sets])], names=["node", "shingles"])
@@ -320,10 +322,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                    .select("a", "b"), "pivot-pairs")
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        """Shingles of the nodes ``ids`` (and of some others), from their documents in place."""
-        shared = docs.sparkSession.sparkContext.broadcast(wanted(ids.select("node")))
-        return settle(docs.filter("doc_id IS NOT NULL").mapInArrow(_sets(k, shared), "node long, shingles array<bigint>")
-                      .filter(F.size("shingles") > 0), name)
+        """Shingles of the nodes ``ids`` (and of some others), from their documents: in place by the filter, or
+        where it would let too much through, after a semi-join with the ids."""
+        ids, some, bits = ids.select("node").distinct(), docs.filter("doc_id IS NOT NULL"), None
+        if ids.count() <= FILTER_IDS:
+            bits = docs.sparkSession.sparkContext.broadcast(wanted(ids))
+        else:
+            some = some.join(ids, F.col("doc_id") == F.col("node"), "left_semi")
+        return settle(some.mapInArrow(_sets(k, bits), "node long, shingles array<bigint>").filter(F.size("shingles") > 0), name)
 
     sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), "pivot-sets")
     of = lambda end: sets.select(F.col("node").alias(f"{end}_node"), F.col("shingles").alias(f"{end}_set"))
