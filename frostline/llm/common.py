@@ -29,14 +29,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = (f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}/"
             f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``settle`` made, once nothing reads it any more."""
+    _delete(df.sparkSession, df.settled_at)
 
 
 def drop_settled(spark: SparkSession) -> None:
     """Delete the settled tables of this application, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{checkpoint_dir(spark)}/llm-{spark.sparkContext.applicationId}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
