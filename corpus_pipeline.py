@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm import content_sort, langid, minhash, packing, quality
-from frostline.llm.common import documents, settle
+from frostline.llm.common import documents, drop, settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
+        if before is not None:  # a stage's input goes once its result stands
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
