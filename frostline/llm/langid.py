@@ -8,7 +8,9 @@ centroid of largest cosine, and is rejected where it lies far off: where the
 cosine is under REJECT_SHARE of what nearly all fitted texts of that language reach.
 
 The classifier is fitted on at most FIT_PER_LANGUAGE labelled texts of each
-language, chosen by a hash of the id; predictions read whole texts.
+language, chosen by a hash of the id; predictions read whole texts. Any number of languages
+can be learned: the centroids lie in a table, and a text meets them in passes of
+PASS_LANGUAGES languages, which hand on the best so far.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; so is every text if there is nothing to learn from. Equal cosines go
@@ -32,7 +34,9 @@ from frostline.llm.common import binary_values, byte_slices, documents, id_crc,
 
 UNKNOWN = "und"
 #: Labelled texts per language that the fit may use: the documented bound of the sample.
-FIT_PER_LANGUAGE, MAX_LANGUAGES = 1_000, 1_000
+FIT_PER_LANGUAGE = 1_000
+#: Languages whose centroids one pass over the texts holds (64 KB each), and the most whose counts go to every task.
+PASS_LANGUAGES, SENT_LANGUAGES = 500, 100_000
 DIMENSIONS, CENTROIDS, ROUNDS = 1 << 12, 4, 12
 #: A text is rejected if its cosine is under this share of the one that so many of the
 #: language's own fitted texts reach. Measured: see the README.
@@ -103,21 +107,36 @@ class Model:
     centroids: np.ndarray   # one unit row each
     radius: np.ndarray
 
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Languages, cosines and whether each text is rejected."""
-        lang, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    def predict(self, texts: list[bytes | None], before: tuple | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, cosines and whether each text is rejected; ``before``: the same from earlier passes, which
+        only a larger cosine replaces."""
+        lang, score, out = before or ([UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool))
         at = [i for i, t in enumerate(texts) if has_letter(t)] if self.names else []
         if at:
             near = unit(vectors([texts[i] for i in at]) * self.idf) @ self.centroids.T
             best = near.argmax(axis=1)
             top = near[np.arange(len(at)), best]
-            for i, b in zip(at, best):
-                lang[i] = self.names[b]
-            score[at] = np.clip(top, 0, 1)
-            out[at] = top < REJECT_SHARE * (1 - self.radius[best])
+            for i, b, c in zip(at, best, top):
+                if lang[i] == UNKNOWN or c > score[i]:
+                    lang[i], score[i], out[i] = self.names[b], np.clip(c, 0, 1), c < REJECT_SHARE * (1 - self.radius[b])
         return lang, score, out
 
 
+@dataclass
+class Fitted:
+    idf: np.ndarray
+    table: DataFrame | None  # pass, lang, place, centroid, radius
+    passes: int
+
+    def model(self, n: int = 0) -> Model:
+        """The centroids of one pass."""
+        found = self.table.filter(F.col("pass") == n).collect() if self.passes else []
+        found.sort(key=lambda r: (r["lang"], r["place"]))
+        return Model(self.idf, [r["lang"] for r in found],
+                     np.array([np.frombuffer(r["centroid"], "<f4") for r in found], dtype=np.float32).reshape(-1, DIMENSIONS),
+                     np.array([r["radius"] for r in found]))
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
     for b in byte_slices(batches, "text", 1 << 20, 512):
@@ -135,47 +154,52 @@ def _centroids(idf: np.ndarray):
     return run
 
 
-def fit(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Model:
-    """A model from rows (doc_id, text, lang); reads at most ``per_language`` texts of each language."""
+def fit(labelled: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> Fitted:
+    """A classifier from rows (doc_id, text, lang); reads at most ``per_language`` texts of each language."""
     rows = (labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
             .withColumn("draw", F.xxhash64(F.lit("fit"), "doc_id", F.xxhash64("text"))))
+    place = F.row_number().over(Window.orderBy("lang")) - 1  # one row per language
+    sizes = settle(rows.groupBy("lang").count().select(F.col("lang").alias("s_lang"), "count", F.floor(place / PASS_LANGUAGES).cast("int").alias("pass")), "languages")
+    languages = sizes.count()
+    if not languages:
+        return Fitted(np.zeros(DIMENSIONS, dtype=np.float32), None, 0)
     # a threshold on the draw leaves about twice the bound, so that the exact cut sorts few rows
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    if not sizes:
-        return Model(np.zeros(DIMENSIONS, dtype=np.float32), [], np.zeros((0, DIMENSIONS), dtype=np.float32), np.zeros(0))
-    span = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))])
-    few = rows.filter(F.pmod(F.col("draw"), F.lit(1 << 30)) < F.element_at(span, F.col("lang")) * (1 << 30))
+    counted = F.broadcast(sizes) if languages <= SENT_LANGUAGES else sizes
+    share = F.least(F.lit(1.0), 2.0 * per_language / F.col("count"))
+    few = rows.join(counted, F.col("lang") == F.col("s_lang")).filter(F.pmod(F.col("draw"), F.lit(1 << 30)) < share * (1 << 30))
     first = Window.partitionBy("lang").orderBy(F.pmod(F.col("draw"), F.lit(1 << 30)), "doc_id", "text")
     sample = settle(few.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
-                    .select("lang", "text"), "language-sample")
+                    .select("lang", "text", "pass"), "language-sample")
     df = {r["dim"]: r["n"] for r in sample.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     n = df.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 0.1 for i in range(DIMENSIONS)], dtype=np.float32)
-    found = sample.groupBy("lang").applyInArrow(_centroids(idf), "lang string, place long, centroid binary, radius double").collect()
-    found.sort(key=lambda r: (r["lang"], r["place"]))
-    return Model(idf, [r["lang"] for r in found],
-                 np.array([np.frombuffer(r["centroid"], "<f4") for r in found], dtype=np.float32).reshape(-1, DIMENSIONS),
-                 np.array([r["radius"] for r in found]))
+    found = (sample.groupBy("lang").applyInArrow(_centroids(idf), "lang string, place long, centroid binary, radius double")
+             .join(counted.drop("count"), F.col("lang") == F.col("s_lang")).drop("s_lang"))
+    return Fitted(idf, settle(found, "centroids"), -(-languages // PASS_LANGUAGES))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected (any such columns of the input are replaced)."""
     made = ("lang_pred", "score", "rejected")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids of the learned languages only
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_slices(batches, text, 1 << 20, 512):
-            lang, score, out = shared.value.predict(binary_values(b.column(text)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)],
-                                             names=[*b.schema.names, *made])
-
     types = StructType(list(kept.schema.fields))
     for c, t in zip(made, ("string", "double", "boolean")):
         types = types.add(c, t)
-    return kept.mapInArrow(run, types)
+    for n in range(max(1, fitted.passes)):
+        shared = docs.sparkSession.sparkContext.broadcast(fitted.model(n))  # PASS_LANGUAGES languages at most
+        kept = (kept if n == 0 else settle(kept, "language-pass")).mapInArrow(_predicted(shared, text, made, n > 0), types)
+    return kept
+
+
+def _predicted(shared, text: str, made: tuple[str, ...], again: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, text, 1 << 20, 512):
+            before = (b.column(made[0]).to_pylist(), b.column(made[1]).to_numpy().copy(), np.array(b.column(made[2]).to_pylist(), dtype=bool)) if again else None
+            lang, score, out = shared.value.predict(binary_values(b.column(text)), before)
+            own = [n for n in b.schema.names if n not in made]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in own], pa.array(lang, pa.string()), pa.array(score), pa.array(out)],
+                                             names=[*own, *made])
+    return run
 
 
 def learned_from(remainder: int = 2) -> Column:

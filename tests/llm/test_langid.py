@@ -19,12 +19,13 @@ def corpus(n, seed=1):
 
 def test_held_out_accuracy_and_defined_cases(spark):
     rows = corpus(600)
-    model = L.fit(spark.createDataFrame(rows + [(9999, "no label", None), (None, "the river and the house", "en")], "doc_id long, text string, lang string"), 50)
+    fitted = L.fit(spark.createDataFrame(rows + [(9999, "no label", None), (None, "the river and the house", "en")], "doc_id long, text string, lang string"), 50)
+    model = fitted.model()
     assert sorted(set(model.names)) == ["de", "en", "fr"]
     held = corpus(300, 2)
     odd = [(1, None, "en"), (2, "", "en"), (3, " 12 %% \n", "en"), (None, "the river with light", "en"), (4, "le matin " * 20000, "fr"), (4, "le matin " * 20000, "fr")]
     docs = spark.createDataFrame(held + odd, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as rejected")
-    got = L.identify(docs, model).collect()
+    got = L.identify(docs, fitted).collect()
     good = sum(r.lang == r.lang_pred for r in got[:300])
     assert good >= 295 and all(0 <= r.score <= 1 for r in got)
     assert [(r.lang_pred, r.score, r.rejected) for r in got[300:303]] == [("und", 0.0, True)] * 3
@@ -33,6 +34,38 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert model.predict(["Это совсем другой язык, его нет среди известных".encode() * 5])[2][0]
 
 
+def test_prediction_against_a_plain_nearest_centroid(spark):
+    rows = corpus(400)
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 60).model()
+    texts = [t.encode() for _, t, _ in corpus(60, 7)] + ["Это другой язык".encode(), "xq zj vv kk qq".encode() * 9]
+    lang, score, out = model.predict(texts)
+    for k, v in enumerate(L.vectors(texts)):
+        v = [float(x) * float(w) for x, w in zip(v, model.idf)]
+        size = sum(x * x for x in v) ** 0.5
+        cosines = [sum(x * float(y) for x, y in zip(v, c)) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+        assert lang[k] == model.names[best] and abs(score[k] - cosines[best]) < 1e-5
+        assert out[k] == (cosines[best] < L.REJECT_SHARE * (1 - model.radius[best]))
+    assert out[-2:].any() and not out[:60].any()
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """Passes over a few languages at a time give what one pass over all gives; 1,200 languages are learned."""
+    rows = corpus(300)
+    labelled, held = (spark.createDataFrame(r, "doc_id long, text string, lang string") for r in (rows, corpus(80, 2) + [(900, None, None), (901, "12 %", None)]))
+    one = [tuple(r) for r in L.identify(held, L.fit(labelled, 40)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(L, "PASS_LANGUAGES", 1)
+    fitted = L.fit(labelled, 40)
+    assert fitted.passes == 3 and [tuple(r) for r in L.identify(held, fitted).orderBy("doc_id").collect()] == one
+    monkeypatch.setattr(L, "PASS_LANGUAGES", 500)
+    monkeypatch.setattr(L, "SENT_LANGUAGES", 1000)
+    name = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in (2, 1, 0)) * 2
+    many = L.fit(spark.createDataFrame([(i, f"{name(i)} " * 9, f"l{i}") for i in range(1200)], "doc_id long, text string, lang string"))
+    assert many.passes == 3
+    got = L.identify(spark.createDataFrame([(1, f"{name(1077)} " * 5), (2, None)], "doc_id long, text string"), many).collect()
+    assert [(r.lang_pred, r.rejected) for r in got] == [("l1077", False), ("und", True)]
+
+
 def test_vectors_against_plain_counts():
     text = "Ab 1 bé b".encode()
     folded, grams = [], {}
@@ -79,7 +112,7 @@ NOT_LEARNED = {
 
 def test_latin_texts_of_no_learned_language_are_rejected(spark):
     docs = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
-    model = L.fit(docs.filter(L.learned_from()))
+    model = L.fit(docs.filter(L.learned_from())).model()
     far = [t.encode() for t in NOT_LEARNED.values()] + [base64.b64encode(random.Random(i).randbytes(n)) for i in range(20) for n in (120, 300, 2000)]
     assert model.predict(far)[2].all()
     known = [r.text.encode() for r in docs.filter(~L.learned_from() & F.length("text").between(200, 5000)).collect()]
