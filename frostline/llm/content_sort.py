@@ -24,6 +24,8 @@ from frostline.llm.common import WORD_BREAK, settle, shuffle_partitions
 
 #: Characters of the normalised text that splitters see, so that a sampled key stays small.
 HEAD = 64
+#: Frequent texts up to this number (some 50 MB) go to every task; more meet the rows in a join.
+SENT_TEXTS = 500_000
 #: Sampled rows per shuffle partition, and how many of one text make it frequent:
 #: 128 per partition and 16 alike mean an eighth of a partition's share.
 SAMPLE_PER_PARTITION, FREQUENT = 128, 16
@@ -50,11 +52,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     base = (docs.select(F.col(id_col).alias("doc_id"),
                         F.coalesce(F.length(text), F.lit(0)).alias("points"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
-                        normalised(F.col(text)).alias("norm"))
+                        normalised(F.col(text)).alias("norm"), F.monotonically_increasing_id().alias("row"))
             .withColumn("digest", F.sha2("norm", 256)))
-    dealt = (base.join(F.broadcast(frequent_texts(docs, text, n)), "digest", "left")
+    frequent = settle(frequent_texts(docs, text, n), "frequent-texts")
+    if frequent.count() <= SENT_TEXTS:
+        frequent = F.broadcast(frequent)
+    # dealt by the row's place in the scan: rows without an id are spread as well
+    dealt = (base.join(frequent, "digest", "left")
              .withColumn("head", F.substring("norm", 1, HEAD))
-             .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.lit(0).cast("long")))
+             .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(0).cast("long")))
              .repartitionByRange(n, "head", "digest", "salt"))
     # the range partitioning already holds equal (head, digest, salt) together: no further exchange
     run = Window.partitionBy("head", "digest", "salt", "norm")
