@@ -6,8 +6,8 @@
 2. The distinct hashes are dealt into shards by their bits. A shard's minimal
    perfect hash numbers its n hashes 0..n-1 without storing them; arrays of n
    entries hold a 64-bit fingerprint, the count and the keeping document.
-3. Documents don't join lines. Their hashes travel, packed, to a task that
-   holds one shard's arrays and probes them: a hash whose fingerprint agrees reads
+3. Documents don't join lines. Their hashes travel, packed by shard for a slice of documents, to a task
+   that holds one shard's arrays and probes them: a hash whose fingerprint agrees reads
    the count and the keeping document there, and the count decides. Lines to drop return to
    their document.
 
@@ -188,24 +188,33 @@ def _shard_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+#: One probe: the line's hash, its document (and whether that has no id) and the hash of the document's text.
+PROBE = np.dtype([("pair", "<u8", 2), ("doc", "<i8"), ("no_id", "?"), ("text", "<i8")])
+
+
 def _packed_probes(min_chars: int, shards: int):
-    """(shard, doc_id, text_hash, packed hashes) for each document and shard that it meets."""
+    """(shard, probes) for each shard that the documents of a slice meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "text"):
-            out = ([], [], [], [])
-            for doc, th, text in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), binary_values(b.column("text"))):
+            pairs, sizes = [], []
+            for text in binary_values(b.column("text")):
                 keys = list(set(long_lines(text or b"", min_chars)[2]))
-                if not keys:
-                    continue
-                pairs = hash_pairs(keys)
-                of = ((pairs[:, 0] & U64(SHARD_BITS)) % U64(shards)).astype(np.int64)
-                for s in np.unique(of):
-                    for o, v in zip(out, (int(s), doc, th, pairs[of == s].tobytes())):
-                        o.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()),
-                                                  pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())],
-                                                 names=["shard", "doc_id", "text_hash", "payload"])
+                sizes.append(len(keys))
+                if keys:
+                    pairs.append(hash_pairs(keys))
+            if not pairs:
+                continue
+            probes = np.empty(sum(sizes), dtype=PROBE)
+            probes["pair"] = np.concatenate(pairs)
+            probes["doc"] = np.repeat(b.column("doc_id").fill_null(0).to_numpy(), sizes)
+            probes["no_id"] = np.repeat(b.column("doc_id").is_null().to_numpy(zero_copy_only=False), sizes)
+            probes["text"] = np.repeat(b.column("text_hash").to_numpy(), sizes)
+            of = ((probes["pair"][:, 0] & U64(SHARD_BITS)) % U64(shards)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            probes, of = probes[order], of[order]
+            met, at = np.unique(of, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([p.tobytes() for p in np.split(probes, at[1:])], pa.binary())],
+                                             names=["shard", "payload"])
     return run
 
 
@@ -214,23 +223,25 @@ def _probe(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, index = None, None
         for b in batches:
-            out = ([], [], [])
-            for shard, kind, doc, th, payload in zip(*(b.column(n).to_pylist() for n in ("shard", "kind", "doc_id", "text_hash", "payload"))):
+            gone = []
+            for shard, kind, payload in zip(*(b.column(n).to_pylist() for n in ("shard", "kind", "payload"))):
                 if kind == 0:
                     now, index = shard, PerfectHash.load(payload)
                 elif shard == now:
-                    pairs = np.frombuffer(payload, dtype=U64).reshape(-1, 2)
-                    place = index.find(pairs)
-                    hit = place >= 0
-                    hit[hit] = index.arrays[1][place[hit]] >= min_docs
-                    if doc is not None:
-                        hit[hit] = index.arrays[2][place[hit]] != doc
-                    if hit.any():
-                        for o, v in zip(out, (doc, th, pairs[hit].tobytes())):
-                            o.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                                                 names=["doc_id", "text_hash", "dropped"])
+                    probes = np.frombuffer(payload, dtype=PROBE)
+                    place = index.find(probes["pair"])
+                    hit = np.flatnonzero(place >= 0)
+                    place = place[hit]
+                    drop = (index.arrays[1][place] >= min_docs) & (probes["no_id"][hit] | (index.arrays[2][place] != probes["doc"][hit]))
+                    gone.append(probes[hit[drop]])
+            gone = np.concatenate(gone) if gone else np.empty(0, dtype=PROBE)
+            if len(gone):
+                gone = gone[np.lexsort((gone["no_id"], gone["doc"], gone["text"]))]
+                new = np.flatnonzero((gone["text"][1:] != gone["text"][:-1]) | (gone["doc"][1:] != gone["doc"][:-1]) | (gone["no_id"][1:] != gone["no_id"][:-1])) + 1
+                first = gone[np.concatenate([[0], new])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first["doc"], pa.int64(), mask=first["no_id"]), pa.array(first["text"], pa.int64()),
+                     pa.array([p.tobytes() for p in np.split(np.ascontiguousarray(gone["pair"]), new)], pa.binary())], names=["doc_id", "text_hash", "dropped"])
     return run
 
 
@@ -275,13 +286,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     salts = F.from_json(F.lit(json.dumps([max(1, loads.get(s, 0) // usual) for s in range(shards)])), "array<int>")[F.col("shard")]
     index = (found.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard")
              .mapInArrow(_shard_index, "shard int, payload binary"))
-    none = F.lit(None).cast("long")
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"),
-                          none.alias("doc_id"), none.alias("text_hash"), "payload")
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "payload")
     hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    probes = (hashed.mapInArrow(_packed_probes(min_chars, shards), "shard int, doc_id long, text_hash long, payload binary")
-              .select("shard", F.pmod(F.xxhash64("doc_id", "text_hash"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"),
-                      "doc_id", "text_hash", "payload"))
+    probes = (hashed.mapInArrow(_packed_probes(min_chars, shards), "shard int, payload binary")
+              .select("shard", F.pmod(F.xxhash64("payload"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "payload"))
     drops = (copies.unionByName(probes).repartition(shards, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
              .mapInArrow(_probe(min_docs), "doc_id long, text_hash long, dropped binary")
              .distinct().groupBy(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"))
