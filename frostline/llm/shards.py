@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from frostline.llm.common import documents, settle
 
 #: Rows that one bucket of a ranking should hold.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 500
 #: Buckets whose counts one task adds up.
 SPAN = 1_000
 
