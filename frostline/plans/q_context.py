@@ -9,7 +9,7 @@ from frostline.operators import context as cx
 from frostline.operators import similarity as si
 from frostline.plans import sqlfrag as q
 from frostline.plans.catalog import query
-from frostline.plans.q_search import _DESC, _SIM, SEARCH_BLOCKS, results
+from frostline.plans.q_search import _ALL_DESC, _DESC, _SIM, SEARCH_BLOCKS, results
 from frostline.session import settled
 from frostline.sources import tables
 
@@ -47,12 +47,12 @@ _SP = q.fill(cx.SUMMARY_PROMPT, event_title="event_title", descriptions="descrip
 _SECTION = q.fill(cx.SECTION, i="l.query_no", summary="s.answer")
 
 
-@query("market_descriptions", blocks=("fx_feed_markets", "fx_details", "fx_markets"), oracle=_DESC + """
+@query("market_descriptions", blocks=("fx_feed_markets", "fx_all_details", "fx_markets"), oracle=_ALL_DESC + """
 select event_ticker, description from descs
 """)
 def market_descriptions(spark, sf):
     """Readable description of each event's markets (one- and many-market forms)."""
-    d = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
+    d = cx.descriptions(cx.with_markets(tables.all_event_details(spark, sf)))
     return d.select("event_ticker", "description")
 
 

@@ -64,6 +64,7 @@ _DESC = f"""
         from dm) z
   group by event_ticker)
 """
+_ALL_DESC = _DESC.replace("fx_details", "fx_all_details")
 _SIM = _DEDUP + _ART + _DESC + f"""
 , scraped AS (select d.*, a.article from dedup d join art_ok a on a.url = d.href
               where d.event_ticker in (select event_ticker from descs))
