@@ -56,12 +56,12 @@ def market_descriptions(spark, sf):
     return d.select("event_ticker", "description")
 
 
-@query("query_prompts", blocks=("fx_feed_markets", "fx_details", "fx_markets"), oracle=_DESC + f"""
+@query("query_prompts", blocks=("fx_feed_markets", "fx_all_details", "fx_markets"), oracle=_ALL_DESC + f"""
 select event_ticker, {_QP} as prompt from descs
 """)
 def query_prompts(spark, sf):
     """Search-query prompt of each described event."""
-    d = cx.descriptions(cx.with_markets(tables.event_details(spark, sf)))
+    d = cx.descriptions(cx.with_markets(tables.all_event_details(spark, sf)))
     return cx.query_prompts(d)
 
 

@@ -27,7 +27,7 @@ def _asked(spark):
     return _described(spark) & {f"O{r[0]}" for r in convs}
 
 
-WHOLE = ["market_descriptions"]
+WHOLE = ["market_descriptions", "query_prompts"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
