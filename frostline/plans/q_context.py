@@ -14,17 +14,18 @@ from frostline.session import settled
 from frostline.sources import tables
 
 CTX_BLOCKS = SEARCH_BLOCKS + ("fx_model_outputs",)
+ALL_CTX_BLOCKS = tuple("fx_all_details" if b == "fx_details" else b for b in CTX_BLOCKS)
 
 
 def _outputs(spark, sf):
     return tables.standin(spark, sf, "fx_model_outputs")
 
 
-def _ctx(spark, sf):
+def _ctx(spark, sf, detail_table=tables.event_details):
     """Described events the query model answered for, their query lines."""
     outputs = _outputs(spark, sf)
     asked = outputs.where(F.col("purpose") == "queries").select("event_ticker").distinct()
-    details = tables.event_details(spark, sf).join(asked, "event_ticker", "left_semi")
+    details = detail_table(spark, sf).join(asked, "event_ticker", "left_semi")
     desc = cx.descriptions(cx.with_markets(details))
     return desc, desc, cx.query_lines(desc, outputs), outputs
 
@@ -65,12 +66,12 @@ def query_prompts(spark, sf):
     return cx.query_prompts(d)
 
 
-@query("query_lines", blocks=CTX_BLOCKS, oracle=_DESC + _ANS + """
+@query("query_lines", blocks=ALL_CTX_BLOCKS, oracle=_ALL_DESC + _ANS + """
 select event_ticker, query_no, query from qlines
 """)
 def query_lines(spark, sf):
     """The model's search queries per event: non-blank trimmed lines, numbered."""
-    _, _, lines, _ = _ctx(spark, sf)
+    _, _, lines, _ = _ctx(spark, sf, tables.all_event_details)
     return lines
 
 

@@ -28,6 +28,7 @@ def _asked(spark):
 
 
 WHOLE = ["market_descriptions", "query_prompts"]
+ANSWERED = ["query_lines"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -35,3 +36,10 @@ def test_every_described_event(spark, name):
     want = _described(spark)
     assert want & _cut(range(10_000)) and _tickers(spark, name) == want
     assert "% 97" not in catalog.ORACLE[name]
+
+
+@pytest.mark.parametrize("name", ANSWERED)
+def test_every_event_with_an_answer(spark, name):
+    got = _tickers(spark, name)
+    assert "% 97" not in catalog.ORACLE[name]
+    assert got <= _asked(spark) and "O31" in got
