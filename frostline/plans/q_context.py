@@ -92,7 +92,7 @@ def summary_prompts(spark, sf):
     return cx.summary_prompts(lines, desc, si.with_texts(top, asked, pages))
 
 
-@query("context_report", blocks=CTX_BLOCKS, oracle=_DESC + _ANS + f"""
+@query("context_report", blocks=ALL_CTX_BLOCKS, oracle=_ALL_DESC + _ANS + f"""
 , secs AS (
   select l.event_ticker, string_agg({_SECTION}, chr(10) || chr(10) order by l.query_no) as r
   from qlines l left join ans s
@@ -103,5 +103,5 @@ from ctx c left join secs s on s.event_ticker = c.event_ticker
 """)
 def context_report(spark, sf):
     """Final context report per event: numbered sections of summaries, trimmed."""
-    _, events, lines, outputs = _ctx(spark, sf)
+    _, events, lines, outputs = _ctx(spark, sf, tables.all_event_details)
     return cx.reports(lines, outputs, events)

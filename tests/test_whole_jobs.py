@@ -28,7 +28,7 @@ def _asked(spark):
 
 
 WHOLE = ["market_descriptions", "query_prompts"]
-ANSWERED = ["query_lines"]
+ANSWERED = ["query_lines", "context_report"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
