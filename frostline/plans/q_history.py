@@ -94,12 +94,12 @@ def asof_context(spark, sf):
                     F.datediff("resolved_on", F.to_date("asof_stamp", "yyyyMMdd")).cast("bigint").alias("days_before"))
 
 
-@query("strategy_score", blocks=_MK_BLOCKS + ("fx_prev_events", "fx_details"), oracle=_MK + """
+@query("strategy_score", blocks=_MK_BLOCKS + ("fx_prev_events", "fx_all_details"), oracle=_MK + """
 , res AS (select p.* from first_prev p where p.ticker not in (select ticker from act))
 , outcome AS (select r.ticker, e.category, case when m.result = 'yes' then 1.0 else 0.0 end as y,
                      r.prev_price as p_last
               from res r join fx_markets m on m.ticker = r.ticker
-              join fx_details x on x.event_ticker = m.event_ticker
+              join fx_all_details x on x.event_ticker = m.event_ticker
               join fx_prev_events e on e.event_ticker = r.event_ticker
               where m.result in ('yes', 'no'))
 , fc AS (select 'last_price' as strategy, category, p_last as p, y from outcome
@@ -114,7 +114,7 @@ def strategy_score(spark, sf):
     res = rc.first_stored(s["resolved_markets_new"].select("ticker", "event_ticker", "market_price", "state_pos"))
     last = F.element_at(F.array_sort(F.map_entries("market_price")), -1)["value"]
     resolved_events = res.select("event_ticker").distinct()
-    results = (tables.event_details(spark, sf).join(resolved_events, "event_ticker", "left_semi")
+    results = (tables.all_event_details(spark, sf).join(resolved_events, "event_ticker", "left_semi")
                .select(F.explode(cx.market_fields(("ticker", "result"))).alias("m")).select("m.*")
                .where(F.col("result").isin("yes", "no")))
     cats = tables.previous_events(spark, sf).select("event_ticker", "category")

@@ -43,3 +43,15 @@ def test_every_event_with_an_answer(spark, name):
     got = _tickers(spark, name)
     assert "% 97" not in catalog.ORACLE[name]
     assert got <= _asked(spark) and "O31" in got
+
+
+def test_every_resolved_market_is_scored(spark):
+    assert "% 97" not in catalog.ORACLE["strategy_score"]
+    from frostline.operators import reconcile as rc
+    from frostline.plans.q_reconcile import day_state
+    gone = rc.first_stored(day_state(spark, SMALL)["resolved_markets_new"].select("ticker", "event_ticker", "market_price", "state_pos"))
+    decided = (tables.standin(spark, SMALL, "fx_feed_markets").where("result in ('yes', 'no')").select("ticker")
+               .join(gone, "ticker", "left_semi").count())
+    got = {r.strategy: r.k for r in catalog.QUERIES["strategy_score"](spark, SMALL).groupBy("strategy").agg({"n": "sum"})
+           .withColumnRenamed("sum(n)", "k").collect()}
+    assert decided > 0 and got == {"last_price": decided, "coin": decided}
