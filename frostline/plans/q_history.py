@@ -10,9 +10,9 @@ from frostline.operators import lifecycle as lc
 from frostline.operators import reconcile as rc
 from frostline.plans import sqlfrag as q
 from frostline.plans.catalog import query
-from frostline.plans.q_context import _ANS, CTX_BLOCKS, _ctx
+from frostline.plans.q_context import _ANS, ALL_CTX_BLOCKS, _ctx
 from frostline.plans.q_reconcile import _MK, _MK_BLOCKS, day_state
-from frostline.plans.q_search import _DESC
+from frostline.plans.q_search import _ALL_DESC
 from frostline.sources import tables
 
 HORIZON_DAYS = 7
@@ -130,7 +130,7 @@ def strategy_score(spark, sf):
 _WORDS = f"len(list_filter(string_split_regex(query, '{q.text.PY_SPACE}+'), lambda s: s <> ''))"
 
 
-@query("query_contract", blocks=CTX_BLOCKS, oracle=_DESC + _ANS + f"""
+@query("query_contract", blocks=ALL_CTX_BLOCKS, oracle=_ALL_DESC + _ANS + f"""
 select event_ticker, count(*) as n_queries, cast(max({_WORDS}) as bigint) as max_words,
        bool_or(regexp_matches(query, '[0-9]')) as has_digit,
        count(*) = 6 and max({_WORDS}) < 7 and not bool_or(regexp_matches(query, '[0-9]')) as follows_rules
@@ -138,5 +138,5 @@ from qlines group by event_ticker
 """)
 def query_contract(spark, sf):
     """Did the model's query list keep the prompt's rules (count, words, digits)?"""
-    _, _, lines, _ = _ctx(spark, sf)
+    _, _, lines, _ = _ctx(spark, sf, tables.all_event_details)
     return bt.query_contract(lines)

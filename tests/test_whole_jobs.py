@@ -28,7 +28,7 @@ def _asked(spark):
 
 
 WHOLE = ["market_descriptions", "query_prompts"]
-ANSWERED = ["query_lines", "context_report"]
+ANSWERED = ["query_lines", "context_report", "query_contract"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
