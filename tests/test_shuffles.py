@@ -67,3 +67,10 @@ def test_views_of_the_one_table_have_the_rows_of_their_blocks(spark):
         bare = made(spark, SMALL).where("markets is null or size(markets) = 0").selectExpr("event_ticker", "markets is null")
         markets = block("fx_feed_markets").select("event_ticker")
         assert same(bare, block(name).join(markets, "event_ticker", "left_anti").select("event_ticker", "markets_key_absent"))
+
+
+def test_refreshed_markets_move_stored_rows_once(spark):
+    with _sorted_joins(spark):
+        moved = _exchanges(catalog.QUERIES["markets_refreshed"](spark, SMALL))
+    assert moved and all("hashpartitioning(ticker#" in ln or "hashpartitioning(_ticker#" in ln for ln in moved)
+    assert not any("state_pos#" in ln.split("hashpartitioning")[1].split(")")[0] for ln in moved)
