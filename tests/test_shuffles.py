@@ -74,3 +74,14 @@ def test_refreshed_markets_move_stored_rows_once(spark):
         moved = _exchanges(catalog.QUERIES["markets_refreshed"](spark, SMALL))
     assert moved and all("hashpartitioning(ticker#" in ln or "hashpartitioning(_ticker#" in ln for ln in moved)
     assert not any("state_pos#" in ln.split("hashpartitioning")[1].split(")")[0] for ln in moved)
+
+
+def test_an_event_is_shuffled_once_for_all_its_facts(spark):
+    with _sorted_joins(spark):
+        events = rc.classified_events(tables.current_feed(spark, SMALL), tables.event_details(spark, SMALL),
+                                      tables.previous_events(spark, SMALL), tables.reports(spark, SMALL), DAY)
+        moved = _exchanges(events)
+    assert moved and not any("hashpartitioning(_event#" in ln for ln in moved)
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    # market arrays are reduced to facts below every shuffle
+    assert plan.rindex("array_min") > plan.index("Exchange")
