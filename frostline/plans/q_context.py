@@ -21,12 +21,16 @@ def _outputs(spark, sf):
     return tables.standin(spark, sf, "fx_model_outputs")
 
 
-def _ctx(spark, sf, detail_table=tables.event_details):
-    """Described events the query model answered for, their query lines."""
+def _ctx(spark, sf, detail_table=tables.event_details, write=False):
+    """Described events the query model answered for, their query lines; ``write`` for descriptions that several
+    steps read."""
     outputs = _outputs(spark, sf)
-    asked = outputs.where(F.col("purpose") == "queries").select("event_ticker").distinct()
+    # a table of tickers alone: while it is small, the planner sees so and leaves the market records where they are
+    asked = settled(outputs.where(F.col("purpose") == "queries").select("event_ticker").distinct(), "asked-events")
     details = detail_table(spark, sf).join(asked, "event_ticker", "left_semi")
     desc = cx.descriptions(cx.with_markets(details))
+    if write:
+        desc = settled(desc, "descriptions")
     return desc, desc, cx.query_lines(desc, outputs), outputs
 
 
@@ -84,12 +88,13 @@ left join blocks b on b.event_ticker = l.event_ticker and b.query_no = l.query_n
 """)
 def summary_prompts(spark, sf):
     """Summary prompt per query line with its top articles (none -> no blocks)."""
-    desc, _, lines, _ = _ctx(spark, sf)
+    desc, _, lines, _ = _ctx(spark, sf, write=True)
     dedup, pages = results(spark, sf)
     asked = dedup.join(desc.select("event_ticker"), "event_ticker", "left_semi")  # before any scoring
-    # keys of the survivors, written once: their texts are read from there on
-    top = settled(si.top_articles(si.score_links(desc, asked, pages), params.NUM_URLS), "top-articles")
-    return cx.summary_prompts(lines, desc, si.with_texts(top, asked, pages))
+    # titles and body keys of the survivors, written once: their texts are read from there on
+    ranked = si.top_articles(si.score_links(desc, asked, pages), params.NUM_URLS)
+    top = settled(ranked.join(asked.select(*si.RESULT, "title", "body_id"), list(si.RESULT)), "top-articles")
+    return cx.summary_prompts(lines, desc, si.with_texts(top, tables.search_bodies(spark, sf), pages, on=("body_id",)))
 
 
 @query("context_report", blocks=ALL_CTX_BLOCKS, oracle=_ALL_DESC + _ANS + f"""

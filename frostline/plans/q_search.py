@@ -24,8 +24,8 @@ def described(spark, sf, events):
 
 
 def results(spark, sf):
-    """Deduplicated search results and the fetched pages."""
-    return (se.dedup_results(tables.standin(spark, sf, "fx_search_results")),
+    """Deduplicated search results (keys of the bodies, no text) and the fetched pages."""
+    return (se.dedup_results(tables.search_keys(spark, sf)),
             tables.standin(spark, sf, "fx_web_pages"))
 
 
@@ -104,7 +104,7 @@ select event_ticker, query_no, rnk, href from dedup
 """)
 def search_dedup(spark, sf):
     """First 2*num_urls results per query, empty links dropped, first per link."""
-    return se.dedup_results(tables.standin(spark, sf, "fx_search_results")).select(
+    return se.dedup_results(tables.search_keys(spark, sf)).select(
         "event_ticker", "query_no", "rnk", "href")
 
 
@@ -117,7 +117,7 @@ where k = 1
 """)
 def search_recent(spark, sf):
     """Results of the last year only, ranked anew, first per link."""
-    d = se.dedup_results(tables.standin(spark, sf, "fx_search_results"), since="2024-09-01")
+    d = se.dedup_results(tables.search_keys(spark, sf), since="2024-09-01")
     return d.select("event_ticker", "query_no", "rnk", "href", F.date_format("published", "yyyy-MM-dd").alias("published"))
 
 
