@@ -111,15 +111,15 @@ def strategy_score(spark, sf):
     """Brier score by strategy and category over markets resolved today with a
     decided result: last stored price against a coin flip."""
     s = day_state(spark, sf)
-    res = rc.first_stored(s["resolved_markets_new"].select("ticker", "event_ticker", "market_price", "state_pos"))
     last = F.element_at(F.array_sort(F.map_entries("market_price")), -1)["value"]
-    resolved_events = res.select("event_ticker").distinct()
-    results = (tables.all_event_details(spark, sf).join(resolved_events, "event_ticker", "left_semi")
+    gone = s["resolved_markets_new"].select("ticker", "event_ticker", last.alias("p_last"), "state_pos")
+    res = rc.first_stored(gone, ("event_ticker", "p_last"))
+    # a result is met by its market's ticker alone, so the resolved markets aren't worked out a second time to name their events
+    results = (tables.all_event_details(spark, sf)
                .select(F.explode(cx.market_fields(("ticker", "result"))).alias("m")).select("m.*")
                .where(F.col("result").isin("yes", "no")))
     cats = tables.previous_events(spark, sf).select("event_ticker", "category")
-    out = (res.select("ticker", "event_ticker", last.alias("p_last"))
-           .join(results, "ticker").join(cats, "event_ticker")
+    out = (res.join(results, "ticker").join(cats, "event_ticker")
            .withColumn("y", F.when(F.col("result") == "yes", 1.0).otherwise(0.0)))
     told = lambda name, p: F.struct(F.lit(name).alias("strategy"), p.alias("p"))
     fc = (out.select("category", "y", F.explode(F.array(told("last_price", F.col("p_last")), told("coin", F.lit(0.5)))).alias("f"))

@@ -2,6 +2,7 @@
 
 import contextlib
 
+from frostline.operators import reconcile as rc
 from frostline.plans import catalog
 from frostline.sources import tables
 
@@ -65,3 +66,18 @@ def test_descriptions_are_written_once(spark):
     for name in ("summary_prompts",):
         files = catalog.QUERIES[name](spark, SMALL).inputFiles()
         assert any("/descriptions-" in f for f in files), name
+
+
+def test_scored_markets_move_once(spark):
+    with _planned(spark, -1):
+        plan = _plan(catalog.QUERIES["strategy_score"](spark, SMALL))
+    # stored markets, active tickers, results, what they give, categories, groups
+    assert plan.count(" Exchange ") == 6
+
+
+def test_first_stored_values_are_those_of_the_first_record(spark):
+    rows = spark.createDataFrame([("a", 3, "x", 0.3), ("a", 1, "y", None), ("b", 2, "z", 0.2), ("a", 2, "x", 0.1)],
+                                 "ticker string, state_pos bigint, event_ticker string, p double")
+    got = rc.first_stored(rows, ("event_ticker", "p"))
+    assert sorted(map(tuple, got.collect())) == [("a", "y", None), ("b", "z", 0.2)]
+    assert not got.exceptAll(rc.first_stored(rows).select(*got.columns)).take(1)
