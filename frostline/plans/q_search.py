@@ -12,15 +12,18 @@ from frostline.operators import search as se
 from frostline.operators import similarity as si
 from frostline.plans import sqlfrag as q
 from frostline.plans.catalog import query
+from frostline.session import settled
 from frostline.sources import tables
 
 C2 = repr((math.log(1.5) + 1.0) ** 2)
 
 
 def described(spark, sf, events):
-    """Descriptions of the events that ``events`` names."""
-    linked = tables.event_details(spark, sf).join(events.select("event_ticker").distinct(), "event_ticker", "left_semi")
-    return cx.descriptions(cx.with_markets(linked))
+    """Descriptions of the events that ``events`` names, written once. Their tickers are a table of their own: while
+    it is small, the planner sees so and leaves the market records where they are."""
+    named = settled(events.select("event_ticker").distinct(), "linked-events")
+    linked = tables.event_details(spark, sf).join(named, "event_ticker", "left_semi")
+    return settled(cx.descriptions(cx.with_markets(linked)), "descriptions")
 
 
 def results(spark, sf):

@@ -63,7 +63,7 @@ def test_asked_events_are_a_small_table(spark):
 
 
 def test_descriptions_are_written_once(spark):
-    for name in ("summary_prompts",):
+    for name in ("summary_prompts", "pair_similarity", "top_articles"):
         files = catalog.QUERIES[name](spark, SMALL).inputFiles()
         assert any("/descriptions-" in f for f in files), name
 
