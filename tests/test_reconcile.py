@@ -164,3 +164,35 @@ def test_event_growing_to_market_limit_is_dropped_and_resolved(spark):
     gone = out["resolved_markets_new"].collect()
     assert [(g.ticker, g.resolution_date) for g in gone] == [("G0", "20250901")]
     assert out["active_events"].count() == 0 and out["active_markets"].count() == 0
+
+
+def test_active_state_is_the_retained_and_the_new_rows(spark):
+    """Repeated and missing tickers on both sides: a stored row stays once however often it is fed."""
+    prev = state_events(spark, [("A", "a"), ("A", "a2"), ("B", "b"), ("C", "c"), (None, "x")])
+    cur = feed(spark, [dict(event_ticker=t, markets=[]) for t in ("A", "A", "A", "C", "D", "D")])
+    cur = cur.unionByName(cur.where("event_ticker = 'D'").limit(1).withColumn("event_ticker", F.lit(None).cast("string")))
+    got = rc.active_events(prev, cur, "20250901")
+    cols = [c for c in EFIELDS if not c.endswith("_reports")]
+    rows = lambda df: sorted(map(repr, df.select(*cols).collect()))
+    assert rows(got.where("not is_new")) == rows(rc.retained_events(prev, cur)) and got.where("not is_new").count() == 3
+    assert rows(got.where("is_new")) == rows(rc.new_events(prev, cur, "20250901")) and got.where("is_new").count() == 3
+
+
+def test_new_events_take_todays_entry_and_stored_ones_the_lookback(spark):
+    prev = state_events(spark, [("A", "a"), ("B", "b", {"20250831": "kept"})])
+    cur = feed(spark, [dict(event_ticker=t, markets=[]) for t in ("A", "B", "N")])
+    reports = spark.createDataFrame(
+        [(d, t, "r", 2) for d in ("20250830", "20250831", "20250901") for t in ("A", "B", "N")]
+        + [("20250830", "A", None, 1), ("20250829", "A", "r", 1)], schemas.REPORTS)
+    empty = [spark.createDataFrame([], s) for s in (schemas.EVENT_DETAIL, schemas.ACTIVE_MARKETS)]
+    out = rc.reconcile(cur, empty[0], prev, empty[1], reports, "20250901", ["20250830", "20250831"])
+    got = {r.event_ticker: r.ddgs_reports for r in out["active_events"].collect()}
+    # A's first document of the 30th has no report
+    assert got == {"A": {"20250831": "ddgs_a_20250831"},
+                   "B": {"20250830": "ddgs_b_20250830", "20250831": "kept"}, "N": {"20250901": "ddgs_n_20250901"}}
+
+
+def test_that_a_document_has_a_report_travels_not_its_text(spark):
+    reports = spark.createDataFrame([("20250901", "A", "x", 1), ("20250901", "B", "", 1)], schemas.REPORTS)
+    plan = rc.stored_entries(reports, ["20250901"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by(CASE WHEN isnotnull(ddgs_report" in plan and "partial_min_by(ddgs_report" not in plan

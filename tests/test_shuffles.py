@@ -78,3 +78,22 @@ def test_details_travel_as_facts(spark):
     plan = events._jdf.queryExecution().executedPlan().toString()
     # market arrays are reduced to facts below every shuffle
     assert plan.rindex("array_min") > plan.index("Exchange")
+
+
+def test_active_events_move_every_row_once(spark):
+    with _sorted_joins(spark):
+        moved = _exchanges(catalog.QUERIES["active_events"](spark, SMALL))
+    # stored and feed rows together, and the report documents
+    assert len(moved) == 2 and all("hashpartitioning(event_ticker#" in ln for ln in moved)
+
+
+def test_stored_events_and_their_entries_are_one_scan(spark):
+    stored = tables.previous_events(spark, SMALL)
+    with _sorted_joins(spark):
+        assert not _exchanges(stored)
+    same = lambda a, b: a.count() == b.count() and not a.exceptAll(b).take(1)
+    block = lambda name: tables._standin_plan(spark, SMALL, name)
+    plain = stored.drop("bing_reports", "ddgs_reports")
+    assert same(plain, block("fx_prev_events").selectExpr(*plain.columns))
+    entries = stored.selectExpr("event_ticker", "explode(ddgs_reports) as (stamp, hash_id)")
+    assert entries.select("stamp").distinct().count() == 2 and same(entries, block("fx_prev_event_reports"))
