@@ -97,3 +97,10 @@ def test_stored_events_and_their_entries_are_one_scan(spark):
     assert same(plain, block("fx_prev_events").selectExpr(*plain.columns))
     entries = stored.selectExpr("event_ticker", "explode(ddgs_reports) as (stamp, hash_id)")
     assert entries.select("stamp").distinct().count() == 2 and same(entries, block("fx_prev_event_reports"))
+
+
+def test_orders_travel_to_their_markets_as_they_are(spark):
+    with _sorted_joins(spark):
+        plan = tables._events_with_markets(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    # an event's texts are made above every shuffle
+    assert 0 < plan.rindex("concat(Order ") < plan.index("Exchange")
