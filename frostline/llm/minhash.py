@@ -309,8 +309,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keys = [F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), F.col("halves")[i], F.col("halves")[j]).alias("key"))
             for t, (i, j) in enumerate(TABLES)]
     table = nodes.select("node", F.explode(F.array(*keys)).alias("k")).select("node", "k.table", "k.key")
+    # a row for each table and node: the planner sizes these as if nothing were exploded, so that it must not broadcast them
     pivots = (table.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-              .filter("pivot <> last").select(F.col("key").alias("p_key"), "pivot"))
+              .filter("pivot <> last").select(F.col("key").alias("p_key"), "pivot")).hint("merge")
     members = settle(table.join(pivots, F.col("key") == F.col("p_key")).filter("node <> pivot").select("key", "table", "pivot", "node"), "buckets")
 
     # all that meet their bucket's pivot, if sizes and minhashes allow a link

@@ -74,3 +74,18 @@ def test_empty_table(spark):
 def test_minhash_cut_keeps_true_links():
     assert M.least_alike(100) == M.HALVES * M.ROWS
     assert 0 < M.least_alike(80) < M.least_alike(85) < M.HALVES * M.ROWS
+
+
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch):
+    plans, settle = {}, M.settle
+
+    def seen(df, name):
+        out = settle(df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(M, "settle", seen)
+    # some of a family link, some do not: buckets with nodes of several components
+    rows = family(1, 30, 120, 6, 100) + family(2, 25, 200, 12, 200)
+    M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert "SortMergeJoin" in plans["buckets"] and "BroadcastExchange" not in plans["buckets"]
