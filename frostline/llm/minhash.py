@@ -354,7 +354,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                   .mapInArrow(_bucket_pairs(percent), "key long, lo long, hi long, node long, partners array<bigint>"), "bucket-pairs")
     if not todo.isEmpty():
         sets = sets_of(todo, "bucket-sets")
-        more = settle(todo.join(sets.withColumnRenamed("node", "s_node"), F.col("node") == F.col("s_node")).drop("s_node")
+        # lists of partners repeat and are far smaller in a file than in memory: never broadcast
+        more = settle(todo.hint("merge").join(sets.withColumnRenamed("node", "s_node"), F.col("node") == F.col("s_node")).drop("s_node")
                       .repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
                       .mapInArrow(_bucket_links(percent), "a long, b long"), "bucket-links")
         label = components(links.unionByName(more))
