@@ -28,13 +28,17 @@ def build_reports(sample: DataFrame, details: DataFrame, search_results: DataFra
     ``contents`` (the top articles behind each section).
     """
     chosen = sample if k is None else sm.batch(sample, k, batch_size)
-    todo = cx.pending_events(chosen, stored, details, stamp).select("event_ticker")
+    # tickers alone, read by several steps: written once, so that the planner knows their size
+    todo = settled(cx.pending_events(chosen, stored, details, stamp).select("event_ticker"), "pending-events")
     mine = cx.with_markets(details.join(todo, "event_ticker", "left_semi"))
     desc = cx.descriptions(mine)
     lines = cx.query_lines(desc, outputs)
     results = search_results.join(todo, "event_ticker", "left_semi")
     dedup = se.dedup_results(results, num_urls)
-    keys = settled(si.top_articles(si.score_links(desc, dedup, pages), num_urls), "top-articles")
+    # the events to score are those with results: most markets needn't be moved to be described for that
+    searched = settled(dedup.select("event_ticker").distinct(), "searched-events")
+    described = settled(cx.descriptions(cx.with_markets(details.join(searched, "event_ticker", "left_semi"))), "descriptions")
+    keys = settled(si.top_articles(si.score_links(described, dedup, pages), num_urls), "top-articles")
     top = si.with_texts(keys, dedup, pages)
     return {"reports": cx.reports(lines, outputs, desc),
             "summary_prompts": cx.summary_prompts(lines, desc, top),

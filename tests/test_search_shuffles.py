@@ -4,7 +4,8 @@ import contextlib
 
 from frostline.operators import reconcile as rc
 from frostline.plans import catalog
-from frostline.sources import tables
+from frostline.plans.q_reconcile import DAY
+from frostline.sources import standins, tables
 
 from conftest import SMALL
 
@@ -81,3 +82,49 @@ def test_first_stored_values_are_those_of_the_first_record(spark):
     got = rc.first_stored(rows, ("event_ticker", "p"))
     assert sorted(map(tuple, got.collect())) == [("a", "y", None), ("b", "z", 0.2)]
     assert not got.exceptAll(rc.first_stored(rows).select(*got.columns)).take(1)
+
+
+def test_search_results_move_their_bodies_once(spark, tmp_path):
+    tables.table(spark, SMALL, "pages").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = tables.table(spark, SMALL, "documents")
+    # some ids twice, with other texts and with the same
+    twice = docs.where("doc_id < 20").selectExpr("* except (text)", "if(doc_id % 2 = 0, 'other', text) as text").select(*docs.columns)
+    docs.union(twice).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path)
+    for name in ("documents", "pages"):
+        tables.table(spark, at, name).createOrReplaceTempView(name)
+    block = spark.sql(standins.BLOCKS["fx_search_results"]).drop("rnk")  # equal ids have no order
+    made = tables._search_results(spark, at)
+    assert made.count() == block.count() == docs.count() + 20
+    assert not made.select(*block.columns).exceptAll(block).take(1)
+    with _planned(spark, -1):
+        plan = _plan(tables._search_results(spark, at))
+    # one shuffle of the texts: they meet the keys as they are read
+    assert sum("FileScan" in ln and "text#" in ln for ln in plan.splitlines()) == 1
+    assert [("text#" in ln) for ln in _shuffled_scans(plan)].count(True) == 1
+    assert plan.count(" Window ") == 1 and plan.index("text#") > plan.index(" Window ")
+
+
+def test_report_job_moves_no_market_texts_of_events_without_results(spark, monkeypatch):
+    """The report job describes, for scoring, the events that have results; pending tickers are a small table."""
+    from frostline.operators import sampling as sm
+    from frostline.plans import report_job
+    from frostline.plans.q_reconcile import day_state
+    written, settled = {}, report_job.settled
+
+    def seen(df, name):
+        written[name] = settled(df, name)
+        return written[name]
+
+    monkeypatch.setattr(report_job, "settled", seen)
+    sample = sm.stratified_sample(day_state(spark, SMALL)["active_events"], target=2 ** 31)
+    results = tables.standin(spark, SMALL, "fx_search_results")
+    made = report_job.build_reports(sample, tables.event_details(spark, SMALL), results, tables.standin(spark, SMALL, "fx_web_pages"),
+                                    tables.standin(spark, SMALL, "fx_model_outputs"), tables.reports(spark, SMALL), DAY)
+    found = {r[0] for r in results.select("event_ticker").distinct().collect()}
+    todo = {r[0] for r in written["pending-events"].collect()}
+    assert {r[0] for r in written["descriptions"].select("event_ticker").collect()} == found & todo
+    assert len(todo) > len(found & todo) > 0 and made["reports"].count() == len(todo)
+    with _planned(spark, 64 * 1024):
+        plan = _plan(made["reports"])
+    assert "/pending-events-" in plan and "title#" not in "".join(_shuffled_scans(plan))
